@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, quality, warc
+from . import bpe, langid, licenses, quality, secretscan, topk, vecdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_table(spark, sf_dir, "documents"))
 
 
+def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,12 +41,18 @@ def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op7_quality_cnn, op8_license_rules, op10_warc_zstd)}
+    return {f.__name__: f for f in (
+        op1_language_id, op3_bit_sliced_topk, op4_byte_bpe, op5_pca_tiles, op7_quality_cnn, op8_license_rules,
+        op9_linked_secrets, op10_warc_zstd)}
 
 
 def oracle_sql() -> dict[str, str]:
