@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, quality, secretscan, topk, vecdedup, warc
+from . import bpe, jaccard, langid, licenses, packing, quality, secretscan, topk, vecdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,20 @@ def op5_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op6_jaccard_tsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), 75)
+
+
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -49,10 +59,16 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op3_bit_sliced_topk, op4_byte_bpe, op5_pca_tiles, op7_quality_cnn, op8_license_rules,
-        op9_linked_secrets, op10_warc_zstd)}
+        op1_language_id, op2_bm25_packing, op3_bit_sliced_topk, op4_byte_bpe, op5_pca_tiles, op6_jaccard_tsearch,
+        op7_quality_cnn, op8_license_rules, op9_linked_secrets, op10_warc_zstd, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
