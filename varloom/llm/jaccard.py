@@ -3,12 +3,13 @@
 A text's set holds the hashes of its distinct five-word shingles. Texts with equal sets are one
 class, and classes are joined:
 
-1. Every shingle has a place in one global order, rare ones first; how rare a shingle is comes from a
-   count-min sketch of fixed size over all sets. Two sets that reach the threshold share a shingle
-   among the first n - ceil(t*n) + 1 of each, so only those prefixes are shuffled. Any order gives
-   the same result; the order only keeps the inverted lists short.
-2. Classes that meet in a prefix shingle at sizes that could reach the threshold are tied into
-   groups (components of the ties, made by joins). Classes outside groups have no links.
+1. Shingles whose hash lies below a bound are a sample, the same in all texts, and the number of
+   classes that hold each is counted. A class with more than n - ceil(t*n) sampled shingles of its
+   own only can have no link and is out.
+2. Every shingle has a place in one global order: sampled ones by that number, rare ones first, then
+   the others. Two sets that reach the threshold share a shingle among the first n - ceil(t*n) + 1
+   of each. Classes that meet there at sizes that could reach the threshold are tied into groups
+   (components of the ties, made by joins). Classes outside groups have no links.
 3. Within a group, an inverted index over whole sets answers a T-occurrence query per class: the
    long lists are set apart, the short ones are heap-merged, candidates with enough occurrences are
    looked up in the long lists by binary search, and those that reach the overlap T are links. Lists
@@ -39,13 +40,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, has_columns, saved
 
 N = 5
-#: The sketch's counters: its size is the same for any input.
-SKETCH = 1 << 22
+#: Shingles with a hash below this bound, two fifths of all, are the sample whose counts are made.
+BOUND = (1 << 65) // 5
 GROUP = 1024
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -56,31 +55,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A value a byte: upper-case letters have that of their lower case, white space has none.
 _KEYS = _mix((np.arange(1, 257, dtype=np.uint64)) * _M1)
-_POWERS = np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64)
-_POWERS = np.multiply.accumulate(_POWERS)
+_KEYS[65:91] = _KEYS[97:123]
+_KEYS[_BLANK] = 0
+_ODD = 0x9E3779B97F4A7C15
+_LONG = 1 << 16
+_POWERS = np.multiply.accumulate(np.full(_LONG, _ODD, np.uint64))
+_INVERSE = np.multiply.accumulate(np.full(_LONG, pow(_ODD, -1, 1 << 64), np.uint64))
+_TURN = np.multiply.accumulate(np.full(8, 0xD6E8FEB86659FD93, np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """One 64-bit hash a word of the lower-cased text."""
-    a = _LOWER[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-    blank = _BLANK[a]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    # Sum over the word's bytes of key(byte) * power(place): places beyond the table start anew with
-    # the table's number mixed in, so every byte's place counts.
-    at = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(a)])))) if not starts[0] else None
-    if at is None:
-        a, blank = a[starts[0]:], blank[starts[0]:]
-        ends, starts = ends - starts[0], starts - starts[0]
-        at = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(a)]))))
-    x = _KEYS[a] * _POWERS[at & 4095]
-    if len(a) and int(at.max()) > 4095:
-        x = _mix(x + (at >> 12).astype(np.uint64) * _M3)
-    x[blank] = 0
-    return _mix(np.add.reduceat(x, starts) + (ends - starts).astype(np.uint64) * _M1)
+    """One 64-bit hash a word of the lower-cased text: a polynomial over its bytes, mixed with its length."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    parts = []
+    at = 0
+    while at < len(raw):
+        a = raw[at:at + _LONG]
+        if at + len(a) < len(raw) and not _BLANK[a[-1]]:  # end the block at a word's end
+            gaps = np.flatnonzero(_BLANK[a])
+            if not len(gaps):
+                return _long_words(text)
+            a = a[:gaps[-1] + 1]
+        at += len(a)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[a], [True]))))
+        starts, ends = edge[::2], edge[1::2]
+        if len(starts):
+            h = np.add.reduceat(_KEYS[a] * _POWERS[:len(a)], starts) * _INVERSE[starts]
+            parts.append(_mix(h + (ends - starts).astype(np.uint64) * _M1))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _long_words(text: str) -> np.ndarray:
+    """The same for texts with words of over _LONG bytes: those are hashed by pieces."""
+    import hashlib
+
+    out = []
+    for word in filter(None, _SPACE.split(text)):
+        raw = word.encode("utf-8", "replace")
+        if len(raw) < _LONG:
+            out.append(word_hashes(word))
+        else:
+            digest = hashlib.blake2b(re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw), digest_size=8).digest()
+            out.append(np.frombuffer(digest, np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -89,10 +108,12 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     if not len(w):
         return w
     k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
+    m = len(w) - k + 1
+    h = np.full(m, k, np.uint64)
     for i in range(k):
-        h = _mix(h * _M1 + w[i:len(w) - k + 1 + i])
-    return np.unique(h)
+        h += w[i:m + i] * _TURN[i]
+    h = np.sort(_mix(h))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def need(n: int, percent: int) -> int:
@@ -105,10 +126,6 @@ def overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (_mix(h + _M1) & np.uint64(SKETCH - 1)).astype(np.int64)
-
-
 def class_id(h: np.ndarray) -> int | None:
     """A 64-bit name of a set, None for the empty one; equal sets have equal names."""
     if not len(h):
@@ -118,66 +135,74 @@ def class_id(h: np.ndarray) -> int | None:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row a document (doc_id, n, cls), and rows of the sketch.
-
-    A task counts its shingles in SKETCH counters and reports those well above what chance gives.
-    """
+    """(doc_id, n, cls) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches):
-        total, held, size = np.zeros(SKETCH, np.int64), [], 0
         for batch in batches:
-            got = [shingles(t) for t in batch.column("text").to_pylist()]
-            for g in got:
-                held.append(_slots(g))
-                size += len(g)
-                if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH)
-                    held, size = [], 0
-            m = len(got)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(g) for g in got], pa.int32()),
-                 pa.array(map(class_id, got), pa.int64()), pa.nulls(m, pa.int64())], ["doc_id", "n", "cls", "c"])
-            id_type = batch.column("doc_id").type
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=SKETCH)
-        mean = total.mean()
-        at = np.flatnonzero(total > mean + 6 * np.sqrt(mean) + 8)
-        if len(at):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), id_type), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.int64()),
-                 pa.array(total[at])], ["doc_id", "n", "cls", "c"])
-
-    return saved(docs.mapInArrow(count, f"doc_id {kind}, n int, cls long, c long"), "shingle-survey")
-
-
-def _prefixes(docs: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
-    """(h, n, cls) of every class's prefix in the order (sketch count, hash)."""
-    held = docs.sparkSession.sparkContext.broadcast(heavy)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [shingles(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(g) for g in got], pa.int32()),
+                     pa.array(map(class_id, got), pa.int64())], ["doc_id", "n", "cls"])
+
+    return saved(docs.mapInArrow(count, f"doc_id {kind}, n int, cls long"), "shingle-survey")
+
+
+def _low(h: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes below the sample's bound, and at least the prefix's number of the smallest."""
+    prefix = len(h) - need(len(h), percent) + 1
+    return h[:max(prefix, int(np.searchsorted(h, np.uint64(BOUND))))]
+
+
+def _sampled(docs: DataFrame, percent: int) -> DataFrame:
+    """(h, n, k, cls) of every class's sampled shingles; k is their number. Copies in one task come once."""
 
     def cut(batches):
-        count = np.zeros(SKETCH, np.int64)
-        count[held.value[:, 0]] = held.value[:, 1]
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                hs, ns, cs = [], [], []
-                for t in batch.column("text").slice(at, 512).to_pylist():
+            for at in range(0, batch.num_rows, 256):
+                hs, ns, ks, cs = [], [], [], []
+                for t in batch.column("text").slice(at, 256).to_pylist():
                     h = shingles(t)
                     c = class_id(h)
                     if c is None or c in seen:
                         continue
                     if len(seen) < 500_000:
                         seen.add(c)
-                    p = len(h) - need(len(h), percent) + 1
-                    hs.append(h[np.argsort(count[_slots(h)], kind="stable")[:p]].view(np.int64))
-                    ns.append(np.full(p, len(h), np.int32))
-                    cs.append(np.full(p, c, np.int64))
+                    low = _low(h, percent)
+                    hs.append(low.view(np.int64))
+                    ns.append(np.full(len(low), len(h), np.int32))
+                    ks.append(np.full(len(low), len(low), np.int32))
+                    cs.append(np.full(len(low), c, np.int64))
                 if hs:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (hs, ns, cs)], ["h", "n", "cls"])
+                        [pa.array(np.concatenate(x)) for x in (hs, ns, ks, cs)], ["h", "n", "k", "cls"])
+
+    return docs.select("text").mapInArrow(cut, "h long, n int, k int, cls long")
 
-    return docs.select("text").mapInArrow(cut, "h long, n int, cls long")
+
+def _prefixes(sampled: DataFrame, percent: int) -> DataFrame:
+    """(h, n, cls): the shared shingles of the prefixes of classes that can have a link at all.
+
+    The order of shingles: sampled ones by (number of classes, hash), then the others by hash. A
+    class with more than n - need(n) sampled shingles that no other class has can't reach the
+    overlap with any, and goes here.
+    """
+    w = Window.partitionBy("h").orderBy("n", "cls")
+    rows = sampled.withColumn("again", F.coalesce(F.lag("cls").over(w) == F.col("cls"), F.lit(False)))
+    rows = rows.withColumn("df", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("h")))
+    shared = rows.where(~F.col("again") & (F.col("df") > 1))
+    # Unsigned order: hashes from 2**63 on are negative as long, and beyond the sample's bound.
+    beyond = (F.col("h") < 0) | (F.col("h") >= BOUND)
+    one = F.struct(beyond.alias("x"), F.when(beyond, 0).otherwise(F.col("df")).alias("df"),
+                   F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("o"), "h")
+    listed = shared.groupBy("cls", "n", "k").agg(F.collect_list(one).alias("s"))
+    free = F.expr(f"n - cast(({percent} * n + 99) div 100 as int)")  # shingles that a link may do without
+    alone = F.col("k") - F.size("s")
+    kept = listed.where(alone <= free).withColumn("s", F.slice(F.array_sort("s"), F.lit(1), free + 1 - alone))
+    return kept.select(F.explode(F.transform("s", lambda x: x["h"])).alias("h"), "n", "cls")
 
 
 def _ties(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -323,10 +348,8 @@ def _links(grouped: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     docs = has_columns(docs, id_col, text_col).toDF("doc_id", "text")
-    survey = _survey(docs)
-    heavy = survey.where(F.col("c").isNotNull()).groupBy("n").agg(F.sum("c").alias("c")).toPandas().to_numpy(np.int64)
-    rows = survey.where(F.col("c").isNull()).select("doc_id", "n", "cls")
-    groups = connected_components(_ties(_prefixes(docs, heavy.reshape(-1, 2), percent), percent))
+    rows = _survey(docs)
+    groups = connected_components(_ties(_prefixes(_sampled(docs, percent), percent), percent))
     members = saved(groups.select(F.col("id").alias("cls"), F.col("component").alias("grp")), "shingle-groups")
     links = _links(_grouped_sets(docs, members), members, percent)
     comp = connected_components(links).select(F.col("id").alias("cls"), F.col("component").alias("root"))
