@@ -120,7 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> di
             yield pd.DataFrame(rows, columns=["doc_id", "at", "raw", "quality"])
 
     def learn(batches):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["doc_id", "at"])
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "at"])
         y = pdf["quality"].to_numpy(np.float32)
         if len(y) and 0 < y.mean() < 1:
             p = fit([bytes(x) for x in pdf["raw"]], y)
