@@ -28,7 +28,7 @@ def parse_hgvs(df: DataFrame, col: str = "hgvs") -> DataFrame:
     rows = rows.withColumn("inner", inner).select("*", F.posexplode(F.split("inner", ";")).alias("idx", "change"))
     g = lambda i: F.nullif(F.regexp_extract("change", CHANGE, i), F.lit(""))
     fits = F.col("change").rlike(CHANGE) & (F.col("kind") != "p")
-    digits = lambda x: F.when(x.rlike("^[0-9]+$"), x.cast("long"))
+    digits = lambda x: F.when(x.rlike("^[0-9]+$"), x.try_cast("long"))
     op = F.when(g(6).isNotNull(), "snv").when(g(8).isNotNull(), "identity").when(g(10).isNotNull() | g(11).isNotNull(), "delins") \
         .when(g(13).isNotNull(), "del").when(g(15).isNotNull(), "dup").when(g(17).isNotNull(), "ins").when(g(19).isNotNull(), "inv") \
         .when(g(20).isNotNull(), "repeat")
@@ -42,13 +42,13 @@ def parse_hgvs(df: DataFrame, col: str = "hgvs") -> DataFrame:
     at = F.when(F.col("ref_name") == "", 0).when(~F.col("kind").isin(*"cgmnpr"), F.length("ref_name") + 1).otherwise(F.length("ref_name") + 3)
     bad = ~(F.coalesce(fits, F.lit(False)) | F.coalesce(p_fits, F.lit(False)))
     return rows.select(
-        "row_id", F.nullif("ref_name", F.lit("")).alias("ref_name"), F.nullif("kind", F.lit("")).alias("kind"), F.col("idx").cast("long").alias("idx"),
-        pick(g(1), p(2)).alias("pos1"), pick(F.coalesce(g(2).cast("long"), F.lit(0)), F.lit(0)).alias("off1"),
+        "row_id", F.nullif("ref_name", F.lit("")).alias("ref_name"), F.nullif("kind", F.lit("")).alias("kind"), F.col("idx").try_cast("long").alias("idx"),
+        pick(g(1), p(2)).alias("pos1"), pick(F.coalesce(g(2).try_cast("long"), F.lit(0)), F.lit(0)).alias("off1"),
         pick(F.coalesce(g(3), g(1)), F.coalesce(p(4), p(2))).alias("pos2"),
-        pick(F.coalesce(F.when(g(3).isNotNull(), g(4)).otherwise(g(2)).cast("long"), F.lit(0)), F.lit(0)).alias("off2"),
+        pick(F.coalesce(F.when(g(3).isNotNull(), g(4)).otherwise(g(2)).try_cast("long"), F.lit(0)), F.lit(0)).alias("off2"),
         pick(op, p_op).alias("op"), pick(F.when(letters.rlike("^[ACGT]+$"), letters), F.concat(one(p(1)), F.coalesce(one(p(3)), F.lit("")))).alias("given"),
         pick(F.coalesce(g(6), g(10), g(12), g(18), g(20)), F.coalesce(p_seq, one(p(8)))).alias("alt"),
-        pick(F.coalesce(g(21).cast("long"), digits(letters)), F.lit(None).cast("long")).alias("n"),
+        pick(F.coalesce(g(21).try_cast("long"), digits(letters)), F.lit(None).try_cast("long")).alias("n"),
         F.when(bad, F.concat(F.lit("HgvsParsingError at "), at.cast("string"))).alias("error"))
 
 
@@ -63,7 +63,7 @@ def resolve_hgvs(changes: DataFrame, refs: DataFrame) -> DataFrame:
     got = changes.join(refs, "ref_name", "left")
 
     def place(c: str) -> Column:
-        n = F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
+        n = F.regexp_extract(c, "([0-9]+)$", 1).try_cast("long")
         sign = F.substring(c, 1, 1)
         coding = F.when(sign == "-", F.col("cds_left") - n).when(sign == "*", F.col("cds_right") + n - 1).otherwise(F.col("cds_left") + n - 1)
         return F.when(F.col("kind") == "c", coding).when(sign.isin("-", "*"), None).otherwise(n - 1)
@@ -136,7 +136,7 @@ MYVARIANT = r"^chr([0-9]{1,2}|X|Y|M|MT):g\.([0-9]+)(?:_([0-9]+))?(?:(delins)([AC
 
 
 def chromosome(c: Column) -> Column:
-    return F.when(c == "X", 23).when(c == "Y", 24).when(c.isin("M", "MT"), 25).otherwise(c.cast("int"))
+    return F.when(c == "X", 23).when(c == "Y", 24).when(c.isin("M", "MT"), 25).otherwise(c.try_cast("int"))
 
 
 def chromosome_label(c: Column) -> Column:
@@ -146,7 +146,7 @@ def chromosome_label(c: Column) -> Column:
 def parse_myvariant_ids(df: DataFrame, col: str = "id") -> DataFrame:
     """(row_id, chrom, left, right, given, alt, style, n, error) of chrN:g... texts."""
     g = lambda i: F.nullif(F.regexp_extract(col, MYVARIANT, i), F.lit(""))
-    a, b = g(2).cast("long"), F.coalesce(g(3), g(2)).cast("long")
+    a, b = g(2).try_cast("long"), F.coalesce(g(3), g(2)).try_cast("long")
     tail = F.coalesce(g(7), g(11))
     style = lambda name: F.when(tail.isNull(), name).when(tail.rlike("^[0-9]+$"), name + "WithLength").otherwise(name + "WithSequence")
     kind = F.when(g(6).isNotNull(), style("deletion")).when(g(10).isNotNull(), style("duplication")).otherwise("delins")
@@ -179,9 +179,9 @@ def parse_chrom_pos_ids(df: DataFrame, col: str = "id") -> DataFrame:
     """(row_id, chrom, left, right, ref, alt, error) of chr-pos-ref-alt texts."""
     form = r"^([0-9]{1,2}|X|Y|M|MT)-([0-9]+)-([ACGT]+)-([ACGT]+)$"
     g = lambda i: F.regexp_extract(col, form, i)
-    ok = F.col(col).rlike(form) & (g(2).cast("long") > 0)
-    return df.select("row_id", F.when(ok, chromosome(g(1))).alias("chrom"), F.when(ok, g(2).cast("long") - 1).alias("left"),
-                     F.when(ok, g(2).cast("long") - 1 + F.length(g(3))).alias("right"), F.when(ok, g(3)).alias("ref"), F.when(ok, g(4)).alias("alt"),
+    ok = F.col(col).rlike(form) & (g(2).try_cast("long") > 0)
+    return df.select("row_id", F.when(ok, chromosome(g(1))).alias("chrom"), F.when(ok, g(2).try_cast("long") - 1).alias("left"),
+                     F.when(ok, g(2).try_cast("long") - 1 + F.length(g(3))).alias("right"), F.when(ok, g(3)).alias("ref"), F.when(ok, g(4)).alias("alt"),
                      F.when(~ok, "UnknownFormatOfExACOrGnomADIdentifier").alias("error"))
 
 
@@ -198,7 +198,7 @@ def parse_short_ids(df: DataFrame, col: str = "text") -> DataFrame:
     rows = df.select("row_id", F.explode(F.split(col, ",")).alias("t")).withColumn("t", F.trim("t"))
     form = r"^(CA|PA|rs|RCV|COSM|COSN)0*([0-9]{1,10})(?:/([01]))?$"
     kind, num, flag = (F.regexp_extract("t", form, i) for i in (1, 2, 3))
-    value = num.cast("long")
+    value = num.try_cast("long")
     ok = F.col("t").rlike(form) & (value < 4294967295) & ((flag == "") | kind.startswith("COS"))
     name = F.when(kind == "rs", "dbSNP").when(kind == "RCV", "ClinVarRCV").when(kind.startswith("COS"), "COSMIC").otherwise(kind)
     attrs = F.when(kind.startswith("COS"), F.concat(F.when(kind == "COSM", "coding").otherwise("noncoding"), F.when(flag == "0", "").otherwise(",active")))
@@ -210,4 +210,4 @@ def sort_myvariant_ids(df: DataFrame, col: str = "id") -> DataFrame:
     """Rows by chromosome and position; malformed ones first, as they are."""
     form = r"^chr([0-9]{1,2}|X|Y|M|MT):g\.([0-9]+)"
     ok = F.col(col).rlike(form)
-    return df.orderBy(ok, chromosome(F.regexp_extract(col, form, 1)), F.regexp_extract(col, form, 2).cast("long"), "row_id")
+    return df.orderBy(ok, chromosome(F.regexp_extract(col, form, 1)), F.regexp_extract(col, form, 2).try_cast("long"), "row_id")

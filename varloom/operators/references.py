@@ -135,7 +135,7 @@ def lengths_and_builds(refs: DataFrame, exons: DataFrame) -> DataFrame:
         F.max("u_right").alias("u"), F.sum(F.col("s_right") - F.col("s_left")).alias("s"))
     rows = refs.join(spliced, "ref_id", "left")
     nc = F.regexp_extract("name", r"^NC_0000([0-9]{2})", 1)
-    chrom = F.when(nc != "", nc.cast("int")).when(F.col("name").isin("NC_012920.1", "NC_001807.4"), 25)
+    chrom = F.when(nc != "", nc.try_cast("int")).when(F.col("name").isin("NC_012920.1", "NC_001807.4"), 25)
     return rows.select("ref_id", "name", F.coalesce("u", "length").alias("length"), F.coalesce("s", "length").alias("spliced_length"),
                        F.nullif(F.regexp_extract("file", r"(GRCh38|GRCh37|NCBI36)", 1), F.lit("")).alias("build"), chrom.alias("chromosome"))
 

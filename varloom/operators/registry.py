@@ -118,7 +118,7 @@ def rebuild_identifier_index(known: DataFrame) -> DataFrame:
     """(id_type, id, variant_key): every identifier, and the RCVs in attrs of ClinVarVariant ones."""
     rcv = known.where((F.col("id_type") == "ClinVarVariant") & F.col("attrs").isNotNull()).select(
         F.lit("ClinVarRCV").alias("id_type"), F.explode(F.split("attrs", ",")).alias("r"), "variant_key")
-    rcv = rcv.select("id_type", F.regexp_replace("r", "^RCV0*", "").cast("long").alias("id"), "variant_key")
+    rcv = rcv.select("id_type", F.regexp_replace("r", "^RCV", "").try_cast("long").alias("id"), "variant_key")
     return known.select("id_type", "id", "variant_key").unionByName(rcv.where("id is not null")).distinct()
 
 
@@ -168,11 +168,20 @@ class Registry:
             key = {"variants": ["ref_id", "n_left"], "identifiers": ["id_type", "id"], "links": ["src_id", "ca_id"]}[name]
             (df.select(*cols).repartitionByRange(*key).sortWithinPartitions(*key)
              .write.mode("overwrite").parquet(f"{self.path}/v={v}/{name}"))
+        self._switch(v)
+        return v
+
+    def _switch(self, v: int) -> None:
+        """Points readers to a version: a new file takes the pointer's place in one rename."""
         fs, p = self._pointer()
-        out = fs.create(p, True)
-        out.write(bytearray(str(v).encode()))
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_next-{v}")
+        out = fs.create(new, True)
+        out.writeBytes(f"{v}\n")
         out.close()
-        return v
+        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, p, options)
 
     def register(self, batch: DataFrame, ids: DataFrame) -> DataFrame:
         table, known, answer = register(batch, ids, self.read("variants"), self.read("identifiers"))

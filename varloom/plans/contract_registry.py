@@ -328,7 +328,7 @@ def e3_attach_external_links(spark, d):
     return got.select("ca_id", F.when(F.col("externalSources").isNotNull(), F.size("externalSources")).cast("long").alias("n"))
 
 
-@query(reg("""select ca_id, '{"@id":"/allele/CA' || lpad(ca_id::varchar, greatest(6, length(ca_id::varchar)), '0') || '","type":"nucleotide","genomicAlleles":[{"referenceSequence":"' || ref_id ||
+@query(reg("""select ca_id, '{"@id":"/allele/CA' || lpad(ca_id::varchar, greatest(6, length(ca_id::varchar))::int, '0') || '","type":"nucleotide","genomicAlleles":[{"referenceSequence":"' || ref_id ||
   '","coordinates":[{"start":' || n_left || ',"end":' || n_right || ',"allele":"' || inserted || '"}]}]}' as json from v"""))
 def e4_document_json(spark, d):
     rows = registered(spark, d)[0].select("ca_id", "ref_id", "n_left", "n_right", "inserted", F.lit(None).cast("string").alias("original"), F.array().cast("array<string>").alias("ids"))
@@ -446,8 +446,8 @@ def x5_links_by_ids(spark, d):
     return got.select("row_id", "ca_id", F.array_join(F.transform("links", lambda x: F.concat_ws("/", x["src_id"].cast("string"), F.get(x["params"], F.lit(0)))), ",").alias("t"))
 
 
-@query(D.with_ctes(["links"], """select ca_id, src_id, 'http://example.org/CA' || lpad(ca_id::varchar, greatest(6, length(ca_id::varchar)), '0') || '/' ||
-  lpad(params[1], greatest(4, length(params[1])), '0') || '?f=' || params[2] as at_id, params[2] || '-' || params[1] as gui_label, 'http://example.org/gui/' || params[1] as gui_url
+@query(D.with_ctes(["links"], """select ca_id, src_id, 'http://example.org/CA' || lpad(ca_id::varchar, greatest(6, length(ca_id::varchar))::int, '0') || '/' ||
+  lpad(params[1], greatest(4, length(params[1]))::int, '0') || '?f=' || params[2] as at_id, params[2] || '-' || params[1] as gui_label, 'http://example.org/gui/' || params[1] as gui_url
   from links where src_id between 1 and 249"""))
 def x6_render_link_templates(spark, d):
     return links.render_links(D.links(spark, d), D.sources(spark, d))

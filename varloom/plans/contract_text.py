@@ -33,9 +33,9 @@ def h3_format_hgvs_genomic(spark, d):
 
 @query(D.with_ctes(["norm"], RIGHT + """ select row_id, ref_id::varchar as ref_name, 'g' as kind,
   case when change like '%dup' then 'dup' when change like '%delins%' then 'delins' when change like '%del%' then 'del' when change like '%ins%' then 'ins'
-  when change like '%=' then 'identity' when change like '%>%' then 'snv' end as op, null::varchar as error from h where change not like '%ins' or change like '%\\_%'"""))
+  when change like '%=' then 'identity' when change like '%>%' then 'snv' end as op, null::varchar as error from h where change not like '%ins'"""))
 def h1_parse_hgvs(spark, d):
-    got = hgvs.parse_hgvs(_hgvs(spark, d).where("hgvs not like '%ins' or hgvs like '%\\_%'"))
+    got = hgvs.parse_hgvs(_hgvs(spark, d).where("hgvs not like '%ins'"))
     return got.select("row_id", "ref_name", "kind", "op", "error")
 
 

@@ -30,15 +30,15 @@ def read_align(spark: SparkSession, path: str) -> DataFrame:
 
     One task reads one file; the running target position comes from a window per name.
     """
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     parts = rows.select(F.explode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("v"))
     recs = parts.select(F.regexp_extract("v", r"^\s*(\S+)", 1).alias("name"), F.posexplode(F.filter(
         F.transform(F.slice(F.split("v", "\r?\n"), 2, 1 << 20), lambda s: F.regexp_replace(s, "#.*$", "")), lambda s: F.trim(s) != "")).alias("idx", "s"))
     f = F.split("s", "[\t ]", -1)
-    recs = recs.select("name", F.col("idx").cast("long").alias("idx"), F.get(f, F.lit(0)).alias("unaligned"), F.get(f, F.lit(1)).alias("ref"), F.get(f, F.lit(2)).alias("strand"),
-                       F.get(f, F.lit(3)).cast("long").alias("offset"), F.get(f, F.lit(4)).alias("cigar"),
+    recs = recs.select("name", F.col("idx").try_cast("long").alias("idx"), F.get(f, F.lit(0)).alias("unaligned"), F.get(f, F.lit(1)).alias("ref"), F.get(f, F.lit(2)).alias("strand"),
+                       F.get(f, F.lit(3)).try_cast("long").alias("offset"), F.get(f, F.lit(4)).alias("cigar"),
                        F.filter(F.slice(f, 6, 1 << 20), lambda x: x != "").alias("seqs"))
-    total = lambda ops: F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(f"([0-9]+)[{ops}]"), F.lit(1)), lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    total = lambda ops: F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(f"([0-9]+)[{ops}]"), F.lit(1)), lambda x: x.try_cast("long")), F.lit(0).try_cast("long"), lambda a, x: a + x)
     w = Window.partitionBy("name").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     span = F.length("unaligned") + total("M=XI")
     return recs.withColumn("trg_start", F.coalesce(F.sum(span).over(w), F.lit(0)) + F.length("unaligned")).withColumn("src_span", total("M=XD"))
@@ -51,31 +51,32 @@ def bad_transcripts(align: DataFrame) -> DataFrame:
     rows = align.withColumn("end", F.when(plus, F.col("offset") + F.col("src_span")).otherwise(F.col("offset")))
     rows = rows.withColumn("prev", F.when(plus, F.lag("end").over(w)).otherwise(F.lag("offset").over(w)))
     wrong = F.when(plus, F.col("offset") < F.col("prev")).otherwise(F.col("offset") + F.col("src_span") > F.col("prev"))
-    one = rows.groupBy("name").agg(F.countDistinct("ref").alias("refs"), F.countDistinct("strand").alias("strands"), F.max(wrong.cast("int")).alias("order"),
+    one = rows.groupBy("name").agg(F.countDistinct("ref").alias("refs"), F.countDistinct("strand").alias("strands"), F.max(wrong.try_cast("int")).alias("order"),
                                    F.max(F.when((F.col("idx") > 0) & (F.col("unaligned") != ""), 1).otherwise(0)).alias("inside"))
     return one.select("name", F.when(F.col("refs") > 1, "references").when(F.col("strands") > 1, "strands").when(F.col("order") == 1, "order")
                       .when(F.col("inside") == 1, "unaligned inside").alias("problem")).where("problem is not null")
 
 
 def _tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    df = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return df.toDF(*[c.strip('"') for c in df.columns])
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
     """(hgnc_id, symbol, name, active, aliases, entrez_id, ensembl_id)."""
     df, c = _tsv(spark, path), F.col
-    listed = lambda x: F.filter(F.transform(F.split(F.coalesce(c(f"`{x}`"), F.lit("")), ","), F.trim), lambda v: v != "")
+    listed = lambda x: F.filter(F.transform(F.split(F.coalesce(c(f"`{x}`"), F.lit("")), ","), lambda v: F.trim(v)), lambda v: v != "")
     gone = c("`Approved Symbol`").endswith("~withdrawn")
-    return df.select(F.regexp_extract("HGNC ID", "([0-9]+)$", 1).cast("long").alias("hgnc_id"), F.regexp_replace("Approved Symbol", "~withdrawn$", "").alias("symbol"),
+    return df.select(F.regexp_extract("HGNC ID", "([0-9]+)$", 1).try_cast("long").alias("hgnc_id"), F.regexp_replace("Approved Symbol", "~withdrawn$", "").alias("symbol"),
                      c("`Approved Name`").alias("name"), (~gone).alias("active"), F.array_distinct(F.concat(
                          listed("Previous Symbols"), listed("Synonyms"), F.filter(F.array(c("`Ensembl Gene ID`"), c("`Entrez Gene ID`")), lambda v: v.isNotNull()))).alias("aliases"),
-                     c("`Entrez Gene ID`").cast("long").alias("entrez_id"), c("`Ensembl Gene ID`").alias("ensembl_id"))
+                     c("`Entrez Gene ID`").try_cast("long").alias("entrez_id"), c("`Ensembl Gene ID`").alias("ensembl_id"))
 
 
 def read_mane(spark: SparkSession, path: str) -> DataFrame:
     """(hgnc_id, refseq, ensembl): the last row of an id wins."""
     df = _tsv(spark, path).withColumn("n", F.monotonically_increasing_id())
-    return df.groupBy(F.regexp_replace("HGNC_ID", "^HGNC:", "").cast("long").alias("hgnc_id")).agg(
+    return df.groupBy(F.regexp_replace("HGNC_ID", "^HGNC:", "").try_cast("long").alias("hgnc_id")).agg(
         F.max_by("RefSeq", "n").alias("refseq"), F.max_by("Ensembl_ID", "n").alias("ensembl"))
 
 
@@ -95,8 +96,8 @@ def read_transcript_meta(spark: SparkSession, path: str, known: DataFrame, genes
     """(ref_id, reference, gene, cds_left, cds_right, protein, frame_offset) of known references; genes by Entrez id only."""
     df = _tsv(spark, path)
     opt = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
-    rows = df.select(F.col("Reference").alias("name"), F.col("Gene").cast("long").alias("entrez_id"), F.col("CDSleft").cast("long").alias("cds_left"),
-                     F.col("CDSright").cast("long").alias("cds_right"), opt("Protein").alias("protein"), F.coalesce(opt("Frameshift").cast("int"), F.lit(0)).alias("frame_offset"))
+    rows = df.select(F.col("Reference").alias("name"), F.col("Gene").try_cast("long").alias("entrez_id"), F.col("CDSleft").try_cast("long").alias("cds_left"),
+                     F.col("CDSright").try_cast("long").alias("cds_right"), opt("Protein").alias("protein"), F.coalesce(opt("Frameshift").try_cast("int"), F.lit(0)).alias("frame_offset"))
     return rows.join(known, "name").join(genes.select("entrez_id", "hgnc_id"), "entrez_id", "left")
 
 
@@ -142,7 +143,7 @@ def explode_vcf(rows: DataFrame) -> DataFrame:
     """Body lines (line, value) -> a row an alternative; '.' stands for the reference; positions from 0."""
     f = F.split("value", "\t")
     body = rows.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    got = body.select("line", F.col("value").alias("text"), F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("pos"), F.get(f, F.lit(2)).alias("ids"),
+    got = body.select("line", F.col("value").alias("text"), F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).alias("ids"),
                       F.upper(F.get(f, F.lit(3))).alias("ref"), F.posexplode(F.split(F.upper(F.get(f, F.lit(4))), ",")).alias("alt_no", "a"))
     return got.select("line", "text", "chrom", (F.col("pos") - 1).alias("left"), (F.col("pos") - 1 + F.length("ref")).alias("right"), "ref",
                       F.when(F.col("a") == ".", F.col("ref")).otherwise(F.col("a")).alias("alt"), "alt_no", "ids")
