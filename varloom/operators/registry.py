@@ -143,7 +143,7 @@ class Registry:
 
     def _pointer(self):
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> int:
