@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .normalize import NORMAL, definition_order, variant_key
+from .normalize import NORMAL, definition_order
 
 DEFINITION = ["ref_id", *NORMAL]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varloom.operators import hgvs, links, lookups, normalize, output, reconcile, registry
+from varloom.operators import links, lookups, normalize, output, reconcile, registry
 from varloom.session import saved, scratch_path
 from varloom.streaming.register_stream import event_batch, register_stream
 
