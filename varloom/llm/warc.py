@@ -20,7 +20,6 @@ import hashlib
 import struct
 import uuid
 
-import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
