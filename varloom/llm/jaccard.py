@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -43,6 +42,8 @@ N = 5
 #: Shingles with a hash below this bound, two fifths of all, are the sample whose counts are made.
 BOUND = (1 << 65) // 5
 GROUP = 1024
+#: Merged by a heap up to so many members.
+HEAP = 256
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BLANK = np.zeros(256, bool)
@@ -242,36 +243,50 @@ def _grouped_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(build, "cls long, n int, s binary").dropDuplicates(["cls"])
 
 
-def divide_skip(lists: list[list[int]], low: int, share: int) -> dict[int, int]:
+def long_share(low: int, longest: int) -> int:
+    """How many lists DivideSkip sets apart as long: low / (mu * log2(length) + 1), mu as published."""
+    return int(low / (0.0085 * np.log2(max(longest, 2)) + 1))
+
+
+def divide_skip(lists: list[np.ndarray], low: int, share: int, skip: np.ndarray | None = None) -> dict[int, int]:
     """members -> occurrences of those in at least `low` of the ascending lists.
 
-    The `share` longest lists are probed by binary search; the others are heap-merged.
+    The `share` longest lists are probed by binary search; the others are merged, a few members with
+    a heap, many by sorting their runs. Members marked in skip are passed over.
     """
     lists = sorted(lists, key=len)
     share = max(0, min(share, low - 1, len(lists) - 1))
     short, long_ = lists[:len(lists) - share], lists[len(lists) - share:]
-    want = low - share
-    heap = [(x[0], k, 0) for k, x in enumerate(short) if x]
-    heapq.heapify(heap)
-    out: dict[int, int] = {}
-    while heap:
-        member, n = heap[0][0], 0
-        while heap and heap[0][0] == member:
-            _, k, at = heap[0]
-            n += 1
+    if sum(map(len, short)) > HEAP:
+        member, n = np.unique(np.concatenate(short), return_counts=True)
+    else:
+        heap = [(x[0], k, 0) for k, x in enumerate(short) if len(x)]
+        heapq.heapify(heap)
+        merged: list[list[int]] = []
+        while heap:
+            head, k, at = heap[0]
+            if merged and merged[-1][0] == head:
+                merged[-1][1] += 1
+            else:
+                merged.append([head, 1])
             if at + 1 < len(short[k]):
                 heapq.heapreplace(heap, (short[k][at + 1], k, at + 1))
             else:
                 heapq.heappop(heap)
-        if n >= want:
-            for k, x in enumerate(long_):
-                if n + len(long_) - k < low:
-                    break
-                at = bisect_left(x, member)
-                n += at < len(x) and x[at] == member
-            if n >= low:
-                out[member] = n
-    return out
+        member, n = np.array(merged, np.int64).reshape(-1, 2).T
+    keep = n >= low - share
+    if skip is not None:
+        keep &= ~skip[member]
+    member, n = member[keep], n[keep]
+    for k, x in enumerate(long_):
+        may = n + len(long_) - k >= low
+        if not may.all():
+            member, n = member[may], n[may]
+        if not len(member):
+            return {}
+        at = np.searchsorted(x, member)
+        n = n + (np.asarray(x)[np.minimum(at, len(x) - 1)] == member)
+    return dict(zip(member[n >= low].tolist(), n[n >= low].tolist()))
 
 
 def join_unit(names: np.ndarray, arrays: list[np.ndarray], percent: int) -> np.ndarray:
@@ -286,7 +301,10 @@ def join_unit(names: np.ndarray, arrays: list[np.ndarray], percent: int) -> np.n
     comp = np.arange(m)
     owner = np.full(len(token), -1)  # a member while all members are of one component, -2 else
     last = np.full(len(token), -1)
-    lists: dict[int, list[int]] = {}
+    # The inverted lists of all tokens in one array; of each, the first `filled` members are in the index.
+    posts = np.repeat(np.arange(m), sizes)[np.argsort(inverse, kind="stable")]
+    begin = np.concatenate(([0], np.cumsum(count)[:-1]))
+    filled = np.zeros(len(token), np.int64)
     kept: list[np.ndarray] = []
 
     def tie(a: int, b: int) -> None:
@@ -307,7 +325,8 @@ def join_unit(names: np.ndarray, arrays: list[np.ndarray], percent: int) -> np.n
             o = owner[t]
             open_ = t[(o == -2) | ((o >= 0) & (comp[o] != comp[q]))]
             if len(open_) >= low:
-                found = divide_skip([lists[k] for k in open_.tolist()], low, max(1, low // 2))
+                asked = [posts[a:a + n] for a, n in zip(begin[open_].tolist(), filled[open_].tolist())]
+                found = divide_skip(asked, low, long_share(low, max(map(len, asked))), comp == comp[q])
                 # Shared lists of q's own component were left out: its members' counts are too low,
                 # those of all others are exact.
                 for c, n in found.items():
@@ -317,8 +336,7 @@ def join_unit(names: np.ndarray, arrays: list[np.ndarray], percent: int) -> np.n
         owner[t[o == -1]] = q
         owner[t[(o >= 0) & (comp[o] != comp[q])]] = -2
         last[t] = q
-        for k in t.tolist():
-            lists.setdefault(k, []).append(q)
+        filled[t] += 1
     root = np.empty(m, np.int64)
     root[order] = order[comp]
     return root
