@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +35,14 @@ from .common import has_columns, saved
 WINDOW, GRAIN, CLOSE = 4096, 32, 2
 SHARD, QUERY_TERMS = 2048, 16
 K1, B = 1.2, 0.75
-#: Encoded words that a Python worker keeps; beyond, they are encoded anew.
-CACHE = 500_000
-_ODD = re.compile(r"[^\S \t\n\r\x0b\x0c]")
+#: Encoded words that a task keeps; beyond, they are encoded anew.
+CACHE = 1_000_000
+#: White space that the tokenizer and str.split() may see differently: such texts are encoded whole.
+#: Below this letter lower case and composed form go letter by letter, as in the tokenizer.
+_PLAIN = "\u0250"
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_CONTROL = "\x1c\x1d\x1e\x1f"
+_WIDE = "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 class Encoder:
@@ -53,27 +58,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.last = np.zeros(self.vocabulary, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Frees the caches: a Python worker lives on, and other stages need its memory."""
+        self.words.clear()
+        self.pieces.clear()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded in long lines: each piece ends with the one token that ends a word."""
+        out: list[bytes] = []
+        parts = [pieces[i:i + 1000] for i in range(0, len(pieces), 1000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                out += self._ids(part)
+                continue
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words; those of plain letters are cut into the tokenizer's pieces, which repeat more often."""
+        known, cut, odd = self.pieces, {}, []
+        for w in words:
+            if w.isascii() or max(w) < _PLAIN and "\u0130" not in w:
+                cut[w] = _PIECES.findall(w.lower())
+            else:
+                odd.append(w)
+        pieces = list({p for ps in cut.values() for p in ps if p not in known})
+        ids = self._pieces(pieces)
+        if len(known) + len(pieces) > CACHE:
+            known.clear()
+            pieces = list({p for ps in cut.values() for p in ps})
+            ids = self._pieces(pieces)
+        known.update(zip(pieces, ids))
+        out = {w: b"".join([known[p] for p in ps]) for w, ps in cut.items()}
+        out.update(zip(odd, self._ids(odd)))
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; words that are new to the cache are encoded together."""
+        known, get = self.words, self.words.__getitem__
+        out: list = [b""] * len(texts)
+        open_, new = [], set()
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(c in text for c in _CONTROL) or not text.isascii() and any(c in text for c in _WIDE):
+                out[i] = self._ids([text])[0]
+                continue
+            words = text.split()
+            try:
+                out[i] = b"".join(map(get, words))
+            except KeyError:
+                open_.append((i, words))
+                new.update(set(words).difference(known))
+        if open_:
+            got = self._new(new)
+            fits = len(known) + len(got) <= CACHE
+            if fits:
+                known.update(got)
+            for i, words in open_:
+                out[i] = b"".join(map(get, words)) if fits else b"".join(
+                    [known[w] if w in known else got[w] for w in words])
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._ids([text])[0]
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            got = dict(zip(new, self._ids(new)))
-            out = b"".join([known[w] if w in known else got[w] for w in words])
-            for w in new[:max(0, CACHE - len(known))]:
-                if len(w) < 64:
-                    known[w] = got[w]
-            return out
+        return self.encode_many([text])[0]
 
 
 @lru_cache(2)
@@ -142,8 +201,8 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ns, crcs, terms, tfs = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    raw = enc.encode(text) + end
+                for raw in enc.encode_many(part.column("text").to_pylist()):
+                    raw += end
                     step = 4 * GRAIN
                     crcs.append(np.array([zlib.crc32(raw[k:k + step]) for k in range(0, len(raw), step)], "<u4").tobytes())
                     ids = np.frombuffer(raw, "<u4")
@@ -157,6 +216,7 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(range(row, row + m), pa.int64()), pa.array(ns, pa.int64()),
                      *(pa.array(x, pa.binary()) for x in (crcs, terms, tfs))], names)
                 row += m
+        enc.forget()
         if (at := np.flatnonzero(df)).size:
             m = len(at)
             yield pa.RecordBatch.from_arrays(
@@ -275,8 +335,8 @@ def sequences(pieces: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         enc = encoder(path)
-        return pa.array([np.append(np.frombuffer(enc.encode(t), "<u4").astype(np.int32), np.int32(CLOSE))
-                         for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([np.append(np.frombuffer(raw, "<u4").astype(np.int32), np.int32(CLOSE))
+                         for raw in enc.encode_many(texts.to_pylist())], pa.list_(pa.int32()))
 
     coded = has_columns(docs, "doc_id", "text").select("doc_id", ids("text").alias("ids"))
     part = pieces.join(coded, "doc_id").select("sequence_id", F.struct(
