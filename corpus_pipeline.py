@@ -4,7 +4,7 @@
 2. quality: documents that the byte-level network scores below 0.5 go.
 3. near_duplicates: of each group of near copies (five-word shingles, similarity 0.75 or more) one
    document stays, the one with the smallest id.
-4. secrets: the base secret spans of each text are replaced by a mark; every document stays.
+4. secrets: the secret spans of each text, base and linked, are replaced by a mark; every document stays.
 5. packing: the documents become token windows; this stage returns the pieces.
 
 Stages 1 to 4 return the columns of documents. Defined results: of rows that repeat doc_id and text,

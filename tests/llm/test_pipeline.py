@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from varloom.llm import queries
+from varloom.llm import queries, secretscan
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,6 +33,24 @@ def test_stages(spark, tmp_path):
     assert kept["secrets"].where(F.col("text").contains("04dbebab91ab85687d33eeaaf9ac699e1188f962")).count() == 0
 
 
+def test_linked_secrets_do_not_reach_packing(spark, tmp_path):
+    bare = "aB3dEf7hIj1kLmN0pQr5tUv8wXyZ2aB4cD6eF8gH"
+    texts = [f"plain user = bob_99 at https://db.example.com:5432/x with {bare} ok", f"{bare} alone", "user = bob_99 alone",
+             f"token=abcdefgh {'x ' * 300} user=eve_77 {bare}", None]
+    docs = spark.createDataFrame([(i, t, "k", "l", 0) for i, t in enumerate(texts + texts[:1])],
+                                 "doc_id long, text string, key string, parts string, n_chars int")
+    out = pipeline.secrets(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 6 and {(r.key, r.parts) for r in got.values()} == {("k", "l")}
+    assert got[0].text == got[5].text == "plain [REDACTED] at [REDACTED]/x with [REDACTED] ok"
+    assert [got[i].text for i in (1, 2, 4)] == [texts[1], texts[2], None]
+    assert got[3].text == f"[REDACTED] {'x ' * 300} [REDACTED] [REDACTED]"
+    assert got[0].n_chars == len(got[0].text) and got[4].n_chars is None
+    spans = {r.doc_id: r.spans for r in secretscan.scan(docs).collect()}
+    assert [len(spans[i]) for i in range(6)] == [3, 0, 0, 3, 0, 3]
+
+
 def test_registered():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"} and set(queries.oracle_sql()) <= names

@@ -71,6 +71,14 @@ def _parts(text: Column) -> tuple[Column, Column]:
     return strong, weak
 
 
+def _keyed(text: Column) -> Column:
+    """struct<strong,weak,key>: the parts of text, and its key where parts may be linked."""
+    strong, weak = _parts(text)
+    return F.transform(F.array(F.struct(strong.alias("strong"), weak.alias("weak"))), lambda p: F.struct(
+        p["strong"].alias("strong"), p["weak"].alias("weak"),
+        F.when((F.size(p["weak"]) > 0) & (F.size(p["strong"]) + F.size(p["weak"]) > 1), F.sha2(text, 256)).alias("key")))[0]
+
+
 def _role(k: Column) -> Column:
     at = lambda names: k.isin([KINDS.index(x) for x in names])
     return F.when(at(IDENTIFIER), "i").when(at(SECRET), "s").otherwise("p")
@@ -100,11 +108,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of struct<s,k,e> sorted by start, then kind; all by text."""
     docs = has_columns(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    strong, weak = _parts(text)
-    rows = docs.select("doc_id", strong.alias("strong"), weak.alias("weak"), text.alias("t"))
-    linkable = (F.size("weak") > 0) & (F.size("strong") + F.size("weak") > 1)
-    rows = rows.select("doc_id", "strong", "weak", F.when(linkable, F.sha2("t", 256)).alias("key"))
-    rows = saved(rows, "secret-parts")
+    rows = saved(docs.select("doc_id", _keyed(text).alias("parts")).select("doc_id", "parts.*"), "secret-parts")
     joined = rows.join(_linked(rows), "key", "left")
     base = F.array_sort("strong")
     return joined.select("doc_id", base.alias("base"), F.array_sort(
@@ -125,24 +129,35 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """docs with every base span of text replaced by the mark (overlapping spans by one).
+    """docs with every span of text that scan() reports, base or linked, replaced by the mark (overlapping spans by one).
 
-    Other columns stay, but n_chars, where there is one, is counted anew. In place in each row: the
-    base spans need no join.
+    Other columns stay, but n_chars, where there is one, is counted anew. Only rows whose text may
+    hold linked spans are joined with them, by the text's key; the rest is done in place.
     """
+    own = "parts"
+    while own in docs.columns:
+        own += "_"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = saved(docs.withColumn(own, _keyed(text)), "secret-rows")
+    key = F.col(own)["key"]
+    linked = _linked(rows.select(f"{own}.*")).select(F.col("key").alias(f"{own}_key"), F.col("linked").alias(f"{own}_linked"))
+    open_ = rows.where(key.isNotNull()).join(linked, key == F.col(f"{own}_key"), "left")
+    strong = F.col(own)["strong"]
+    spans = F.concat(strong, F.coalesce(f"{own}_linked", F.array().cast(SPAN)))
+    return _marked(rows.where(key.isNull()), docs, strong, mark).unionByName(_marked(open_, docs, spans, mark))
+
+
+def _marked(rows: DataFrame, docs: DataFrame, spans: Column, mark: str) -> DataFrame:
+    """rows with the columns of docs and the spans of text replaced by the mark."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    strong, weak = _parts(text)
-    weak_free = F.array_sort(strong)
     done = F.aggregate(
-        weak_free, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["at"], x["e"]).alias("at"),
             F.when(x["s"] < a["at"], a["out"]).otherwise(
                 F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))).alias("out")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    hit = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)
-    out = {"text": F.when(hit, done).otherwise(F.col("text"))}
-    rows = docs.withColumns(out)
+    rows = rows.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text"))).select(docs.columns)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows
