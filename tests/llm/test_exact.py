@@ -269,6 +269,46 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {} as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_licenses_in_wrapped_texts(spark):
+    notes = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    gpl3, gpl2 = GPL.format(":", "General Public License", ",", 3), GPL.format(";", "General Public License", ";", 2)
+    cases = [(MIT, "MIT"), ("/*\n" + notes(MIT, " *") + "\n */", "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), (gpl3, "GPL-3.0-or-later"), (notes(gpl3, "#"), "GPL-3.0-or-later"), (notes(gpl3, "dnl"), "GPL-3.0-or-later"),
+             (gpl2, "GPL-2.0-or-later"), (GPL.format(":", "Affero General Public License", ",", 3), "AGPL-3.0-or-later"), (BSD, "BSD-3-Clause"), (notes(BSD, "//"), "BSD-3-Clause"),
+             (APACHE, "Apache-2.0"), (notes(APACHE, "#"), "Apache-2.0"), ("This file is released under the MIT License.", "MIT"), ("It is not licensed under the MIT license.", ""),
+             ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"), ("Released under the MIT. License.", ""), ("Released under the\n\nMIT License.", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_warc(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 4000)
     rows = [(i, f"http://h/{i}", f"<p>page {i % 40}</p>" * (i % 7)) for i in range(200)]

@@ -1,8 +1,10 @@
 """License scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters, digits and single spaces
-only) and looked up among the known licence sentences; the identifiers found, in the order of the
-text, are then matched against the ordered rules. A rule is a sequence of sentence identifiers that
+A text is cut into sentences at full stops and blank lines; lines of comment marks alone are blank.
+Each is normalised (lower case, letters, digits and single spaces only, so that comment marks and
+line ends within it go), and known licence sentences are looked up in it, as a whole or as a part,
+the leftmost first and at a place the longest; one after "not" doesn't count. The identifiers found,
+in the order of the text, are then matched against the ordered rules. A rule is a sequence of sentence identifiers that
 must follow one another among the identifiers found; the first rule that matches at a place wins
 there, since more specific rules stand earlier.
 
@@ -43,28 +45,55 @@ RULES = (
     ((3,), "GPL-3.0"), ((9,), "GPL-3.0-or-later"), ((10,), "BSD-2-Clause"), ((4,), "CC-BY-NC-4.0"),
     ((14,), "CC-BY-4.0"), ((15,), "CC-BY-4.0"), ((16,), "CC-BY-SA-4.0"),
 )
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_LATER = "license as published by the free software foundation either version {} of the license or at your option any later version"
+#: Further sentences and their rules, which the SQL doesn't know.
+MORE = {
+    17: f"this program {_FREE} general public {_LATER.format('2')}",
+    18: f"this library {_FREE} lesser general public {_LATER.format('2 1')}",
+    19: f"this library {_FREE} lesser general public {_LATER.format('3')}",
+    20: f"this program {_FREE} lesser general public {_LATER.format('3')}",
+    21: f"this program {_FREE} affero general public {_LATER.format('3')}",
+    22: f"this program {_FREE} general public license version 2 as published by the free software foundation",
+    23: f"this program {_FREE} general public license as published by the free software foundation version 2",
+    24: "this work is licensed under the gnu general public license version 3 or later",
+    25: "this source code form is subject to the terms of the mozilla public license v 2 0",
+    26: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    27: "this is free and unencumbered software released into the public domain",
+}
+MORE_RULES = (
+    ((17,), "GPL-2.0-or-later"), ((18,), "LGPL-2.1-or-later"), ((19,), "LGPL-3.0-or-later"), ((20,), "LGPL-3.0-or-later"),
+    ((21,), "AGPL-3.0-or-later"), ((22,), "GPL-2.0-only"), ((23,), "GPL-2.0-only"), ((24,), "GPL-3.0-or-later"),
+    ((25,), "MPL-2.0"), ((26,), "ISC"), ((27,), "Unlicense"),
+)
 #: Every known sentence has one of these words.
-HINT = r"(?i)licen|permission|redistribut|copyright|free software"
-END = r"[.!?:;]+(?:\s+|$)|\n+"
+HINT = r"(?i)licen|permission|redistribut|copyright|unencumbered"
+#: Over lower case. A full stop after a lone v is no end ("v. 2.0").
+END = r"(?<![ ,\n]v)[.!?]+(?:\s+|$)|\n[^a-z0-9\n]*(?:\n|$)"
+MARK = r"(?m)^[ \t]*(?:dnl|rem)\b"
 
 
 def sentences(text: Column) -> Column:
-    cut = F.split(text, END, -1)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    """The normalised sentences in one text, apart by bars."""
+    cut = F.regexp_replace(F.regexp_replace(F.lower(text), MARK, ""), r"\|", " ")
+    return F.regexp_replace(F.regexp_replace(cut, END, "|"), "[^a-z0-9|]+", " ")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses): text lists joined by commas."""
     docs = has_columns(docs, "doc_id", "text")
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, f"{i:02d}")])
+    table, rules = SENTENCES | MORE, RULES + MORE_RULES
+    known = F.create_map(*[F.lit(x) for i, s in table.items() for x in (s, f"{i:02d}")])
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = F.when(text.rlike(HINT), F.filter(
-        F.transform(sentences(text), lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    # As one alternation: the leftmost place first, and at a place the longest sentence.
+    found = r"(?<!\bnot )\b(" + "|".join(sorted(table.values(), key=len, reverse=True)) + r")\b"
+    ids = F.when(text.rlike(HINT), F.transform(
+        F.regexp_extract_all(sentences(text), F.lit(found), F.lit(1)), lambda s: F.element_at(known, s))
     ).otherwise(F.array().cast("array<string>"))
     # Rules in their order, as one alternation over the identifiers' text: the leftmost place first,
     # and at a place the earliest rule.
-    rule = "|".join("".join(f"{i:02d}," for i in seq) for seq, _ in RULES)
-    named = F.create_map(*[F.lit(x) for seq, name in RULES for x in ("".join(f"{i:02d}," for i in seq), name)])
+    rule = "|".join("".join(f"{i:02d}," for i in seq) for seq, _ in rules)
+    named = F.create_map(*[F.lit(x) for seq, name in rules for x in ("".join(f"{i:02d}," for i in seq), name)])
     rows = docs.select("doc_id", ids.alias("ids"))
     line = F.concat_ws("", F.transform("ids", lambda x: F.concat(x, F.lit(","))))
     hits = F.transform(F.regexp_extract_all(line, F.lit(f"({rule})"), F.lit(1)), lambda m: F.element_at(named, m))
