@@ -104,6 +104,20 @@ def test_packing_neighbours_share_words():
     assert len(set(first)) == 1
 
 
+def test_packing_scores_use_all_terms_and_counts(spark):
+    rng = np.random.default_rng(5)
+    terms = [np.sort(rng.choice(90, 60, replace=False)).astype(np.uint16) for _ in range(12)]
+    tfs = [rng.integers(1, 3000, 60).astype(np.uint32) for _ in terms]
+    n, idf, mean = np.array([t.sum() for t in tfs]), rng.uniform(0.1, 5, 90).astype(np.float32), 50000.0
+    index = packing.Index(terms, tfs, n, idf, mean)
+    for seed in range(12):
+        want = [sum(idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n[j] / mean)) for t, f in zip(terms[j], tfs[j].astype(float)) if t in terms[seed]) for j in range(12)]
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+    one = spark.createDataFrame([(1, "the of " * 3000 + "the")], "doc_id long, text string")
+    row = packing._encoded(one, P.path("word_bpe_49k.json")).where("crcs is not null").first()
+    assert sorted(np.frombuffer(row.tfs, "<u4").tolist()) == [1, 3000, 3001]
+
+
 def brute_top(rows, k=5):
     good = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()

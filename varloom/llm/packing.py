@@ -3,7 +3,7 @@
 Every document becomes token ids and a closing id. Whole windows are cut off long documents at
 once. The rests are dealt into shards of about SHARD documents; each shard has a BM25 inverted index
 over token ids, with document frequencies and the mean length counted over all documents. The
-longest unused rest is a window's seed; its strongest terms query the index, and the unused
+longest unused rest is a window's seed; all its terms query the index, and the unused
 neighbours are put into the window by falling score. The first that doesn't fit is cut to fill the
 window, and its rest stays in the pool. Without neighbours left, the longest rests follow.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import has_columns, saved
 
 WINDOW, GRAIN, CLOSE = 4096, 32, 2
-SHARD, QUERY_TERMS = 2048, 16
+SHARD = 2048
 K1, B = 1.2, 0.75
 #: Encoded words that a task keeps; beyond, they are encoded anew.
 CACHE = 1_000_000
@@ -210,7 +210,7 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
                     df[t] += 1
                     ns.append(len(ids))
                     terms.append(t.astype("<u4" if enc.vocabulary > 65536 else "<u2").tobytes())
-                    tfs.append(np.minimum(tf, 255).astype(np.uint8).tobytes())
+                    tfs.append(tf.astype("<u4").tobytes())
                 m = len(ns)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(range(row, row + m), pa.int64()), pa.array(ns, pa.int64()),
@@ -234,11 +234,7 @@ class Index:
         term, tf = np.concatenate(terms), np.concatenate(tfs).astype(np.float32)
         norm = (K1 * (1 - B + B * lengths / mean)).astype(np.float32)
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        # A document's query: its strongest terms.
-        self.queries = []
-        for t, w in zip(terms, np.split(weight, np.cumsum(sizes)[:-1])):
-            k = min(QUERY_TERMS, len(t))
-            self.queries.append(t[np.argpartition(-w, k - 1)[:k]])
+        self.queries = terms
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, term = doc[order], weight[order], term[order]
         self.known, at = np.unique(term, return_index=True)
@@ -308,7 +304,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         total = pdf["n"].to_numpy(np.int64)
         crcs = [np.frombuffer(x, "<u4") for x in pdf["crcs"]]
         terms = [np.frombuffer(x, "<u4" if wide else "<u2") for x in pdf["terms"]]
-        index = Index(terms, [np.frombuffer(x, np.uint8) for x in pdf["tfs"]], total, idf, mean)
+        index = Index(terms, [np.frombuffer(x, "<u4") for x in pdf["tfs"]], total, idf, mean)
         cut = total // WINDOW * WINDOW
         pieces = [[(i, s, WINDOW)] for i in range(len(total)) for s in range(0, int(cut[i]), WINDOW)]
         pieces += [[(i, int(cut[i]) + s, m) for i, s, m in row] for row in fill(total - cut, index)]
