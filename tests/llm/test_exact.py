@@ -44,10 +44,40 @@ def test_bpe_equals_tiktoken(spark):
         t = (TEXTS[r.doc_id] if r.doc_id is not None else None) or ""
         if r.doc_id is not None:
             assert r.n_tokens == len(want.encode_ordinary(t)) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    for ids in ([-1], [len(c.tokens)]):
+        with pytest.raises(ValueError):
+            c.decode(np.array(ids))
     kept = bpe.decode(bpe.encode(odd(spark).drop("ids"), path, P.PATTERN), path, P.PATTERN)
     assert {"doc_id", "text", "n", "cls", "ids", "decoded"} == set(kept.columns) and bpe.round_trip(odd(spark).limit(0), path, P.PATTERN).count() == 0
 
 
+def test_bpe_equals_greedy_merges_for_any_ranks(tmp_path):
+    """Ranks in random order: merges may bring up lower ranks, which trained ones seldom do."""
+    import base64
+
+    rng = random.Random(4)
+    for trial in range(30):
+        tokens = {"a", "b", "c"}
+        while len(tokens) < 25:
+            tokens.add(rng.choice(sorted(tokens)) + rng.choice(sorted(tokens)))
+        rest = sorted(t for t in tokens if len(t) > 1)
+        rng.shuffle(rest)
+        ranks = {t.encode(): i for i, t in enumerate(["a", "b", "c", *rest])}
+        path = tmp_path / f"{trial}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for t, i in ranks.items()))
+        c = bpe.Codec(str(path), r"[a-c]+")
+        words = ["".join(rng.choice("abc" if rng.random() < 0.5 else "ab") for _ in range(rng.randint(2, 40))) for _ in range(200)]
+        got, ends = c.merge([w.encode() for w in words])
+        for i, w in enumerate(words):
+            parts = [w[k:k + 1].encode() for k in range(len(w))]
+            while True:
+                best = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+                if best is None:
+                    break
+                parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            assert got[ends[i]:ends[i + 1]].tolist() == [ranks[p] for p in parts], (trial, w)
+
+
 def check_pack(spark, docs):
     from tokenizers import Tokenizer
 
@@ -89,6 +119,56 @@ def test_packing_covers_every_id(spark):
     assert sum(made.values()) == sum(r.length for r in got if r.doc_id < 20)
 
 
+def test_packing_in_many_shards(spark, monkeypatch):
+    """Several shards, one of them salted: every id once, copies in one shard or a salt of it, little padding."""
+    monkeypatch.setattr(packing, "SHARD_IDS", 8 * 4096)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(
+        spark.range(2000, 2200).select(F.col("id").alias("doc_id"), F.lit("the same words again " * 50).alias("text")))
+    got, by, _, seqs = check_pack(spark, docs)
+    shard = {r.doc_id: r.sequence_id >> 20 for r in got}
+    assert len(set(shard.values())) > 6
+    assert len({shard[i] >> 19 for i in range(2000, 2200)}) == 1  # one place
+    pairs = [(shard[i] >> 19, shard[i + 1000] >> 19) for i in by if i < 1000]
+    assert all(a == b for a, b in pairs)
+    assert sum(r.length for r in got) / (4096 * len(seqs)) > 0.9
+    for pieces in by.values():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at
+            at += p.length
+
+
+def test_packing_fills_as_brute_force():
+    rng = random.Random(9)
+    for _ in range(20):
+        n = rng.randint(1, 60)
+        tfs = [Counter(rng.randrange(30) for _ in range(rng.randint(1, 900))) for _ in range(n)]
+        size = [sum(t.values()) for t in tfs]
+        idf, mean = [rng.uniform(0.1, 3) for _ in range(30)], sum(size) / n
+        index = packing.Index([np.array(sorted(t), np.uint32) for t in tfs], [np.array([t[k] for k in sorted(t)], np.uint32) for t in tfs],
+                              np.array(size), np.array(idf, np.float32), mean)
+        left, start, want = list(size), [0] * n, []
+        while any(left):
+            order = sorted(range(n), key=lambda i: (-size[i], i))
+            seed = next(i for i in order if left[i])
+            row, room = [(seed, start[seed], left[seed])], 1024 - left[seed]
+            left[seed] = 0
+            score = index.scores(seed)
+            near = sorted((i for i in range(n) if score[i] > 0 and left[i]), key=lambda i: (-score[i], i))
+            for i in near + order:
+                if room < packing.GRAIN:
+                    break
+                if left[i]:
+                    take = left[i] if left[i] <= room else room // packing.GRAIN * packing.GRAIN
+                    row.append((i, start[i], take))
+                    start[i] += take
+                    left[i] -= take
+                    room -= take
+            want.append(row)
+        assert packing.fill(np.array(size), index, 1024) == want
+
+
 def test_packing_odd_rows(spark):
     check_pack(spark, odd(spark))
     assert packing.pack(odd(spark).limit(0), P.path("word_bpe_49k.json")).count() == 0

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def byte_slices(texts: pa.Array, size: int = 1 << 25):
+    """A batch of texts in slices of about `size` bytes, one text at least, so that work in Arrow stays bounded."""
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Lists over flat values; ends begins with 0."""
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def list_ends(rows: pa.ListArray) -> np.ndarray:
+    """Offsets of a whole list array, from 0."""
+    ends = rows.offsets.to_numpy()
+    return ends - ends[0]
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(F.col(col).cast("string"))

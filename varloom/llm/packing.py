@@ -1,11 +1,18 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours.
 
 Every document becomes token ids and a closing id. Whole windows are cut off long documents at
-once. The rests are dealt into shards of about SHARD documents; each shard has a BM25 inverted index
-over token ids, with document frequencies and the mean length counted over all documents. The
-longest unused rest is a window's seed; all its terms query the index, and the unused
-neighbours are put into the window by falling score. The first that doesn't fit is cut to fill the
-window, and its rest stays in the pool. Without neighbours left, the longest rests follow.
+once; the rest, shorter than a window, is what retrieval packs. Documents are dealt to shards by content:
+each gets a vector (its terms, weighted by rarity, folded to FOLDED dimensions and turned to the AXES
+principal ones), the nearest of at most CELLS centroids, and within a large cell the side of the
+centroid on as many axes as the table's size asks for. Mean, axes and centroids come from about SAMPLE
+documents; vectors, frequencies and lengths are those of all documents. A place that holds more than a
+shard should (SHARD_IDS ids, SHARD_ROWS documents) is salted into several shards.
+
+Each shard has a BM25 inverted index over token ids, with document frequencies and the mean length
+counted over all documents. The longest unused rest is a window's seed; all its terms query the index,
+and the unused neighbours are put into the window by falling score. The first that doesn't fit is cut to
+fill the window, and its rest stays in the pool. Without neighbours left, the longest rests follow.
+Neighbours in other shards are not found: README gives the share of the best ones that are.
 
 Cuts lie at multiples of GRAIN ids of a document, so a window's padding is below GRAIN ids, but for
 the last window of a shard. A document's ids are read once: the encoder keeps a CRC-32 of every
@@ -18,6 +25,7 @@ pieces. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import zlib
@@ -26,29 +34,29 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns, saved
+from .common import byte_slices, has_columns, list_ends, lists, saved
 
 WINDOW, GRAIN, CLOSE = 4096, 32, 2
-SHARD = 2048
+#: Ids of rests and documents that a shard holds at most, on average, and whole windows that count as one of a rest.
+SHARD_IDS, SHARD_ROWS, WHOLE = 512 * WINDOW, 16384, 64
+SAMPLE, FOLDED, AXES, CELLS = 8192, 1024, 32, 256
 K1, B = 1.2, 0.75
-#: Encoded words that a task keeps; beyond, they are encoded anew.
-CACHE = 1_000_000
-#: White space that the tokenizer and str.split() may see differently: such texts are encoded whole.
-#: Below this letter lower case and composed form go letter by letter, as in the tokenizer.
-_PLAIN = "\u0250"
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CONTROL = "\x1c\x1d\x1e\x1f"
-_WIDE = "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: A word of these letters alone is lower-cased and composed letter by letter and cut as _CUT cuts it,
+#: as the tokenizer would; other words go to the tokenizer whole.
+_PLAIN = r"^[!-&(-~\x{a1}-\x{ac}\x{ae}-\x{12f}\x{131}-\x{24f}]*$"
+_CUT = r"([^\pL\pN]+|\pN)"
+#: The tokenizer's letters for bytes: printable Latin-1 is itself, the others follow from U+0100 on.
+_OTHER = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTES = {b: 0x100 + i for i, b in enumerate(_OTHER)}
 
 
 class Encoder:
-    """Token ids of texts as packed little-endian uint32, by cached words.
-
-    The tokenizer's pieces never hold white space, so a text's ids are those of its words.
+    """Token ids of texts. The tokenizer's pieces never hold white space, so a text's ids are those of its
+    words; each word of a batch is encoded once, as its pieces, and the texts gather the ids by place.
     """
 
     def __init__(self, path: str):
@@ -58,81 +66,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.last = np.zeros(self.vocabulary, bool)
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        """Frees the caches: a Python worker lives on, and other stages need its memory."""
-        self.words.clear()
-        self.pieces.clear()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, encoded in long lines: each piece ends with the one token that ends a word."""
-        out: list[bytes] = []
-        parts = [pieces[i:i + 1000] for i in range(0, len(pieces), 1000)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                out += self._ids(part)
-                continue
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
-        return out
 
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words; those of plain letters are cut into the tokenizer's pieces, which repeat more often."""
-        known, cut, odd = self.pieces, {}, []
-        for w in words:
-            if w.isascii() or max(w) < _PLAIN and "\u0130" not in w:
-                cut[w] = _PIECES.findall(w.lower())
-            else:
-                odd.append(w)
-        pieces = list({p for ps in cut.values() for p in ps if p not in known})
-        ids = self._pieces(pieces)
-        if len(known) + len(pieces) > CACHE:
-            known.clear()
-            pieces = list({p for ps in cut.values() for p in ps})
-            ids = self._pieces(pieces)
-        known.update(zip(pieces, ids))
-        out = {w: b"".join([known[p] for p in ps]) for w, ps in cut.items()}
-        out.update(zip(odd, self._ids(odd)))
-        return out
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; words that are new to the cache are encoded together."""
-        known, get = self.words, self.words.__getitem__
-        out: list = [b""] * len(texts)
-        open_, new = [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(c in text for c in _CONTROL) or not text.isascii() and any(c in text for c in _WIDE):
-                out[i] = self._ids([text])[0]
-                continue
-            words = text.split()
-            try:
-                out[i] = b"".join(map(get, words))
-            except KeyError:
-                open_.append((i, words))
-                new.update(set(words).difference(known))
-        if open_:
-            got = self._new(new)
-            fits = len(known) + len(got) <= CACHE
-            if fits:
-                known.update(got)
-            for i, words in open_:
-                out[i] = b"".join(map(get, words)) if fits else b"".join(
-                    [known[w] if w in known else got[w] for w in words])
-        return out
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has. A piece needs the merges only, over one letter a byte."""
+        merge, flat, sizes = self.tokenizer.model.tokenize, [], []
+        for p in pieces:
+            ids = [t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))]
+            flat += ids
+            sizes.append(len(ids))
+        return np.array(flat, np.uint32), np.array(sizes, np.int64)
+
+    def _words(self, words: pa.Array) -> pa.ListArray:
+        """Ids of distinct words."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _CUT, r" \1 "))
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        full = np.array([bool(p) for p in pieces], bool)  # a cut at a word's end leaves an empty piece
+        flat, sizes = self._pieces([p for p in pieces if p])
+        n = np.zeros(len(pieces), np.int64)
+        n[full] = sizes
+        ids = lists(flat, np.append(0, np.cumsum(n))).take(coded.indices)
+        ends = list_ends(ids)[list_ends(cut)]
+        odd_flat, odd_sizes = self._whole(words.filter(pc.invert(plain)).to_pylist())
+        both = lists(np.concatenate([ids.flatten().to_numpy(), odd_flat]), np.append(ends, ends[-1] + np.cumsum(odd_sizes)))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)
+        place[is_plain] = np.arange(is_plain.sum())
+        place[~is_plain] = np.arange(is_plain.sum(), len(words))
+        return both.take(pa.array(place))
+
+    def encode_batch(self, texts: pa.Array, close: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's ids end, from 0; `close` follows each text's ids."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        ids, at, ends = self._words(coded.dictionary), coded.indices.to_numpy(), list_ends(split)
+        if close is not None:
+            flat = np.append(ids.flatten().to_numpy(), np.uint32(close))
+            ids = lists(flat, np.append(list_ends(ids), len(flat)))
+            at = np.insert(at, ends[1:], len(ids) - 1)
+            ends = ends + np.arange(len(ends))
+        got = ids.take(pa.array(at))
+        return got.flatten().to_numpy(), list_ends(got)[ends]
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 @lru_cache(2)
@@ -195,28 +177,22 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
 
         enc, row = encoder(path), TaskContext.get().partitionId() << 33
         df = np.zeros(max(enc.vocabulary, CLOSE + 1), np.int64)
-        end = np.array([CLOSE], "<u4").tobytes()
         for batch in batches:
-            id_type = batch.column("doc_id").type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ns, crcs, terms, tfs = [], [], [], []
-                for raw in enc.encode_many(part.column("text").to_pylist()):
-                    raw += end
-                    step = 4 * GRAIN
-                    crcs.append(np.array([zlib.crc32(raw[k:k + step]) for k in range(0, len(raw), step)], "<u4").tobytes())
-                    ids = np.frombuffer(raw, "<u4")
-                    t, tf = np.unique(ids, return_counts=True)
+            id_type, done = batch.column("doc_id").type, 0
+            for texts in byte_slices(batch.column("text")):
+                flat, ends = enc.encode_batch(texts, CLOSE)
+                raw, crcs, terms, tfs = memoryview(flat.astype("<u4", copy=False)).cast("B"), [], [], []
+                step, m = 4 * GRAIN, len(texts)
+                for a, b in itertools.pairwise(ends.tolist()):
+                    crcs.append(np.array([zlib.crc32(raw[k:min(k + step, 4 * b)]) for k in range(4 * a, 4 * b, step)], "<u4").tobytes())
+                    t, tf = np.unique(flat[a:b], return_counts=True)
                     df[t] += 1
-                    ns.append(len(ids))
-                    terms.append(t.astype("<u4" if enc.vocabulary > 65536 else "<u2").tobytes())
+                    terms.append(t.astype("<u4").tobytes())
                     tfs.append(tf.astype("<u4").tobytes())
-                m = len(ns)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(range(row, row + m), pa.int64()), pa.array(ns, pa.int64()),
+                    [batch.column("doc_id").slice(done, m), pa.array(range(row, row + m), pa.int64()), pa.array(np.diff(ends), pa.int64()),
                      *(pa.array(x, pa.binary()) for x in (crcs, terms, tfs))], names)
-                row += m
-        enc.forget()
+                row, done = row + m, done + m
         if (at := np.flatnonzero(df)).size:
             m = len(at)
             yield pa.RecordBatch.from_arrays(
@@ -284,6 +260,87 @@ def _put(row, i, start, left, room):
     return room - take
 
 
+def _folded(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The dimension and the sign of each term."""
+    h = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(40)).astype(np.int64) % FOLDED, np.where(h >> np.uint64(63), 1, -1).astype(np.float32)
+
+
+class Places:
+    """Where documents lie by content: centroids and axes fitted on a sample."""
+
+    def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, cells: int, sides: int, rounds: int = 8):
+        self.idf, self.sides = idf, sides
+        at, sign = _folded(np.arange(len(idf)))
+        x = np.zeros((len(terms), FOLDED), np.float32)
+        for row, t, tf in zip(x, terms, tfs):
+            v = idf[t] * np.sqrt(tf) * sign[t]
+            row += np.bincount(at[t], v, FOLDED) / (np.linalg.norm(v) + 1e-9)
+        mean = x.mean(0)
+        axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, :-AXES - 1:-1]
+        self.turned = (axes[at] * sign[:, None]).astype(np.float32)  # a row a term
+        self.shift = mean @ axes
+        z = x @ axes - self.shift
+        self.centres = z[np.random.default_rng(0).choice(len(z), min(cells, len(z)), replace=False)]
+        for _ in range(rounds):
+            near = self._near(z)
+            size = np.bincount(near, minlength=len(self.centres))
+            total = np.zeros_like(self.centres)
+            np.add.at(total, near, z)
+            self.centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], self.centres)
+
+    def _near(self, z: np.ndarray) -> np.ndarray:
+        return np.argmax(z @ self.centres.T - 0.5 * (self.centres ** 2).sum(1), 1)
+
+    def find(self, terms: list[np.ndarray], tfs: list[np.ndarray]) -> np.ndarray:
+        """The place of each document."""
+        t, sizes = np.concatenate(terms), np.array([len(x) for x in terms])
+        v = self.idf[t] * np.sqrt(np.concatenate(tfs), dtype=np.float32)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        norm = np.sqrt(np.bincount(row, v * v, len(sizes))) + 1e-9
+        z = np.zeros((len(sizes), AXES), np.float32)
+        some = sizes > 0
+        if some.any():
+            z[some] = np.add.reduceat(self.turned[t] * v[:, None], (np.cumsum(sizes) - sizes)[some])
+        z = z / norm[:, None] - self.shift
+        near = self._near(z)
+        side = (z[:, :self.sides] > self.centres[near][:, :self.sides]) @ (1 << np.arange(self.sides, dtype=np.int64))
+        return near << 16 | side
+
+
+def _arrays(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in column]
+
+
+def _dealt(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The rows with their shard's number."""
+    rest = F.col("n") % WINDOW
+    need = F.greatest(F.ceil(F.sum(rest) / SHARD_IDS), F.ceil(F.count("*") / SHARD_ROWS), F.ceil(F.sum("n") / (WHOLE * SHARD_IDS)), F.lit(1))
+    n, shards = rows.agg(F.count("*"), need).first()
+    if shards == 1:
+        return rows.withColumn("shard", F.lit(0).cast("long"))
+    share = F.lit(int(min(1.0, SAMPLE / n) * (1 << 31)))
+    some = rows.where((F.xxhash64("r").bitwiseAND((1 << 31) - 1) < share)).select("terms", "tfs").toPandas()
+    if some.empty:
+        return rows.withColumn("shard", F.pmod(F.xxhash64("r"), F.lit(shards)))
+    cells = min(CELLS, shards)
+    places = Places(_arrays(some["terms"]), _arrays(some["tfs"]), idf, cells, min(16, math.ceil(math.log2(shards / cells))))
+    held = rows.sparkSession.sparkContext.broadcast(places)
+
+    def locate(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                got = held.value.find(*(_arrays(part.column(c).to_pylist()) for c in ("terms", "tfs")))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.int64())], [*part.schema.names, "place"])
+
+    ddl = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", place long"
+    rows = saved(rows.mapInArrow(locate, ddl), "packing-places")
+    sizes = rows.groupBy("place").agg(need.alias("parts"))
+    salt = F.pmod(F.xxhash64("r"), F.col("parts"))
+    return rows.join(sizes, "place").withColumn("shard", F.shiftleft("place", 19) + salt).drop("place", "parts")
+
+
 def pack(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of all windows."""
     docs = has_columns(docs, "doc_id", "text")
@@ -291,24 +348,21 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     rows = all_rows.where(F.col("crcs").isNotNull())
     df = all_rows.where(F.col("crcs").isNull()).groupBy("n").agg(F.sum("r").alias("c")).toPandas()
     n, mean = rows.agg(F.count("*"), F.avg("n")).first()
-    shards = max(1, math.ceil(n / SHARD))
     idf = np.zeros(int(df["n"].max()) + 1 if len(df) else 1, np.float32)
     idf[df["n"].to_numpy(np.int64)] = np.log1p((n - df["c"] + 0.5) / (df["c"] + 0.5))
     held = docs.sparkSession.sparkContext.broadcast((idf, float(mean or 1)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = len(idf) > 65536
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         idf, mean = held.value
         pdf = pdf.sort_values("r", ignore_index=True)
         total = pdf["n"].to_numpy(np.int64)
-        crcs = [np.frombuffer(x, "<u4") for x in pdf["crcs"]]
-        terms = [np.frombuffer(x, "<u4" if wide else "<u2") for x in pdf["terms"]]
-        index = Index(terms, [np.frombuffer(x, "<u4") for x in pdf["tfs"]], total, idf, mean)
+        crcs = _arrays(pdf["crcs"])
         cut = total // WINDOW * WINDOW
+        index = Index(_arrays(pdf["terms"]), _arrays(pdf["tfs"]), total, idf, mean)
         pieces = [[(i, s, WINDOW)] for i in range(len(total)) for s in range(0, int(cut[i]), WINDOW)]
         pieces += [[(i, int(cut[i]) + s, m) for i, s, m in row] for row in fill(total - cut, index)]
-        base, out = int(pdf["shard"].iloc[0]) << 32, []
+        base, out = int(pdf["shard"].iloc[0]) << 20, []
         for k, row in enumerate(pieces):
             at = 0
             for i, s, m in row:
@@ -319,7 +373,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         return got.drop(columns="i")
 
     # Ids travel as text: pandas would make floats of a nullable number.
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("r"), F.lit(shards))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    dealt = _dealt(rows, idf).withColumn("doc_id", F.col("doc_id").cast("string"))
     out = dealt.groupBy("shard").applyInPandas(
         work, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
@@ -330,9 +384,8 @@ def sequences(pieces: DataFrame, docs: DataFrame, path: str) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        enc = encoder(path)
-        return pa.array([np.append(np.frombuffer(raw, "<u4").astype(np.int32), np.int32(CLOSE))
-                         for raw in enc.encode_many(texts.to_pylist())], pa.list_(pa.int32()))
+        flat, ends = encoder(path).encode_batch(texts, CLOSE)
+        return lists(flat.astype(np.int32), ends)
 
     coded = has_columns(docs, "doc_id", "text").select("doc_id", ids("text").alias("ids"))
     part = pieces.join(coded, "doc_id").select("sequence_id", F.struct(
