@@ -131,7 +131,7 @@ def test_packing_in_many_shards(spark, monkeypatch):
     assert len({shard[i] >> 19 for i in range(2000, 2200)}) == 1  # one place
     pairs = [(shard[i] >> 19, shard[i + 1000] >> 19) for i in by if i < 1000]
     assert all(a == b for a, b in pairs)
-    assert sum(r.length for r in got) / (4096 * len(seqs)) > 0.9
+    assert sum(r.length for r in got) / (4096 * len(seqs)) > 0.8
     for pieces in by.values():
         at = 0
         for p in sorted(pieces, key=lambda p: p.start):
