@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import byte_slices, list_ends, lists
 
 #: Pre-tokens whose ids a Python worker keeps; others are encoded anew.
-CACHE = 1_000_000
+CACHE = 400_000
+#: Bytes of text that are encoded together.
+SLICE = 1 << 23
 #: White space other than single spaces and newlines between words, for which a text is split as a whole.
 _ODD = (r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
         r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
@@ -104,8 +106,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         # Ranks of two bytes, and of any two tokens whose bytes together are a token.
         size = len(self.tokens)
-        self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
-        self.double = np.full((256, 256), -1, np.int64)
+        self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        self.double = np.full((256, 256), -1, np.int32)
         pairs = []
         for token, rank in self.ranks.items():
             if len(token) == 2:
@@ -125,7 +127,7 @@ class Codec:
 
     def rank(self, a, b) -> np.ndarray:
         """The ranks of pairs of tokens, -1 where they are no token together."""
-        key = a * (len(self.tokens) + 1) + b
+        key = np.asarray(a, np.int64) * (len(self.tokens) + 1) + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.found[at], -1)
 
@@ -134,13 +136,13 @@ class Codec:
         raw = np.frombuffer(b"".join(raws), np.uint8)
         n, stop = len(raw), np.cumsum([len(r) for r in raws], dtype=np.int64)
         # Place n is the end of every list; its token goes with no other.
-        token = np.append(self.single[raw], len(self.tokens))
+        token = np.append(self.single[raw], np.int32(len(self.tokens)))
         if (token < 0).any():
             raise KeyError("a byte is no token")
-        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+        after, before, alive = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n, bool)
         after[stop - 1] = n
         before[np.append(0, stop[:-1])] = n
-        pair = np.full(n + 1, -1)
+        pair = np.full(n + 1, -1, np.int32)
         pair[:n - 1] = self.double[raw[:-1], raw[1:]]
         pair[stop - 1] = -1
         queue, at = RankQueue(len(self.tokens)), np.flatnonzero(pair >= 0)
@@ -270,7 +272,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        return pa.concat_arrays([lists(*c.encode_batch(part)) for part in byte_slices(texts)] or [pa.array([], pa.list_(pa.int32()))])
+        return pa.concat_arrays([lists(*c.encode_batch(part)) for part in byte_slices(texts, SLICE)] or [pa.array([], pa.list_(pa.int32()))])
 
     return ids(text)
 
@@ -292,7 +294,7 @@ def coded(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("ids array<int>, decoded binary")
     def both(texts: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        got = [c.encode_batch(part) for part in byte_slices(texts)]
+        got = [c.encode_batch(part) for part in byte_slices(texts, SLICE)]
         ids = pa.concat_arrays([lists(*g) for g in got] or [pa.array([], pa.list_(pa.int32()))])
         raw = pa.concat_arrays([c.decode_batch(*g) for g in got] or [pa.array([], pa.binary())])
         return pa.StructArray.from_arrays([ids, raw], ["ids", "decoded"])
