@@ -9,12 +9,13 @@ from the most significant slice downward; the rows that tie at the boundary are
 smaller id. Negative query components add the complemented slice, which shifts all scores of the
 query by a constant.
 
-Blocks of candidates meet blocks of queries by an equi-join on the query block's number, each block
-pair is one row of work, and the k best of each are merged per query.
+Blocks of candidates meet blocks of queries by a cogroup on both blocks' numbers: the few queries are
+sent to the candidates' blocks, whose slices are built once a pair of blocks, and the k best of each
+pair are merged per query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null
-id, take no part; shorter vectors count as padded with zeros; quantised components are held within
-+-2**24; rows with the query's own id are no candidates for it; other repeated rows all count, ties
+id, take no part; shorter vectors count as padded with zeros; a quantised component of 2**62 or more, or
+a reported score beyond a long, raises; rows with the query's own id are no candidates for it; other repeated rows all count, ties
 beyond the id are equal rows. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -23,36 +24,40 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has_columns
+from .common import has_columns, list_ends
 
-BLOCK_ROWS, BLOCK_QUERIES, LIMIT = 8192, 64, 1 << 24
+BLOCK_ROWS, BLOCK_QUERIES, LIMIT = 8192, 1024, 1 << 62
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
     """(id, q array<int>) of the rows that take part."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    q = F.transform(v, lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x * scale))).cast("int"))
+    q = F.transform(v, lambda x: F.when(F.abs(x * scale) < LIMIT, F.floor(x * scale)).otherwise(
+        F.raise_error(F.lit("a quantised component is too large")).cast("long")))
     return (has_columns(vectors, id_col, vec_col).where(F.col(id_col).isNotNull() & v.isNotNull() & fine)
             .select(F.col(id_col).cast("long").alias("id"), q.alias("q")))
 
 
-def _matrix(arrays, dims: int | None = None) -> np.ndarray:
-    dims = dims if dims is not None else max((len(a) for a in arrays), default=0)
-    out = np.zeros((len(arrays), dims), np.int64)
-    for i, a in enumerate(arrays):
-        out[i, :min(len(a), dims)] = a[:dims]
+def _matrix(rows: pa.Table, dims: int) -> np.ndarray:
+    """The vectors of a table as rows of a matrix, padded with zeros."""
+    q = rows.column("q").combine_chunks()
+    q = q if isinstance(q, pa.ListArray) else q.chunk(0)
+    ends, flat = list_ends(q), q.flatten().to_numpy()
+    out = np.zeros((len(q), dims), np.int64)
+    out[np.arange(dims) < np.diff(ends)[:, None]] = flat
     return out
 
 
 def slices(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Bit slices (dims, digits, words) of m - min, the minima, and the number of digits."""
     low = m.min(0) if len(m) else np.zeros(m.shape[1], np.int64)
-    u = (m - low).astype(np.uint64)
+    u = m.astype(np.uint64) - low.astype(np.uint64)  # right modulo 2**64
     digits = max(1, int(u.max(initial=0)).bit_length())
     words = -(-len(m) // 64)
     bits = np.zeros((m.shape[1], digits, words * 64), np.uint8)
@@ -131,6 +136,8 @@ def search_block(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, qm: np.ndarra
     ids, m = ids[order], m[order]  # rows by id: the first set bits of a tie are the smallest ids
     index, _, digits = slices(m)
     valid = np.packbits(np.arange(index.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
+    # Where no sum can overflow, scores come from numpy.
+    small = float((np.abs(m).max(0, initial=0).astype(float) * np.abs(qm).max(0, initial=0)).sum()) < 1 << 62
     out = []
     for qid, q in zip(qids.tolist(), qm):
         alive = valid.copy()
@@ -139,7 +146,9 @@ def search_block(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, qm: np.ndarra
             alive[i >> 6] &= ~np.uint64(1 << (i & 63))
         sure, tied, rest = select(query_sum(index, digits, q, valid), alive, k)
         for i in np.concatenate([_places(sure), _places(tied)[:rest]]).tolist():
-            out.append((qid, int(ids[i]), int(m[i] @ q)))
+            out.append((qid, int(ids[i]), int(m[i] @ q) if small else sum(a * b for a, b in zip(m[i].tolist(), q.tolist()))))
+            if not -(1 << 63) <= out[-1][2] < 1 << 63:
+                raise OverflowError("a score is beyond a long")
     return out
 
 
@@ -152,32 +161,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     rows = quantised(vectors, id_col, vec_col, scale)
     n, nq = rows.agg(F.count("*"), F.count(F.when(queries, 1))).first()
     blocks, qblocks = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(nq / BLOCK_QUERIES))
-    deal = lambda df, parts: df.withColumn("block", F.pmod(F.xxhash64(F.col("id") + parts), F.lit(parts)))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(pdf["q"].tolist())
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-                             "m": [m.astype(np.int32).tobytes()]})
-
-    packed = "block long, ids binary, m binary"
-    left = deal(rows, blocks).groupBy("block").applyInPandas(pack, packed)
-    right = deal(rows.where(queries), qblocks).groupBy("block").applyInPandas(pack, packed).select(
-        F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    pairs = (left.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qblocks - 1).cast("long"))))
-             .repartition(min(blocks * qblocks, max(24, 4 * blocks)), "block", "qblock")
-             .join(right.hint("merge"), "qblock"))
-
-    def work(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.qids, np.int64)
-                m = np.frombuffer(r.m, np.int32).reshape(len(ids), -1).astype(np.int64)
-                qm = np.frombuffer(r.qm, np.int32).reshape(len(qids), -1).astype(np.int64)
-                d = max(m.shape[1], qm.shape[1])
-                m, qm = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (m, qm))
-                yield pd.DataFrame(search_block(ids, m, qids, qm, k), columns=["query_id", "vec_id", "score"])
-
-    best = pairs.select("ids", "m", "qids", "qm").mapInPandas(work, "query_id long, vec_id long, score long")
+    number = lambda parts: F.pmod(F.xxhash64(F.col("id") + parts), F.lit(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    left = rows.select(number(blocks).alias("block"), each(qblocks).alias("qblock"), "id", "q")
+    right = rows.where(queries).select(each(blocks).alias("block"), number(qblocks).alias("qblock"), "id", "q")
+    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def work(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if mine.num_rows and asked.num_rows:
+            dims = max(int(pc.max(pc.list_value_length(t.column("q"))).as_py()) for t in (mine, asked))
+            out = search_block(mine.column("id").to_numpy(), _matrix(mine, dims), asked.column("id").to_numpy(), _matrix(asked, dims), k)
+        return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], schema=found)
+
+    best = left.groupBy("block", "qblock").cogroup(right.groupBy("block", "qblock")).applyInArrow(
+        work, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
