@@ -84,8 +84,9 @@ def links(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     the rows it links with there; from (cls, label, size, v array<double>) classes. A row a class and
     pair of tiles, however many links there are.
     """
-    unit = rows.select("cls", "label", "size", "v", F.expr(
-        "transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)))").alias("x"))
+    # Scaled by the largest component first: squares neither overflow nor vanish.
+    unit = rows.withColumn("x", F.expr("transform(v, x -> x / array_max(transform(v, y -> abs(y))))")).select(
+        "cls", "label", "size", "v", F.expr("transform(x, y -> y / sqrt(aggregate(x, 0D, (s, z) -> s + z * z)))").alias("x"))
     mean, axes = _axes(unit)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     dims = len(mean)
@@ -137,6 +138,8 @@ def links(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
             i, j = first[i], second[j]
             keep = i < j if bool(g["second"].iloc[first[0]]) else i != j
             i, j = i[keep], j[keep]
+            # A power of two as the scale changes no rounding.
+            v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
             norm = np.sqrt((v * v).sum(1))
             ok = np.concatenate([(v[x] * v[y]).sum(1) / (norm[x] * norm[y]) >= threshold for x, y in (
                 (i[k:k + 65536], j[k:k + 65536]) for k in range(0, len(i), 65536))] or [np.zeros(0, bool)])
