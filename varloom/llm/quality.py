@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import has_columns, id_crc
 
 WIDTH, FILTERS, EMBED, HALF = 5, 24, 8, 256
-#: At most so many training documents a class, and so many windows of WINDOW bytes of each.
-TRAIN_DOCS, WINDOWS, WINDOW = 1000, 4, 1024
+#: At most so many training documents a class, and so many bytes of them together.
+TRAIN_DOCS, TRAIN_BYTES = 1000, 8 << 20
 BLOCK = 1 << 16
 
 
@@ -46,8 +46,8 @@ def features(raw: bytes, tables: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.maximum(pooled + bias, 0)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 7, batch: int = 16, seed: int = 7) -> dict:
-    """Adam on the logistic loss of windows; the two classes weigh the same."""
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 16, seed: int = 7) -> dict:
+    """Adam on the logistic loss of whole texts; the two classes weigh the same."""
     rng = np.random.default_rng(seed)
     p = {"E": rng.normal(0, 0.5, (256, EMBED)), "W": rng.normal(0, 0.3, (WIDTH, EMBED, FILTERS)),
          "b": np.zeros(FILTERS), "u": rng.normal(0, 0.1, FILTERS), "c": np.zeros(1)}
@@ -93,37 +93,32 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 7, batch: int = 16
     return p
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> dict:
-    """Learns labels.quality (1 or 0) from documents joined by doc_id.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> dict:
+    """Learns labels.quality (1 or 0) from whole documents joined by doc_id.
 
-    At most per_class documents of each class, those with the smallest hash of their id; of a long
-    document WINDOWS random windows, of a short one all of it. The bounded sample is fitted in one
-    task, and only the weights come to the driver.
+    The sample is at most per_class documents of each class, those with the smallest hash of their
+    id, as long as they have at most `size` bytes together; rows with both labels count for both. The
+    bounded sample is fitted in one task, and only the weights come to the driver.
     """
-    labels = has_columns(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull())
+    docs = has_columns(docs, "doc_id", "text")
+    labels = has_columns(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = None
     for q in (0, 1):
         part = labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    sample = has_columns(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")
-
-    def cut(batches):
-        for pdf in batches:
-            rows = []
-            for i, text, q in zip(pdf["doc_id"], pdf["text"], pdf["quality"]):
-                raw = (text or "").encode("utf-8", "replace")
-                rng = np.random.default_rng(abs(int(i)))
-                starts = range(0, max(1, len(raw) - 64), WINDOW)
-                if len(starts) > WINDOWS:
-                    starts = rng.integers(0, len(raw) - WINDOW, WINDOWS)
-                rows += [(int(i), int(x), raw[x:x + WINDOW], int(q)) for x in starts]
-            yield pd.DataFrame(rows, columns=["doc_id", "at", "raw", "quality"])
+    sample = docs.join(F.broadcast(picked), "doc_id").select(
+        "quality", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.xxhash64("doc_id").alias("h"),
+        F.col("doc_id").cast("string").alias("key"))
+    # One task ranks a bounded number of rows a class.
+    by = Window.partitionBy("quality").orderBy("h", "key", "raw")
+    sample = sample.withColumns({"used": F.sum(F.octet_length("raw")).over(by), "place": F.row_number().over(by)}).where(
+        (F.col("used") <= size) & (F.col("place") <= per_class))
 
     def learn(batches):
         parts = list(batches)
         if not parts:
             return
-        pdf = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "at"])
+        pdf = pd.concat(parts, ignore_index=True).sort_values(["h", "key", "raw", "quality"])
         y = pdf["quality"].to_numpy(np.float32)
         if len(y) and 0 < y.mean() < 1:
             p = fit([bytes(x) for x in pdf["raw"]], y)
@@ -131,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> di
         elif len(y):
             yield pd.DataFrame([("share", np.float32(y.mean()).tobytes())], columns=["k", "v"])
 
-    got = (sample.mapInPandas(cut, "doc_id long, at long, raw binary, quality int").repartition(1)
+    got = (sample.select("h", "key", "raw", "quality").repartition(1)
            .mapInPandas(learn, "k string, v binary").collect())
     p = {r.k: np.frombuffer(bytes(r.v), np.float32) for r in got}
     if "E" not in p:
