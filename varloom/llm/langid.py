@@ -29,6 +29,8 @@ TRAIN_ROWS = 4000
 #: A label set larger than this is taken for a mistake: prototypes are held by every task.
 MAX_LANGS = 4096
 UNDETERMINED = "und"
+#: Cosines of unrelated texts scatter by 1 / sqrt(DIM); below twice that a text is in none of the languages.
+FLOOR = 2 / math.sqrt(DIM)
 
 
 @lru_cache(1)
@@ -126,6 +128,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], out: str = "l
     return docs.withColumn(out, predict(F.col("text"), model))
 
 
+def in_known_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """The rows of docs whose best prototype is at FLOOR or above; their columns stay as they are."""
+    found = predict(F.col("text"), model)
+    return docs.where((found["lang_pred"] != UNDETERMINED) & (found["score"] >= FLOOR))
+
+
 def held_out_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
     """Learns from documents whose crc32(doc_id) mod folds is not 0 and predicts all documents."""
     docs = has_columns(docs, "doc_id", "text", "lang")
