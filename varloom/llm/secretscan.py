@@ -31,6 +31,7 @@ ENDPOINT = r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
 KINDS = ("assign", "access", "hex", "name", "bare", "endpoint")
 BASE = KINDS[:3]
 IDENTIFIER, SECRET, PLACE = ("access", "name"), ("assign", "hex", "bare"), ("endpoint",)
+STEP = 256
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -39,20 +40,56 @@ def _spans(text: Column, kind: str, pattern: str, may: Column, keep=None) -> Col
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     k = F.lit(KINDS.index(kind))
-    # The lengths of gap and match alternate, so a running end is enough.
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.transform(found, F.length).alias("m"),
-                     (found if keep is None else F.transform(found, keep)).alias("t")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["m"]).alias("at"),
-            (F.when(x["t"], F.array_append(a["out"], _span(a["at"] + x["g"], k, a["at"] + x["g"] + x["m"])))
-             .otherwise(a["out"]) if keep is not None else
-             F.array_append(a["out"], _span(a["at"] + x["g"], k, a["at"] + x["g"] + x["m"]))).alias("out")),
-        lambda a: a["out"])
+    # The lengths of gap and match alternate, so a running end is enough. Arrays grow by copying: runs of
+    # STEP matches are walked apart, each from the sum of the lengths before it.
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.transform(found, F.length).alias("m"),
+                         (found if keep is None else F.transform(found, keep)).alias("t"))
+    none, zero = F.array().cast(SPAN), F.lit(0)
+
+    def one(a: Column, x: Column) -> Column:
+        more = F.array_append(a["out"], _span(a["at"] + x["g"], k, a["at"] + x["g"] + x["m"]))
+        return F.struct((a["at"] + x["g"] + x["m"]).alias("at"),
+                        (more if keep is None else F.when(x["t"], more).otherwise(a["out"])).alias("out"))
+
+    def begins(z: Column) -> Column:
+        sums = F.transform(_runs(z), lambda i: F.aggregate(
+            _run(z, i), zero, lambda a, x: a + x["g"] + x["m"]))
+        return F.aggregate(sums, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct(
+            (a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    walk = F.transform(F.array(pairs), lambda z: F.flatten(F.transform(begins(z), lambda at, i: F.aggregate(
+        _run(z, i), F.struct(at.alias("at"), none.alias("out")), one, lambda a: a["out"]))))[0]
     return F.when(may & text.rlike(pattern), walk).otherwise(F.array().cast(SPAN))
 
 
+def _runs(z: Column) -> Column:
+    return F.sequence(F.lit(0), ((F.size(z) - 1) / STEP).cast("int"))
+
+
+def _run(z: Column, i: Column) -> Column:
+    return F.slice(z, i * STEP + 1, F.lit(STEP))
+
+
+def _cleared(text: Column, spans: Column, mark: str) -> Column:
+    """text with each of its sorted spans replaced by the mark; a run of STEP spans works on its own part of the text."""
+    def reached(z: Column) -> Column:  # where the text is done before each run, and after the last
+        tops = F.transform(_runs(z), lambda i: F.aggregate(_run(z, i), F.lit(0), lambda a, x: F.greatest(a, x["e"])))
+        return F.aggregate(tops, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.greatest(F.element_at(a, -1), n)))
+
+    def done(z: Column, at: Column, i: Column) -> Column:
+        part = F.array(F.substring(text, at[i] + 1, at[i + 1] - at[i]))
+        return F.transform(part, lambda p: F.aggregate(
+            _run(z, i), F.struct(at[i].alias("at"), F.lit("").alias("out")), lambda a, x: F.struct(
+                F.greatest(a["at"], x["e"]).alias("at"),
+                F.when(x["s"] < a["at"], a["out"]).otherwise(
+                    F.concat(a["out"], F.substring(p, a["at"] - at[i] + 1, x["s"] - a["at"]), F.lit(mark))).alias("out")),
+            lambda a: a["out"]))[0]
+
+    return F.transform(F.array(spans), lambda z: F.transform(F.array(reached(z)), lambda at: F.concat(
+        F.array_join(F.transform(_runs(z), lambda i: done(z, at, i)), ""),
+        F.substring(text, F.element_at(at, -1) + 1, F.length(text))))[0])[0]
+
+
 def _span(s: Column, k: Column, e: Column) -> Column:
     return F.struct(s.cast("int").alias("s"), k.alias("k"), e.cast("int").alias("e"))
 
@@ -150,13 +187,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 def _marked(rows: DataFrame, docs: DataFrame, spans: Column, mark: str) -> DataFrame:
     """rows with the columns of docs and the spans of text replaced by the mark."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    done = F.aggregate(
-        F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] < a["at"], a["out"]).otherwise(
-                F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    done = _cleared(text, F.array_sort(spans), mark)
     rows = rows.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text"))).select(docs.columns)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
