@@ -8,8 +8,10 @@ The reader loads the dictionary, decodes frame by frame in bounded chunks and ch
 line, the needed headers, lengths and digests; a fault raises.
 
 Records with equal payloads: the one with the smallest page_id is the response, the others are
-revisits of it without payload. Defined results: null html is an empty payload; rows that repeat the
-smallest page_id are responses, too; where all ids are null, all are responses; a null url leaves
+revisits of it without payload. Every record has an id of its own: a response's comes from its page_id
+and digest, so that revisits can name it; others' come from the archive and the place in it. Defined
+results: null html is an empty payload; rows that repeat the smallest page_id are responses, too, and
+revisits of them carry the page_id only; where all ids are null, all are responses; a null url leaves
 out the target header; other columns are ignored.
 """
 
@@ -44,25 +46,46 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record: a response, or with refers_to a revisit."""
+def urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
+
+
+def page_urn(page_id: int, digest: str) -> str:
+    """The id of the only response of a page and payload."""
+    return urn(f"page:{page_id}:{digest}")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, own: str = "", single: bool = True) -> bytes:
+    """One WARC record: a response, or with refers_to a revisit. `own` names it, unless it is the single
+    response of its page and payload; `single` for a revisit: its target is."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(SPACE, f'page:{i}')}>"
+    digest = sha1_base32(payload)
+    name = page_urn(page_id, digest) if single and refers_to is None and page_id is not None else urn(own)
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}",
-        "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}",
+        "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}",
+        head += [f"X-Refers-To-Page-Id: {refers_to}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if single:
+            head.append(f"WARC-Refers-To: {page_urn(refers_to, digest)}")
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def information(name: str) -> bytes:
+    """The archive's first record, which describes it."""
+    block = b"software: varloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {urn(name)}", "WARC-Date: 2024-01-01T00:00:00Z",
+            f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def archive(records: list[bytes]) -> bytes:
     """The bytes of one archive."""
     some = [r[:SAMPLE] for r in records[::max(1, len(records) // SAMPLES)]]
@@ -78,33 +101,32 @@ def archive(records: list[bytes]) -> bytes:
 
 
 def write(pages: DataFrame, path: str) -> DataFrame:
-    """Archives of (page_id, url, html, refers_to) rows below path -> (archive, n_records)."""
+    """Archives of (page_id, url, html, refers_to, single) rows below path -> (archive, n_records)."""
 
     def put(batches):
         fs, root = _fs(path)
         fs.create_dir(root, recursive=True)
-        held, size = [], 0
+        name, held, size = f"{uuid.uuid4().hex}.warc.zst", [], 0
 
         def flush():
-            name = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(name) as f:
-                f.write(archive(held))
-            return pd.DataFrame({"archive": [name.rsplit("/", 1)[1]], "n_records": [len(held)]})
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                f.write(archive([information(name), *held]))
+            return pd.DataFrame({"archive": [name], "n_records": [len(held)]})
 
         for pdf in batches:
-            for i, url, html, to in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"]):
+            for i, url, html, to, single in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["single"]):
                 r = record(None if pd.isna(i) else int(i), url, (html or "").encode("utf-8", "replace"),
-                           None if pd.isna(to) else int(to))
+                           None if pd.isna(to) else int(to), f"{name}/{len(held)}", bool(single))
                 held.append(r)
                 size += len(r)
                 if size >= ARCHIVE:
                     yield flush()
-                    held, size = [], 0
+                    name, held, size = f"{uuid.uuid4().hex}.warc.zst", [], 0
         if held:
             yield flush()
 
     text = lambda c: F.col(c).cast("string")  # noqa: E731  # ids as text: pandas would make floats of nullable ones
-    rows = pages.select(text("page_id").alias("page_id"), "url", "html", text("refers_to").alias("refers_to"))
+    rows = pages.select(text("page_id").alias("page_id"), "url", "html", text("refers_to").alias("refers_to"), "single")
     return rows.mapInPandas(put, "archive string, n_records long")
 
 
@@ -152,6 +174,8 @@ def parse(raw: bytes) -> dict:
     n = int(h["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise BadArchive("the block's length is not as stated")
+    if h["warc-type"] == "warcinfo":
+        return {"record_type": "warcinfo"}
     http, sep, payload = rest[:n].partition(b"\r\n\r\n")
     length = [x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
     if not sep or not length:
@@ -159,7 +183,7 @@ def parse(raw: bytes) -> dict:
     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
     if h["warc-type"] == "response" and (len(payload) != int(length[0]) or digest != sha1_base32(payload)):
         raise BadArchive("the payload's length or digest is not as stated")
-    if h["warc-type"] == "revisit" and (payload or "warc-refers-to" not in h):
+    if h["warc-type"] == "revisit" and (payload or "x-refers-to-page-id" not in h):
         raise BadArchive("a revisit with payload or without target")
     return {"page_id": h.get("x-page-id"), "url": h.get("warc-target-uri"), "payload_bytes": int(length[0]),
             "payload_digest": digest, "record_type": h["warc-type"], "refers_to": h.get("x-refers-to-page-id"),
@@ -175,9 +199,11 @@ def read(manifest: DataFrame, path: str, payload: bool = True) -> DataFrame:
         for pdf in batches:
             for name in pdf["archive"]:
                 rows, size = [], 0
-                with fs.open_input_stream(f"{root}/{name}") as f:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for raw in frames(f):
                         r = parse(raw)
+                        if r["record_type"] == "warcinfo":
+                            continue
                         rows.append([r[k] for k in names])
                         size += len(raw) if payload else 400
                         if size > 8 << 20:
@@ -192,13 +218,15 @@ def read(manifest: DataFrame, path: str, payload: bool = True) -> DataFrame:
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """pages with refers_to: the smallest page_id of an equal payload, null where that is its own."""
+    """pages with refers_to: the smallest page_id of an equal payload, null where that is its own; and
+    single: no other row has that page_id and payload."""
     pages = has_columns(pages, "page_id", "url", "html")
     key = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    first = pages.groupBy(key.alias("key")).agg(F.min("page_id").alias("first"))
-    rows = pages.withColumn("key", key).join(first, "key")
-    return rows.select("page_id", "url", "html", F.when(
-        F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    first = (pages.where(F.col("page_id").isNotNull()).groupBy(key.alias("key"), "page_id").agg(F.count("*").alias("n"))
+             .groupBy("key").agg(F.min(F.struct("page_id", "n")).alias("first")))
+    rows = pages.withColumn("key", key).join(first, "key", "left")
+    return rows.select("page_id", "url", "html", F.when(~F.col("first.page_id").eqNullSafe(F.col("page_id")), F.col("first.page_id")).alias("refers_to"),
+                       F.coalesce(F.col("first.n") == 1, F.lit(False)).alias("single"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
