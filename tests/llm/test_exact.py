@@ -435,3 +435,49 @@ def test_warc_faults():
     for bad in (good.replace(b"WARC/1.1", b"WARX/1.1"), good.replace(b"hello", b"hullo"), good[:-1], good.replace(b"WARC-Date", b"WARC-Dxte")):
         with pytest.raises(warc.BadArchive):
             warc.parse(bad)
+
+
+def test_warc_record_ids_are_unique(spark, tmp_path):
+    import io
+    import os
+
+    rows = [(1, "u", "same"), (1, "v", "same"), (2, "u", "same"), (None, "u", "other"), (None, "u", "other"), (3, "u", "one"), (4, "u", "one"), (5, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write(warc.deduplicated(pages), str(tmp_path)).collect()
+    heads = []
+    for m in manifest:
+        with open(os.path.join(tmp_path, m.archive), "rb") as f:
+            for raw in warc.frames(io.BytesIO(f.read())):
+                heads.append(dict(x.split(": ", 1) for x in raw.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]))
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(rows) + len(manifest)
+    by = {h.get("X-Page-Id"): h for h in heads}
+    assert by["4"]["WARC-Refers-To"] == by["3"]["WARC-Record-ID"]
+    assert by["2"]["X-Refers-To-Page-Id"] == "1" and "WARC-Refers-To" not in by["2"]
+
+
+def test_topk_of_large_components_and_repeated_rows(spark):
+    rows = [(0, [1e5, 1.0]), (1, [1e5, 1.0]), (2, [2e5, 1.0]), (3, [3e5, 0.0]), (3, [3e5, 0.0]), (4, [-1e5, 5.0, 7.0]), (50, [-1e6, 3.0]), (60, [1e-3, 1e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_top(rows)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("id") % 50 == 0).collect()} == want
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.search(spark.createDataFrame([(0, [-1e9]), (1, [-1e9])], df.schema), F.col("id") % 50 == 0).collect()
+    with pytest.raises(Exception, match="too large"):
+        topk.search(spark.createDataFrame([(0, [1e300])], df.schema), F.col("id") % 50 == 0).collect()
+
+
+def test_vectors_of_extreme_size_link(spark):
+    rows = [(0, [1e-170, 1e-170], "a"), (1, [1e-170, 1.001e-170], "a"), (2, [1e170, 1e170], "a"), (None, [2e170, 2e170], "a"), (4, [5e-324, 0.0], "a"), (5, [1e300, 1e-300], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), None: (3, 0), 4: (1, 4), 5: (1, 4)}
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"password=abc{i:06d} x" for i in range(1500))
+    row = secretscan.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(secretscan.ASSIGN, text)]
+    assert [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",")] == want
+    done = secretscan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert done == " ".join(["[REDACTED] x"] * 1500)

@@ -63,3 +63,12 @@ def test_features_cover_the_whole_text():
     n = len(a) - quality.WIDTH + 1
     want = np.maximum(sum(tables[k][a[k:k + n]] for k in range(quality.WIDTH)).max(0), 0)
     assert np.allclose(got, want, atol=1e-4)
+
+
+def test_texts_in_unknown_letters_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    odd = spark.createDataFrame([(1, "日本語の文章がここにあります、そしてまだ続きます。" * 5), (2, "это совсем другой язык и он здесь неизвестен"), (3, "12 34"), (4, None)], "doc_id long, text string")
+    assert langid.in_known_language(odd, model).count() == 0
+    clean = docs.where(F.length("text") > 0)
+    assert langid.in_known_language(clean, model).count() >= 0.999 * clean.where(F.col("text").rlike("[a-zA-Z]")).count()

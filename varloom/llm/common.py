@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode one of the machine where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return root or current.get()
