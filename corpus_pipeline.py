@@ -1,6 +1,7 @@
 """Training-corpus pipeline: five stages over `documents`, each written as Parquet and read again.
 
-1. language_id: documents without a determined language go (no letters, or no text).
+1. language_id: documents in none of the learned languages go: those without letters or text, and
+   those whose best cosine with a language's prototype is below langid.FLOOR.
 2. quality: documents that the byte-level network scores below 0.5 go.
 3. near_duplicates: of each group of near copies (five-word shingles, similarity 0.75 or more) one
    document stays, the one with the smallest id.
@@ -35,9 +36,7 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs)
-    out = _free(docs, "langid")
-    return langid.identify(docs, model, out).where(F.col(out)["lang_pred"] != langid.UNDETERMINED).select(docs.columns)
+    return langid.in_known_language(docs, langid.train(docs))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
