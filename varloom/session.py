@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a local folder where that is unset."""
+    """A new path in spark.checkpoint.dir; in local mode in a folder of the machine where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get()
