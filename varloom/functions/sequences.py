@@ -33,12 +33,22 @@ def _map(d: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lcp(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
-    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
-    short = F.least(F.length(a), F.length(b))
-    return F.when(short == 0, F.lit(0)).otherwise(F.coalesce(
-        F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, short)).cast("int")
+    """Length of the longest common prefix: whole pieces of falling powers of two are compared, so that a
+    letter costs no step of its own."""
+    def grow(x: Column, powers: int) -> Column:
+        return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(powers))]), F.lit(0), lambda at, n: F.when(
+            (at + n <= x["n"]) & (F.substring(x["a"], at + 1, n) == F.substring(x["b"], at + 1, n)), at + n).otherwise(at))
+
+    one = F.lit(1)
+    return let(F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n")), lambda x: F.when(
+        (x["n"] == 0) | (F.substring(x["a"], one, one) != F.substring(x["b"], one, one)), 0)
+        .when(x["n"] < 8, grow(x, 3)).when(x["n"] < 128, grow(x, 7)).when(x["n"].isNotNull(), grow(x, 30)))
 
 
 def reverse_complement(s: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import sequences as S
+from varloom.functions.sequences import let
 from varloom.session import saved
 
 from .intervals import CHUNK, MARGIN, lookup_sequence
@@ -23,11 +24,6 @@ def error(kind: str, message: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), message.cast("string").alias("message"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trimmed(org: Column, alt: Column) -> Column:
     """struct<prefix,suffix,org,alt>: the common suffix cut first, then the prefix; identities stay whole."""
     cut = lambda c, k: F.substring(c, F.lit(1), F.length(c) - k)
@@ -80,17 +76,23 @@ def _checks(org: Column, alphabet: str) -> Column:
 
 
 def _in_context(df: DataFrame, window: int, alphabet: str, keep: list[str]) -> DataFrame:
-    """keep, the normal form, error, ref_len and __open (the context was too short) from ctx, ctx_left."""
-    off = F.col("ctx_left")
-    last = off + F.length("ctx")
-    wide = F.col("ref_len").isNotNull() & (F.col("right") > last) & (F.col("right") <= F.col("ref_len"))
-    org = F.substring("ctx", (F.col("left") - off + 1).cast("int"), F.greatest(F.col("right") - F.col("left"), F.lit(0)).cast("int"))
+    """keep, the normal form, error, ref_len and __open (the context was too short) from ctx, ctx_left.
+
+    The letters within the window are cut out once; all else works on them.
+    """
+    inside = F.col("left") - F.col("ctx_left")
+    skip = F.greatest(inside - window, F.lit(0))
+    df = df.select(*keep, "ref_len", (F.col("ctx_left") + F.length("ctx")).alias("__last"), (F.col("ctx_left") + skip).alias("__off"),
+                   F.substring("ctx", (skip + 1).cast("int"), (inside - skip + F.greatest(F.col("right") - F.col("left"), F.lit(0)) + window).cast("int")).alias("__ctx"))
+    off, ctx = F.col("__off"), F.col("__ctx")
+    wide = F.col("ref_len").isNotNull() & (F.col("right") > F.col("__last")) & (F.col("right") <= F.col("ref_len"))
+    org = F.substring(ctx, (F.col("left") - off + 1).cast("int"), F.greatest(F.col("right") - F.col("left"), F.lit(0)).cast("int"))
 
     def form(t: Column) -> Column:
         l0, r0 = F.col("left") + t["prefix"], F.col("right") - t["suffix"]
         pattern = F.when((F.length(t["org"]) > 0) & (F.length(t["alt"]) > 0), F.lit("")).otherwise(F.concat(t["org"], t["alt"]))
-        before = F.substring("ctx", F.greatest((l0 - off).cast("int") - window, F.lit(0)) + 1, F.least((l0 - off).cast("int"), F.lit(window)))
-        after = F.substring("ctx", (r0 - off + 1).cast("int"), F.lit(window))
+        before = F.substring(ctx, F.greatest((l0 - off).cast("int") - window, F.lit(0)) + 1, F.least((l0 - off).cast("int"), F.lit(window)))
+        after = F.substring(ctx, (r0 - off + 1).cast("int"), F.lit(window))
         return let(F.struct(pattern.alias("p"), l0.alias("l0"), r0.alias("r0")), lambda x: let(
             F.when(F.length(x["p"]) > 0, shift_range(x["p"], before, after, window)).otherwise(
                 F.struct(F.lit(0).alias("sl"), F.lit(0).alias("sr"), F.lit(False).alias("fl"), F.lit(False).alias("fr"))),
@@ -114,7 +116,8 @@ def normalize(variants: DataFrame, chunks: DataFrame, rounds: int = 8, alphabet:
     falls fast, and the loop ends when none is left.
     """
     keep = variants.columns
-    df = variants.withColumn("__chunk", F.floor(F.col("left") / CHUNK))
+    # Dealt by the join's key: rows of a chunk meet it in one place, and the letters' work is spread.
+    df = variants.withColumn("__chunk", F.floor(F.col("left") / CHUNK)).repartition("ref_id", "__chunk")
     df = df.join(chunks.withColumnRenamed("chunk_no", "__chunk"), ["ref_id", "__chunk"], "left")
     cols = [*keep, *NORMAL, "error"]
     # Written once: the finished rows and the open ones both come from here.
