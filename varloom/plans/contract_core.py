@@ -28,7 +28,7 @@ RC = "reverse(translate({}, 'ACGTMRYKVHDB', 'TGCAKYRMBDHV'))"
 
 
 def normal(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.normalize(D.raw_variants(spark, d), intervals.ref_chunks(D.ref_seq(spark, d)))
+    return normalize.normalize(D.raw_variants(spark, d), D.chunks(spark, d))
 
 
 def exons(spark: SparkSession, d: str) -> DataFrame:
@@ -113,14 +113,14 @@ def c7_expand_hgvs_sequences(spark, d):
     v = D.raw_variants(spark, d)
     parts = v.select(F.floor(F.col("row_id") / 1000000000).alias("order_id"), F.col("row_id").alias("idx"), F.when(F.col("row_id") % 3 == 0, "ACGT").alias("literal"),
                      "ref_id", "left", (F.col("left") + 7).alias("right"), (F.col("row_id") % 3 == 2).alias("inverted"))
-    return normalize.expand_hgvs_sequences(parts, intervals.ref_chunks(D.ref_seq(spark, d)), "order_id")
+    return normalize.expand_hgvs_sequences(parts, D.chunks(spark, d), "order_id")
 
 
 @query(D.with_ctes(["raw"], f"""select row_id, ({D.lcp_sql('substr(seq, "left" + 1, 60)', D.tile_sql('substr(seq, "left" + 1, 2)', 'length(substr(seq, "left" + 1, 60))'))}) // 2 as copies,
   case when row_id % 5 < copies then 'deletion' when row_id % 5 = copies then 'identity' else 'insertion' end as kind from raw"""))
 def c8_expand_repeats(spark, d):
     v = D.raw_variants(spark, d).select("row_id", "ref_id", "left", (F.col("left") + 60).alias("right"))
-    ctx = intervals.lookup_sequence(v, intervals.ref_chunks(D.ref_seq(spark, d)), "row_id").withColumnRenamed("seq", "ctx")
+    ctx = intervals.lookup_sequence(v, D.chunks(spark, d), "row_id").withColumnRenamed("seq", "ctx")
     rows = v.drop("right").join(ctx, "row_id").withColumn("unit", F.substring("ctx", 1, 2)).withColumn("n", F.col("row_id") % 5)
     return normalize.expand_repeats(rows).select("row_id", "copies", "kind")
 
@@ -298,7 +298,7 @@ def r9_get_sequence(spark, d):
 def r10_get_spliced_sequence(spark, d):
     docs = D.table(spark, d, "documents").count()
     e = exons(spark, d).select(F.concat_ws("/", "transcript", "n").alias("k"), "transcript", "n", (F.col("transcript") % docs).alias("ref_id"), "u_left", "u_right")
-    got = e.join(intervals.lookup_sequence(e, intervals.ref_chunks(D.ref_seq(spark, d)), "k", "u_left", "u_right"), "k", "left")
+    got = e.join(intervals.lookup_sequence(e, D.chunks(spark, d), "k", "u_left", "u_right"), "k", "left")
     one = got.groupBy("transcript").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "seq"))), lambda x: x["seq"]), "").alias("seq"))
     return one.select("transcript", F.md5("seq").alias("seq"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varloom.operators import links, lookups, normalize, output, reconcile, registry
-from varloom.session import saved, scratch_path
+from varloom.session import saved, scratch_path, stored
 from varloom.streaming.register_stream import event_batch, register_stream
 
 from . import bulk
@@ -30,12 +30,24 @@ def empty(spark):
     return (spark.createDataFrame([], registry.Registry.TABLES["variants"]), spark.createDataFrame([], registry.Registry.TABLES["identifiers"]))
 
 
-def registered(spark, d):
+def register_batch(spark, d):
     """(variants, identifiers, answer) after one batch."""
     table, known, answer = registry.register(saved(batch(spark, d), "batch"), ids(spark, d), *empty(spark))
     return saved(table, "variants"), known, answer
 
 
+def registered(spark, d):
+    """The standing (variants, identifiers): one batch, registered once a session."""
+    made: list = []
+
+    def make(k):
+        if not made:
+            made.extend(register_batch(spark, d))
+        return made[k]
+
+    return stored(spark, ("variants", d), lambda: make(0)), stored(spark, ("identifiers", d), lambda: make(1))
+
+
 REG = """, u as (select ref_id, n_left, n_right, category, length_change, inserted, min(row_id) as row_id from norm group by all),
  v as (select *, row_number() over (order by ref_id, n_left, n_right, category, length_change, length(inserted), inserted) as ca_id from u),
  k as (select n.row_id, v.ca_id, v.ref_id, v.n_left, v.n_right from norm n join v using (ref_id, n_left, n_right, category, length_change, inserted))"""
@@ -47,18 +59,18 @@ def reg(query_text: str, *more: str) -> str:
 
 @query(reg("select row_id, ca_id from k"))
 def w1_register(spark, d):
-    return registered(spark, d)[2].select("row_id", "ca_id")
+    return register_batch(spark, d)[2].select("row_id", "ca_id")
 
 
 @query(reg("select ca_id, id_type, id from k join ids using (row_id) group by all", "ids"))
 def w1_identifiers(spark, d):
-    table, known, _ = registered(spark, d)
+    table, known = registered(spark, d)
     return known.join(table.select("variant_key", "ca_id"), "variant_key").select("ca_id", "id_type", "id")
 
 
 @query(reg("select row_id, case when row_id % 2 = 0 or row_id % 3 = 0 then ca_id end as ca_id from k"))
 def w2_fetch_by_definition(spark, d):
-    table, _, _ = registered(spark, d)
+    table, _ = registered(spark, d)
     rows = batch(spark, d).join(table.select("variant_key", F.col("ca_id").alias("own")), "variant_key").withColumn(
         "given_id", F.when(F.col("row_id") % 2 == 0, None).when(F.col("row_id") % 3 == 0, F.col("own")).otherwise(F.col("own") + 1))
     return registry.fetch_by_definition(rows.drop("own"), table).select("row_id", "ca_id")
@@ -66,7 +78,7 @@ def w2_fetch_by_definition(spark, d):
 
 @query(reg("select o_orderkey as row_id, v.ref_id, v.n_left, case when v.ca_id is null then 'NotFound' end as error from orders left join v on ca_id = o_orderkey * 3"))
 def w3_fetch_by_id(spark, d):
-    table, _, _ = registered(spark, d)
+    table, _ = registered(spark, d)
     ask = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") * 3).alias("ca_id"))
     return registry.fetch_by_id(ask, table).select("row_id", "ref_id", "n_left", "error")
 
@@ -82,7 +94,7 @@ def w4_remove_identifiers(spark, d):
  (select count(*) from (select ca_id, id_type, id from k join ids using (row_id) group by all) where ca_id not in (select ca_id from g)) as n_ids,
  (select count(*) from links where ca_id not in (select ca_id from g)) as n_links""", "ids", "links"))
 def w5_delete_variants(spark, d):
-    table, known, _ = registered(spark, d)
+    table, known = registered(spark, d)
     gone = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("ca_id"))
     a, b, c = registry.delete_variants(gone, table, known, D.links(spark, d))
     one = lambda x, n: x.agg(F.count("*").alias(n)).withColumn("one", F.lit(1))
@@ -108,19 +120,15 @@ def w8_bulk_register(spark, d):
     plain = D.raw_variants(spark, d)
     bad = plain.where("ref <> '' and row_id % 50 = 1").withColumn("row_id", F.col("row_id") + 900000000000000).withColumn(
         "ref", F.translate("ref", "ACGT", "CGTA"))
-    from varloom.operators.intervals import ref_chunks
-
-    chunks = ref_chunks(D.ref_seq(spark, d))
+    chunks = D.chunks(spark, d)
     return bulk.bulk_register(plain.unionByName(bad), ids(spark, d), chunks, *empty(spark))[2].select("row_id", "ca_id", "error")
 
 
 @query(reg(""" , x as (select ca_id, string_agg(distinct 'rs' || id, ',' order by 'rs' || id) as t from k join ids using (row_id) where id_type = 'dbSNP' group by ca_id)
  select k.row_id, 'CA' || k.ca_id || ',' || x.t as ids from k join x using (ca_id)""", "ids"))
 def w9_annotate_vcf(spark, d):
-    from varloom.operators.intervals import ref_chunks
-
-    table, known, _ = registered(spark, d)
-    got = bulk.annotate(D.raw_variants(spark, d), ref_chunks(D.ref_seq(spark, d)), table, known, ["CA", "dbSNP"])
+    table, known = registered(spark, d)
+    got = bulk.annotate(D.raw_variants(spark, d), D.chunks(spark, d), table, known, ["CA", "dbSNP"])
     return got.select("row_id", F.array_join("ids", ",").alias("ids"))
 
 
@@ -141,7 +149,7 @@ REGION = """select o_orderkey as region_id, ca_id, n_left, n_right from orders j
 @query(reg(REGION))
 def alleles_by_region(spark, d):
     """Variants in a set of regions, all in one binned join."""
-    table, _, _ = registered(spark, d)
+    table, _ = registered(spark, d)
     docs = D.table(spark, d, "documents").count()
     a = F.col("o_orderkey") * 13 % 3000
     ask = D.table(spark, d, "orders").where("o_orderkey % 15 = 1").select(
@@ -154,7 +162,7 @@ def alleles_by_region(spark, d):
 def q5_alleles_by_gene(spark, d):
     from varloom.operators.intervals import merge_intervals
 
-    table, _, _ = registered(spark, d)
+    table, _ = registered(spark, d)
     docs = D.table(spark, d, "documents").count()
     a = F.col("p_partkey") * 7 % 900
     regions = D.table(spark, d, "part").select((F.col("p_partkey") % 40).alias("gene_id"), (F.col("p_partkey") % docs).alias("src_ref"), a.alias("left"), (a + 120).alias("right"))
@@ -231,13 +239,13 @@ def q11_alleles_by_external_source(spark, d):
 
 @query(reg("select distinct ca_id from k join ids using (row_id) where id_type = 'ClinVarVariant' and id % 2 = 0", "ids"))
 def f3_has_identifier_of_type(spark, d):
-    table, known, _ = registered(spark, d)
+    table, known = registered(spark, d)
     return registry.has_identifier_of_type(table, known.where("id_type = 'ClinVarVariant' and id % 2 = 0"), ["ClinVarVariant"]).select("ca_id")
 
 
 @query(reg("select distinct ca_id from k join ids using (row_id) where id_type = 'ClinVarVariant' and id = 3", "ids"))
 def f4_has_identifier(spark, d):
-    table, known, _ = registered(spark, d)
+    table, known = registered(spark, d)
     return registry.has_identifier(table, registry.rebuild_identifier_index(known), "ClinVarVariant", 3).select("ca_id")
 
 
@@ -249,10 +257,8 @@ def f5_validate_letters(spark, d):
 
 @query(D.with_ctes(["raw"], "select row_id, case when ref <> '' and row_id % 5 = 0 then 'IncorrectReferenceAllele' end as error from raw"))
 def f6_validate_reference_allele(spark, d):
-    from varloom.operators.intervals import ref_chunks
-
     v = D.raw_variants(spark, d).withColumn("ref", F.when(F.col("row_id") % 5 == 0, F.translate("ref", "ACGT", "CGTA")).otherwise(F.col("ref")))
-    return normalize.normalize(v, ref_chunks(D.ref_seq(spark, d))).select("row_id", F.col("error.type").alias("error"))
+    return normalize.normalize(v, D.chunks(spark, d)).select("row_id", F.col("error.type").alias("error"))
 
 
 @query("select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 as row_id, greatest(l_partkey * 300, l_suppkey * 1100) <= 10000 as fits from lineitem")

@@ -167,9 +167,7 @@ def q1_alleles_by_hgvs(spark, d):
 @query(D.with_ctes(["raw"], """select row_id from raw where row_id % 9 = 1 and length(ref) > 0 and length(alt) > 0"""))
 def q3_alleles_by_definition_ids(spark, d):
     from varloom.operators import lookups
-    from varloom.operators.intervals import ref_chunks
-
-    chunks = ref_chunks(D.ref_seq(spark, d))
+    chunks = D.chunks(spark, d)
     v = D.raw_variants(spark, d).where("row_id % 9 = 1 and length(ref) > 0 and length(alt) > 0")
     stored = bulk.keyed(v, chunks).select("row_id", "variant_key")
     found = lookups.by_definition_ids(stored.select("variant_key").distinct(), stored, stored.select("variant_key", F.lit("gnomAD").alias("id_type")).distinct(), "gnomAD")

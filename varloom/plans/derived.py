@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.operators.intervals import ref_chunks
+from varloom.session import stored
+
 LETTERS, BASES = "BDEFHIJKLMNOPQRSUVWXYZ", "CATGCATGCATGCATGCATGCA"
 
 
@@ -28,11 +31,20 @@ def ref_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("ref_id"), F.translate(letters, LETTERS, BASES).alias("seq"))
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those sequences as a chunk table: derived once a session, as a standing table would be."""
+    return stored(spark, ("chunks", sf_dir), lambda: ref_chunks(ref_seq(spark, sf_dir)))
+
+
 def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, ref_id, left, right, ref, alt): plain changes on those sequences."""
+    """(row_id, ref_id, left, right, ref, alt): plain changes on those sequences; derived once a session."""
+    return stored(spark, ("plain", sf_dir), lambda: _raw_variants(spark, sf_dir))
+
+
+def _raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = ref_seq(spark, sf_dir).withColumn("n", F.length("seq")).where(F.col("n") >= 32)
     docs = table(spark, sf_dir, "documents").count()
-    rows = table(spark, sf_dir, "lineitem").withColumn("ref_id", F.col("l_partkey") % docs).join(seqs, "ref_id")
+    rows = table(spark, sf_dir, "lineitem").withColumn("ref_id", F.col("l_partkey") % docs).repartition("ref_id").join(seqs, "ref_id")
     pos = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % (F.col("n") - 12)
     k = F.col("l_linenumber") % 4
     return rows.select(

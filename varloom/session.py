@@ -27,3 +27,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """The table that make() gives, written once a session under its key and read again after that."""
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _STORED:
+        path = scratch_path(spark, "-".join(map(str, key[:1])))
+        make().write.parquet(path)
+        _STORED[at] = path
+    return spark.read.parquet(_STORED[at])
