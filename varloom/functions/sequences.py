@@ -103,14 +103,15 @@ def apply_edit(seq: Column, left: Column, right: Column, alt: Column) -> Column:
 
 
 def apply_mods(seq: Column, mods: Column) -> Column:
-    """seq with sorted, disjoint array<struct<left,right,alt>> spliced in; nothing after a first stop."""
-    out = F.aggregate(
+    """seq with sorted, disjoint array<struct<left,right,alt>> spliced in; once the result ends with a stop, the rest is dropped."""
+    stopped = lambda a: a["s"].endswith("*")
+    part = lambda a, n: F.substring(seq, (a["at"] + 1).cast("int"), n)
+    return F.aggregate(
         mods, F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at")),
         lambda a, m: F.struct(
-            F.concat(a["s"], F.substring(seq, (a["at"] + 1).cast("int"), (m["left"] - a["at"]).cast("int")), m["alt"]).alias("s"),
+            F.when(stopped(a), a["s"]).otherwise(F.concat(a["s"], part(a, (m["left"] - a["at"]).cast("int")), m["alt"])).alias("s"),
             m["right"].cast("long").alias("at")),
-        lambda a: F.concat(a["s"], F.substring(seq, (a["at"] + 1).cast("int"), F.length(seq))))
-    return out
+        lambda a: F.when(stopped(a), a["s"]).otherwise(F.concat(a["s"], part(a, F.length(seq)))))
 
 
 def until_stop(protein: Column) -> Column:

@@ -49,14 +49,31 @@ def merge_intervals(df: DataFrame, keys: list[str], left: str = "left", right: s
     return rows.groupBy(*keys, "__isle").agg(F.min(left).alias(left), F.max(right).alias(right)).drop("__isle")
 
 
+def _at(f, step: int):
+    return lambda i: f(i, step)
+
+
 def ref_chunks(ref_seq: DataFrame, size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
-    """(ref_id, chunk_no, ctx_left, ctx, ref_len): pieces of a sequence with `margin` letters around."""
-    n = F.length("seq")
-    rows = ref_seq.select("ref_id", "seq", n.cast("long").alias("ref_len"), F.explode(
-        F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int"))).alias("chunk_no"))
-    left = F.greatest(F.col("chunk_no") * size - margin, F.lit(0))
-    return rows.select("ref_id", F.col("chunk_no").cast("long").alias("chunk_no"), left.cast("long").alias("ctx_left"),
-                       F.substring("seq", left + 1, F.lit(size + margin) + F.col("chunk_no") * size - left).alias("ctx"), "ref_len")
+    """(ref_id, chunk_no, ctx_left, ctx, ref_len): pieces of a sequence with `margin` letters around.
+
+    A substring is found by walking from its text's start, so long texts are cut in steps: into pieces of
+    4,096 chunks, those into pieces of 64, those into chunks.
+    """
+    n = F.length("seq").cast("long")
+    rows = ref_seq.select("ref_id", F.lit(0).cast("long").alias("at"), n.alias("end"), F.lit(0).cast("long").alias("ctx_left"),
+                          F.col("seq").alias("ctx"), n.alias("ref_len"))
+
+    def piece(i: Column, step: int) -> Column:
+        at = F.col("at") + i.cast("long") * step
+        end, left = F.least(at + step, "end"), F.greatest(at - margin, F.lit(0).cast("long"))
+        right = F.least(end + margin, "ref_len")
+        return F.struct(at.alias("at"), end.alias("end"), left.alias("ctx_left"), F.substring(
+            "ctx", (left - F.col("ctx_left") + 1).cast("int"), (right - left).cast("int")).alias("ctx"))
+
+    for step in (4096 * size, 64 * size, size):
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.col("end") - F.col("at") - 1) / step), F.lit(0)).cast("int"))
+        rows = rows.select("ref_id", "ref_len", F.explode(F.transform(numbers, _at(piece, step))).alias("p")).select("ref_id", "p.*", "ref_len")
+    return rows.select("ref_id", F.floor(F.col("at") / size).alias("chunk_no"), "ctx_left", "ctx", "ref_len")
 
 
 def lookup_sequence(regions: DataFrame, chunks: DataFrame, key: str, left: str = "left", right: str = "right",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions import sequences as S
 
 from .intervals import containment_join, merge_intervals
+from .normalize import DUPLICATION, SHIFTABLE_DELETION
 
 
 def _through(met: DataFrame, a_left: str, b_left: str, b_right: str) -> tuple:
@@ -18,32 +19,86 @@ def _through(met: DataFrame, a_left: str, b_left: str, b_right: str) -> tuple:
     return left, left + n
 
 
+def perfect(blocks: DataFrame) -> DataFrame:
+    """The blocks of equal letters: those of op '=', where there is an op."""
+    return blocks.where(F.col("op") == "=").drop("op") if "op" in blocks.columns else blocks
+
+
+def _keys(items: DataFrame) -> list[str]:
+    """An item is one change, or several with numbers in `change`."""
+    return ["item_id", "change"] if "change" in items.columns else ["item_id"]
+
+
 def map_to_main(items: DataFrame, blocks: DataFrame) -> DataFrame:
-    """items(item_id, trg_ref, left, right, alt) placed on the main reference.
+    """items(item_id[, change], trg_ref, left, right, alt) placed on the main reference.
 
-    Exactly one ungapped block must hold the item, else the row has an error; '-' turns the letters.
+    Exactly one perfect block must hold each change, and all changes of an item must come to one main
+    reference, else each of its rows has an error; '-' turns the letters.
     """
-    met = containment_join(items, blocks, ["trg_ref"], ("left", "right"), ("trg_left", "trg_right"))
+    keys = _keys(items)
+    met = containment_join(items, perfect(blocks), ["trg_ref"], ("left", "right"), ("trg_left", "trg_right"))
     l, r = _through(met, "trg_left", "src_left", "src_right")
-    one = met.groupBy("item_id").agg(F.count("*").alias("n"), F.min("src_ref").alias("main_ref"), F.min(l).alias("main_left"),
-                                     F.min(r).alias("main_right"), F.min("strand").alias("strand"))
-    got = items.join(one, "item_id", "left")
-    ok = F.col("n") == 1
+    one = met.groupBy(*keys).agg(F.count("*").alias("n"), F.min("src_ref").alias("main_ref"), F.min(l).alias("main_left"),
+                                 F.min(r).alias("main_right"), F.min("strand").alias("strand"))
+    got = items.join(one, keys, "left")
+    if len(keys) > 1:
+        whole = got.groupBy("item_id").agg(
+            F.max(F.col("n").isNull()).alias("none"), F.max(F.coalesce(F.col("n") > 1, F.lit(False))).alias("many"),
+            (F.min("main_ref") != F.max("main_ref")).alias("apart"))
+        got = got.join(whole, "item_id")
+    else:
+        got = got.withColumns({"none": F.col("n").isNull(), "many": F.col("n") > 1, "apart": F.lit(False)})
+    error = F.when(F.col("none"), "NoAlignment").when(F.col("many"), "AmbiguousAlignment").when(F.col("apart"), "DifferentReferences")
+    ok = error.isNull()
     return got.select(
-        "item_id", F.when(ok, F.col("main_ref")).alias("main_ref"), F.when(ok, F.col("main_left")).alias("main_left"),
+        *keys, F.when(ok, F.col("main_ref")).alias("main_ref"), F.when(ok, F.col("main_left")).alias("main_left"),
         F.when(ok, F.col("main_right")).alias("main_right"),
         F.when(ok, F.when(F.col("strand") == "-", S.reverse_complement(F.col("alt"))).otherwise(F.col("alt"))).alias("main_alt"),
-        F.when(F.col("n").isNull(), "NoAlignment").when(~ok, "AmbiguousAlignment").alias("error"))
+        error.alias("error"))
 
 
 def map_from_main(items: DataFrame, blocks: DataFrame) -> DataFrame:
-    """items(item_id, src_ref, left, right, alt) on every reference where one block holds them whole."""
-    met = containment_join(items, blocks, ["src_ref"], ("left", "right"), ("src_left", "src_right"))
+    """items(item_id[, change], src_ref, left, right, alt) on every reference where one perfect block holds
+    each of the item's changes whole."""
+    keys = _keys(items)
+    met = containment_join(items, perfect(blocks), ["src_ref"], ("left", "right"), ("src_left", "src_right"))
     l, r = _through(met, "src_left", "trg_left", "trg_right")
     alt = F.when(F.col("strand") == "-", S.reverse_complement(F.col("alt"))).otherwise(F.col("alt"))
-    rows = met.select("item_id", "trg_ref", l.alias("t_left"), r.alias("t_right"), alt.alias("t_alt"), "strand")
-    w = Window.partitionBy("item_id", "trg_ref")
-    return rows.withColumn("n", F.count("*").over(w)).where("n = 1").drop("n")
+    rows = met.select(*keys, "trg_ref", l.alias("t_left"), r.alias("t_right"), alt.alias("t_alt"), "strand")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "trg_ref"))).where("n = 1").drop("n")
+    if len(keys) > 1:
+        total = items.groupBy("item_id").agg(F.count("*").alias("total"))
+        w = Window.partitionBy("item_id", "trg_ref")
+        rows = rows.join(total, "item_id").withColumn("n", F.count("*").over(w)).where("n = total").drop("n", "total")
+    return rows
+
+
+def turned(strand: Column) -> dict[str, Column]:
+    """original and inserted of a normal form on the other strand, where strand is '-'.
+
+    The leftmost form there is the rightmost one here: a deleted or doubled text is rotated to it first.
+    """
+    move, k, c = F.col("n_right") - F.col("n_left"), F.col("length_change"), F.col("category")
+    text = F.when(c == SHIFTABLE_DELETION, S.rotate_left(F.col("original"), move - k)).when(
+        c == DUPLICATION, S.rotate_left(F.col("original"), move)).otherwise(F.col("original"))
+    turn = lambda x: F.when(strand == "-", S.reverse_complement(x[0])).otherwise(x[1])
+    return {"original": turn((text, F.col("original"))), "inserted": turn((F.col("inserted"), F.col("inserted")))}
+
+
+def normal_to_main(forms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Normal forms(item_id, ref_id, n_left, n_right, category, length_change, inserted, original) on the main
+    reference, turned on '-'; the whole shift range must lie in one perfect block, so the form stays normal."""
+    items = forms.select("item_id", F.col("ref_id").alias("trg_ref"), F.col("n_left").alias("left"), F.col("n_right").alias("right"))
+    met = containment_join(items, perfect(blocks), ["trg_ref"], ("left", "right"), ("trg_left", "trg_right"))
+    l, r = _through(met, "trg_left", "src_left", "src_right")
+    one = met.groupBy("item_id").agg(F.count("*").alias("n"), F.min("src_ref").alias("main_ref"), F.min(l).alias("main_left"),
+                                     F.min(r).alias("main_right"), F.min("strand").alias("strand"))
+    got = forms.join(one, "item_id", "left")
+    error = F.when(F.col("n").isNull(), "NoAlignment").when(F.col("n") > 1, "AmbiguousAlignment")
+    text = turned(F.col("strand"))
+    return got.select("item_id", *[F.when(error.isNull(), c).alias(n) for n, c in (
+        ("main_ref", F.col("main_ref")), ("main_left", F.col("main_left")), ("main_right", F.col("main_right")), ("category", F.col("category")),
+        ("length_change", F.col("length_change")), ("inserted", text["inserted"]), ("original", text["original"]))], error.alias("error"))
 
 
 def lift_to_build(items: DataFrame, blocks: DataFrame, builds: DataFrame, build: str) -> DataFrame:

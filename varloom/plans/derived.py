@@ -106,7 +106,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(align_id, trg_ref, trg_left, trg_right, src_ref, src_left, src_right, strand): ungapped blocks.
+    """(align_id, trg_ref, trg_left, trg_right, src_ref, src_left, src_right, strand, op): ungapped blocks, some of them with changed letters.
 
     Line i of an order lies at 100*i of its target and, by strand, at the same place or mirrored in
     its source.
@@ -118,7 +118,8 @@ def align_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         row_key().alias("align_id"), F.col("l_orderkey").alias("trg_ref"),
         a.alias("trg_left"), (a + k).alias("trg_right"), (F.col("l_partkey") % 25).alias("src_ref"),
-        s.alias("src_left"), (s + k).alias("src_right"), strand.alias("strand"))
+        s.alias("src_left"), (s + k).alias("src_right"), strand.alias("strand"),
+        F.when(F.col("l_suppkey") % 5 == 3, "X").otherwise("=").alias("op"))
 
 
 def lcp_sql(a: str, b: str) -> str:
@@ -181,10 +182,11 @@ CTES = {
   l_linenumber::bigint * 100 + l_quantity::bigint as trg_right, l_partkey % 25 as src_ref,
   case when l_linestatus = 'O' then 5000 - l_linenumber::bigint * 100 - l_quantity::bigint else l_linenumber::bigint * 100 + 1000 end as src_left,
   case when l_linestatus = 'O' then 5000 - l_linenumber::bigint * 100 else l_linenumber::bigint * 100 + 1000 + l_quantity::bigint end as src_right,
-  case when l_linestatus = 'O' then '-' else '+' end as strand from lineitem""",
+  case when l_linestatus = 'O' then '-' else '+' end as strand, case when l_suppkey % 5 = 3 then 'X' else '=' end as op from lineitem""",
+    "perfect": "select * from blocks where op = '='",
 }
 NEEDS = {"raw": ["ref_seq"], "trim0": ["raw"], "trim1": ["trim0"], "trim": ["trim1"], "shift": ["trim"], "cat": ["shift"],
-         "norm": ["cat"], "exons": ["exon_lengths"]}
+         "norm": ["cat"], "perfect": ["blocks"], "exons": ["exon_lengths"]}
 
 
 def with_ctes(names: list[str], query: str) -> str:

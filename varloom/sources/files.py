@@ -11,6 +11,11 @@ BULK_COLUMNS = ("hgvs", "id", "dbSNP.rs", "ClinVar.alleleId", "ClinVar.variation
 KEY_COLUMNS = ("hgvs", "id", "MyVariantInfo_hg19.id", "MyVariantInfo_hg38.id", "ExAC.id", "gnomAD.id")
 
 
+def _from(values: Column, at: int) -> Column:
+    """The elements from place `at` (1: the first) on."""
+    return F.slice(values, F.lit(at), F.size(values))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): a line's number grows within each file."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
@@ -33,11 +38,11 @@ def read_align(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True)
     parts = rows.select(F.explode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("v"))
     recs = parts.select(F.regexp_extract("v", r"^\s*(\S+)", 1).alias("name"), F.posexplode(F.filter(
-        F.transform(F.slice(F.split("v", "\r?\n"), 2, 1 << 20), lambda s: F.regexp_replace(s, "#.*$", "")), lambda s: F.trim(s) != "")).alias("idx", "s"))
+        F.transform(_from(F.split("v", "\r?\n"), 2), lambda s: F.regexp_replace(s, "#.*$", "")), lambda s: F.trim(s) != "")).alias("idx", "s"))
     f = F.split("s", "[\t ]", -1)
     recs = recs.select("name", F.col("idx").try_cast("long").alias("idx"), F.get(f, F.lit(0)).alias("unaligned"), F.get(f, F.lit(1)).alias("ref"), F.get(f, F.lit(2)).alias("strand"),
                        F.get(f, F.lit(3)).try_cast("long").alias("offset"), F.get(f, F.lit(4)).alias("cigar"),
-                       F.filter(F.slice(f, 6, 1 << 20), lambda x: x != "").alias("seqs"))
+                       F.filter(_from(f, 6), lambda x: x != "").alias("seqs"))
     total = lambda ops: F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(f"([0-9]+)[{ops}]"), F.lit(1)), lambda x: x.try_cast("long")), F.lit(0).try_cast("long"), lambda a, x: a + x)
     w = Window.partitionBy("name").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     span = F.length("unaligned") + total("M=XI")
@@ -168,7 +173,7 @@ def with_vcf_ids(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """(line, text) with the ID column rewritten from ids(line, new array<string>)."""
     f = F.split("text", "\t", -1)
     got = lines.join(ids, "line", "left")
-    text = F.array_join(F.concat(F.slice(f, 1, 2), F.array(merged_ids(F.get(f, F.lit(2)), F.col("new"))), F.slice(f, 4, 1 << 20)), "\t")
+    text = F.array_join(F.concat(F.slice(f, 1, 2), F.array(merged_ids(F.get(f, F.lit(2)), F.col("new"))), _from(f, 4)), "\t")
     return got.select("line", text.alias("text"))
 
 
