@@ -128,9 +128,8 @@ def vr_allele(df: DataFrame) -> DataFrame:
     """(ca_id, json, digest) of single changes: location and state with truncated SHA-512 digests."""
     from .references import truncated_digest
 
-    location = F.struct(
-        F.struct(F.struct(F.col("n_right").alias("end"), F.col("n_left").alias("start"), F.lit("SimpleInterval").alias("type"))).alias("l"))["l"]
-    loc = F.to_json(F.struct(location.alias("interval"), F.concat(F.lit("ref."), F.col("ref_id").cast("string")).alias("sequence_id"), F.lit("SequenceLocation").alias("type")))
+    interval = F.struct(F.col("n_right").alias("end"), F.col("n_left").alias("start"), F.lit("SimpleInterval").alias("type"))
+    loc = F.to_json(F.struct(interval.alias("interval"), F.concat(F.lit("ref."), F.col("ref_id").cast("string")).alias("sequence_id"), F.lit("SequenceLocation").alias("type")))
     rows = df.withColumn("loc_digest", truncated_digest(loc))
     allele = F.to_json(F.struct(F.col("loc_digest").alias("location"), F.struct(
         F.col("inserted").alias("sequence"), F.lit("SequenceState").alias("type")).alias("state"), F.lit("Allele").alias("type")))
