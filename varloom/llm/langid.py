@@ -31,6 +31,8 @@ MAX_LANGS = 4096
 UNDETERMINED = "und"
 #: Cosines of unrelated texts scatter by 1 / sqrt(DIM); below twice that a text is in none of the languages.
 FLOOR = 2 / math.sqrt(DIM)
+#: Texts of fewer characters have too few trigrams to tell, and stay if they have a letter.
+SHORT = 32
 
 
 @lru_cache(1)
@@ -129,9 +131,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], out: str = "l
 
 
 def in_known_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """The rows of docs whose best prototype is at FLOOR or above; their columns stay as they are."""
+    """The rows of docs with letters whose best prototype is at FLOOR or above, or whose text is SHORT;
+    their columns stay as they are."""
     found = predict(F.col("text"), model)
-    return docs.where((found["lang_pred"] != UNDETERMINED) & (found["score"] >= FLOOR))
+    return docs.where((found["lang_pred"] != UNDETERMINED) & ((found["score"] >= FLOOR) | (F.length("text") < SHORT)))
 
 
 def held_out_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
