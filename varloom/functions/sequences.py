@@ -74,12 +74,12 @@ def tile(s: Column, n: Column) -> Column:
 def translate_codons(s: Column, tail: bool = True) -> Column:
     """Protein of a coding sequence; an incomplete last codon gives its residue if it is certain, else X."""
     full, part = _map(codon_table()), _map(partial_codon_table())
-    n = F.floor(F.length(s) / 3).cast("int")
-    body = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(
-        F.element_at(full, F.substring(s, i * 3 - 2, F.lit(3))), F.lit("X"))), "")).otherwise(F.lit(""))
+    # Cut in one pass: a substring per codon would start from the first letter each time.
+    codons = F.regexp_extract_all(s, F.lit(r"([\s\S]{3})"), F.lit(1))
+    body = F.when(s.isNotNull(), F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(full, c), F.lit("X"))), "")).otherwise(F.lit(""))
     if not tail:
         return body
-    rest = F.substring(s, n * 3 + 1, F.lit(3))
+    rest = F.substring(s, F.floor(F.length(s) / 3).cast("int") * 3 + 1, F.lit(3))
     return F.concat(body, F.when(F.length(rest) == 0, F.lit("")).otherwise(
         F.coalesce(F.element_at(part, rest), F.lit("X"))))
 

@@ -214,14 +214,15 @@ def canonicalize_protein(variants: DataFrame, chunks: DataFrame) -> DataFrame:
     return normalize(variants, chunks, alphabet="A-Z*")
 
 
-def expand_repeats(df: DataFrame) -> DataFrame:
-    """unit[n] at `left`, with context ctx that begins there: how many copies stand there, and the plain change.
+def expand_repeats(df: DataFrame, chunks: DataFrame) -> DataFrame:
+    """rows(ref_id, left, unit, n, ...): unit[n] at `left`, how many copies stand there, and the plain change.
 
-    Adds copies, right and alt: fewer copies delete, equal ones change nothing, more insert.
+    Adds copies, right and alt: fewer copies delete, equal ones change nothing, more insert. A run goes
+    on for as far as an insertion of the unit may move to the right, so its length has no limit.
     """
     k = F.length("unit")
-    run = S.lcp(F.col("ctx"), S.tile(F.col("unit"), F.length("ctx")))
-    df = df.withColumn("copies", F.floor(run / k).cast("long"))
+    rows = df.select("*", F.col("left").alias("right"), F.lit("").alias("ref"), F.col("unit").alias("alt"))
+    df = normalize(rows, chunks).select(*df.columns, F.floor((F.col("n_right") - F.col("left")) / k).cast("long").alias("copies"))
     have, want = F.col("copies"), F.col("n")
     return df.withColumn("right", F.col("left") + have * k).withColumn(
         "alt", F.call_function("repeat", F.col("unit"), want.cast("int"))).withColumn(

@@ -41,9 +41,9 @@ def c1_trim_alleles(spark, d):
     return rows.select("row_id", F.col("prefix").cast("long").alias("prefix"), F.col("suffix").cast("long").alias("suffix"), "org2", "alt2")
 
 
-@query(D.with_ctes(["norm"], "select row_id, n_left, n_right from norm where n_right - n_left > 12 or category > 0"))
+@query(D.with_ctes(["norm"], "select row_id, n_left, n_right from norm"))
 def c2_shift_range(spark, d):
-    return normal(spark, d).where("n_right - n_left > 12 or category > 0").select("row_id", "n_left", "n_right")
+    return normal(spark, d).select("row_id", "n_left", "n_right")
 
 
 @query(D.with_ctes(["norm"], "select row_id, category::bigint as category, length_change::bigint as length_change, inserted, original from norm"))
@@ -81,7 +81,7 @@ def c5_canonicalize_genomic(spark, d):
         F.aggregate("mods", F.lit(0).cast("long"), lambda a, m: a + m["length_change"]).alias("length_change"), F.col("error").isNotNull().alias("clash"))
 
 
-PROTEINS = f"""select ref_id, {translate_sql("substr(seq, 1, 900)")} as seq from ref_seq"""
+PROTEINS = f"""select ref_id, {translate_sql("seq")} as seq from ref_seq"""
 RAW_P = """select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 as row_id, ref_id, seq, l_orderkey % (length(seq) - 6) as "left",
   l_orderkey % (length(seq) - 6) + l_linenumber % 3 as "right", substr(seq, l_orderkey % (length(seq) - 6) + 1, l_linenumber % 3) as ref,
   substr(seq, l_suppkey % (length(seq) - 6) + 1, l_suppkey % 3) as alt from lineitem
@@ -89,7 +89,7 @@ RAW_P = """select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000
 
 
 def proteins(spark, d):
-    return D.ref_seq(spark, d).select("ref_id", S.translate_codons(F.substring("seq", 1, 900), tail=False).alias("seq"))
+    return D.ref_seq(spark, d).select("ref_id", S.translate_codons(F.col("seq"), tail=False).alias("seq"))
 
 
 @query(D.with_ctes(["norm"], "select row_id, n_left, n_right, category::bigint as category, inserted from norm")
@@ -116,13 +116,13 @@ def c7_expand_hgvs_sequences(spark, d):
     return normalize.expand_hgvs_sequences(parts, D.chunks(spark, d), "order_id")
 
 
-@query(D.with_ctes(["raw"], f"""select row_id, ({D.lcp_sql('substr(seq, "left" + 1, 60)', D.tile_sql('substr(seq, "left" + 1, 2)', 'length(substr(seq, "left" + 1, 60))'))}) // 2 as copies,
+@query(D.with_ctes(["raw"], f"""select row_id, ({D.lcp_sql('substr(seq, "left" + 1)', D.tile_sql('substr(seq, "left" + 1, 2)', 'length(substr(seq, "left" + 1))'))}) // 2 as copies,
   case when row_id % 5 < copies then 'deletion' when row_id % 5 = copies then 'identity' else 'insertion' end as kind from raw"""))
 def c8_expand_repeats(spark, d):
-    v = D.raw_variants(spark, d).select("row_id", "ref_id", "left", (F.col("left") + 60).alias("right"))
-    ctx = intervals.lookup_sequence(v, D.chunks(spark, d), "row_id").withColumnRenamed("seq", "ctx")
-    rows = v.drop("right").join(ctx, "row_id").withColumn("unit", F.substring("ctx", 1, 2)).withColumn("n", F.col("row_id") % 5)
-    return normalize.expand_repeats(rows).select("row_id", "copies", "kind")
+    v, chunks = D.raw_variants(spark, d).select("row_id", "ref_id", "left", (F.col("left") + 2).alias("right")), D.chunks(spark, d)
+    unit = intervals.lookup_sequence(v, chunks, "row_id").withColumnRenamed("seq", "unit")
+    rows = v.drop("right").join(unit, "row_id").withColumn("n", F.col("row_id") % 5)
+    return normalize.expand_repeats(rows, chunks).select("row_id", "copies", "kind")
 
 
 @query(D.with_ctes(["norm"], """select ref_id, count(*) as n_rows, count(distinct (n_left, n_right, category, length_change, inserted)) as n_keys from norm group by ref_id"""))
@@ -156,27 +156,42 @@ def p2_apply_mods(spark, d):
 
 
 def _changes(spark, d):
-    seqs = D.ref_seq(spark, d).where(F.length("seq") >= 100)
-    cds = F.concat(F.lit("ATG"), F.substring("seq", 1, 60), F.lit("TAA"))
-    k = F.col("ref_id") % 4
-    return seqs.select(F.col("ref_id").alias("row_id"), cds.alias("cds"), F.substring("seq", 61, 40).alias("tail"), F.array(F.struct(
-        (F.col("ref_id") % 50 + 6).alias("left"), (F.col("ref_id") % 50 + 6 + k).alias("right"),
-        F.substring(F.lit("GATTACA"), F.lit(1), (F.col("ref_id") % 3).cast("int")).alias("alt"))).alias("mods"))
-
-
-@query()
+    """Whole texts as coding sequences: without T no stop lies inside; the last 40 letters follow the stop. Changes lie all over them."""
+    body = (F.floor((F.length("seq") - 40) / 3) * 3).cast("int")
+    seqs = D.ref_seq(spark, d).where(F.length("seq") >= 100).withColumn("n", body)
+    cds = F.concat(F.lit("ATG"), F.translate(F.substring("seq", F.lit(1), F.col("n")), "T", "C"), F.lit("TAA"))
+    k, left = F.col("ref_id") % 4, F.col("ref_id") * 37 % (F.col("n") - 6) + 6
+    return seqs.select(F.col("ref_id").alias("row_id"), cds.alias("cds"), F.substring("seq", F.col("n") + 1, F.length("seq")).alias("tail"), F.array(F.struct(
+        left.alias("left"), (left + k).alias("right"), F.substring(F.lit("GATTACA"), F.lit(1), (F.col("ref_id") % 3).cast("int")).alias("alt"))).alias("mods"))
+
+
+CHANGES = f""", a as (select *, (length(seq) - 40) // 3 * 3 as n from ref_seq where length(seq) >= 100),
+ b as (select ref_id, 'ATG' || translate(substr(seq, 1, n), 'T', 'C') || 'TAA' as cds, substr(seq, n + 1) as tail, ref_id * 37 % (n - 6) + 6 as l, ref_id % 4 as k, substr('GATTACA', 1, ref_id % 3) as alt from a),
+ c as (select *, substr(cds || tail, 1, l) || alt || substr(cds || tail, l + k + 1) as made from b),
+ e as (select *, {translate_sql('cds')} as old, {translate_sql('made')} as t from c),
+ f as (select *, case when strpos(t, '*') > 0 then substr(t, 1, strpos(t, '*')) else t end as fresh from e),
+ g as (select *, {D.lcp_sql('old', 'fresh')} as lead from f)"""
+KIND = """case when old = fresh then 'synonymous' when substr(old, lead + 1, 1) = '*' and substr(fresh, lead + 1, 1) <> '*' then 'extension'
+  when substr(fresh, lead + 1, 1) = '*' then 'stop' when (length(alt) - k) % 3 <> 0 then 'frameshift' else 'substitution' end"""
+#: The text of a protein change from its label and the differing middle of both proteins.
+TEXT_P = f"""select *, lead as pl, length(old) - same as pr, substr(old, lead + 1, length(old) - same - lead) as x, substr(fresh, lead + 1, length(fresh) - same - lead) as y,
+   {KIND} as label, strpos(substr(fresh, lead + 1), '*') as stop, {three_sql('substr(old, lead + 1, 1)')} as a1, {three_sql('substr(fresh, lead + 1, 1)')} as b1
+  from (select *, {D.lcp_sql('reverse(substr(old, lead + 1))', 'reverse(substr(fresh, lead + 1))')} as same from g)"""
+
+
+@query(D.with_ctes(["ref_seq"], CHANGES + f""", h as ({TEXT_P}),
+ i as (select *, a1 || (pl + 1) || case when length(x) > 1 then '_' || {three_sql('substr(x, length(x), 1)')} || pr else '' end as place from h)
+ select ref_id as row_id, pl::bigint as p_left, pr::bigint as p_right, x as p_ref, y as p_alt, 'p.' || case label when 'synonymous' then '='
+  when 'extension' then 'Ter' || (lead + 1) || b1 || 'extTer' || case when stop > 0 then (stop - 1)::varchar else '?' end
+  when 'stop' then a1 || (lead + 1) || 'Ter' when 'frameshift' then a1 || (lead + 1) || b1 || 'fsTer' || case when stop > 0 then stop::varchar else '?' end
+  else case when length(x) = 1 and length(y) = 1 then place || {three_sql('y')}
+   when length(x) = 0 then {three_sql('substr(old, pl, 1)')} || pl || '_' || {three_sql('substr(old, pl + 1, 1)')} || (pl + 1) || 'ins' || {three_sql('y')}
+   when length(y) = 0 then place || 'del' else place || 'delins' || {three_sql('y')} end end as hgvs from i"""))
 def p3_transcript_to_protein_change(spark, d):
     return protein.transcript_to_protein_change(_changes(spark, d)).select("row_id", "hgvs", "p_left", "p_right", "p_ref", "p_alt")
 
 
-@query(D.with_ctes(["ref_seq"], f""", a as (select ref_id, 'ATG' || substr(seq, 1, 60) || 'TAA' as cds, substr(seq, 61, 40) as tail, ref_id % 50 + 6 as l, ref_id % 4 as k,
-   substr('GATTACA', 1, ref_id % 3) as alt from ref_seq where length(seq) >= 100),
- b as (select *, substr(cds || tail, 1, l) || alt || substr(cds || tail, l + k + 1) as made from a),
- c as (select *, {translate_sql('cds')} as old, {translate_sql('made')} as t from b),
- e as (select *, case when strpos(t, '*') > 0 then substr(t, 1, strpos(t, '*')) else t end as fresh from c),
- f as (select *, {D.lcp_sql('old', 'fresh')} as lead from e)
- select ref_id as row_id, case when old = fresh then 'synonymous' when substr(old, lead + 1, 1) = '*' and substr(fresh, lead + 1, 1) <> '*' then 'extension'
-  when substr(fresh, lead + 1, 1) = '*' then 'stop' when (length(alt) - k) % 3 <> 0 then 'frameshift' else 'substitution' end as label from f"""))
+@query(D.with_ctes(["ref_seq"], CHANGES + f" select ref_id as row_id, {KIND} as label from g"))
 def p4_effect_labels(spark, d):
     return protein.transcript_to_protein_change(_changes(spark, d)).select("row_id", "label")
 
@@ -199,9 +214,9 @@ def p6_minimal_protein_edit(spark, d):
     return protein.minimal_protein_edit(rows.select(F.col("row_id").alias("pair_id"), F.col("old").alias("a"), F.col("new").alias("b")))
 
 
-@query(D.with_ctes(["ref_seq"], f"select ref_id, {three_sql(translate_sql('substr(seq, 1, 30)'))} as three from ref_seq"))
+@query(D.with_ctes(["ref_seq"], f", a as (select ref_id, {translate_sql('seq')} as p from ref_seq) select ref_id, {three_sql('p')} as three from a"))
 def p7_amino_acid_codes(spark, d):
-    return D.ref_seq(spark, d).select("ref_id", S.three_letters(S.translate_codons(F.substring("seq", 1, 30), tail=False)).alias("three"))
+    return D.ref_seq(spark, d).select("ref_id", S.three_letters(S.translate_codons(F.col("seq"), tail=False)).alias("three"))
 
 
 # References

@@ -22,6 +22,9 @@ RIGHT = f""", p as (select *, case category when 0 then n_left when 3 then n_rig
   when length(pr) = 0 then pl || '_' || (n_right + 1) || 'ins' || pa
   else case when n_right - pl = 1 then n_right::varchar else (pl + 1) || '_' || n_right end || 'del' || case when pa = '' then '' else 'ins' || pa end end as change from p)"""
 
+#: Nothing inserted, or before the first or after the last letter: no expression names such a place.
+UNPLACED = "(change like '%ins%' and pr = '' and (pa = '' or pl = 0 or pl >= length(seq)))"
+
 
 def _hgvs(spark, d):
     return hgvs.format_hgvs_genomic(normal(spark, d).where("error is null"))
@@ -34,30 +37,38 @@ def h3_format_hgvs_genomic(spark, d):
 
 @query(D.with_ctes(["norm"], RIGHT + """ select row_id, ref_id::varchar as ref_name, 'g' as kind,
   case when change like '%dup' then 'dup' when change like '%delins%' then 'delins' when change like '%del%' then 'del' when change like '%ins%' then 'ins'
-  when change like '%=' then 'identity' when change like '%>%' then 'snv' end as op, null::varchar as error from h where change not like '%ins'"""))
+  when change like '%=' then 'identity' when change like '%>%' then 'snv' end as op, null::varchar as error from h where change not like '%ins'
+ union all select row_id, ref_id::varchar, 'g', null, 'HgvsParsingError at ' || (length(ref_id::varchar) + 3) from h where change like '%ins'"""))
 def h1_parse_hgvs(spark, d):
-    got = hgvs.parse_hgvs(_hgvs(spark, d).where("hgvs not like '%ins'"))
+    """Changes of nothing are written as an insertion without letters and read as an error."""
+    got = hgvs.parse_hgvs(_hgvs(spark, d))
     return got.select("row_id", "ref_name", "kind", "op", "error")
 
 
-@query(D.with_ctes(["norm"], RIGHT + """ select row_id, case when change like '%dup' then n_right else pl end as "left", n_right as "right" from h where change <> '' and pr <> 'x' and n_left < n_right"""))
+@query(D.with_ctes(["norm"], RIGHT + f""" select row_id, case when {UNPLACED} then null when change like '%dup' then n_right else pl end as "left", case when not ({UNPLACED}) then n_right end as "right" from h"""))
 def h2_resolve_hgvs(spark, d):
-    rows = normal(spark, d).where("error is null and n_left < n_right")
-    texts = hgvs.format_hgvs_genomic(rows)
+    texts = _hgvs(spark, d)
     refs = D.ref_seq(spark, d).select(F.col("ref_id").cast("string").alias("ref_name"), "ref_id", F.length("seq").cast("long").alias("length"),
                                       F.lit(0).cast("long").alias("cds_left"), F.length("seq").cast("long").alias("cds_right"))
     return hgvs.resolve_hgvs(hgvs.parse_hgvs(texts), refs).select("row_id", "left", "right")
 
 
-@query(D.with_ctes(["ref_seq"], f""", a as (select ref_id, {translate_sql('substr(seq, 1, 90)')} as p from ref_seq where length(seq) >= 100)
- select ref_id, 'p.' || {three_sql("substr(p, (ref_id % 20 + 1)::int, 1)")} || (ref_id % 20 + 1) || '_' || {three_sql("substr(p, (ref_id % 20 + 3)::int, 1)")} || (ref_id % 20 + 3) || 'del' as hgvs from a"""))
+def _residue(at: str) -> str:
+    return three_sql(f"substr(p, ({at})::int, 1)") + f" || ({at})"
+
+
+@query(D.with_ctes(["ref_seq"], f""", a as (select ref_id, {translate_sql('seq')} as p from ref_seq where length(seq) >= 100), b as (select *, ref_id * 37 % (length(p) - 4) as a from a)
+ select ref_id, 'p.' || case ref_id % 4 when 0 then {_residue('a + 1')} || '_' || {_residue('a + 3')} || 'del' when 1 then {_residue('a + 1')} || case when substr(p, (a + 1)::int, 1) = 'W' then '=' else 'Trp' end
+  when 2 then case when a = 0 then 'Met1' else {_residue('a')} || '_' || {_residue('a + 1')} end || 'insGlyAla' else {_residue('a + 1')} || '_' || {_residue('a + 3')} || 'delinsTer' end as hgvs from b"""))
 def h4_format_hgvs_protein(spark, d):
     from varloom.functions import sequences as S
 
-    a = (F.col("ref_id") % 20).cast("long")
-    rows = D.ref_seq(spark, d).where(F.length("seq") >= 100).withColumn("p", S.translate_codons(F.substring("seq", 1, 90), tail=False)).select(
-        "ref_id", a.alias("p_left"), (a + 3).alias("p_right"), F.substring("p", (a + 1).cast("int"), F.lit(3)).alias("p_ref"), F.lit("").alias("p_alt"),
-        F.lit("").alias("before"), F.lit("").alias("after"), F.lit(31).alias("length"))
+    kind, at = F.col("ref_id") % 4, (F.col("ref_id") * 37 % (F.length("p") - 4)).cast("int")
+    n = F.when(kind == 1, 1).when(kind == 2, 0).otherwise(3)
+    rows = D.ref_seq(spark, d).where(F.length("seq") >= 100).withColumn("p", S.translate_codons(F.col("seq"), tail=False)).select(
+        "ref_id", at.cast("long").alias("p_left"), (at + n).cast("long").alias("p_right"), F.substring("p", at + 1, n).alias("p_ref"),
+        F.when(kind == 0, "").when(kind == 1, "W").when(kind == 2, "GA").otherwise("*").alias("p_alt"),
+        F.substring("p", at, F.lit(1)).alias("before"), F.substring("p", at + 1, F.lit(1)).alias("after"), (F.length("p") + 1).alias("length"))
     return hgvs.format_hgvs_protein(rows).select("ref_id", "hgvs")
 
 
@@ -85,10 +96,13 @@ def h5_parse_myvariant_ids(spark, d):
     return hgvs.parse_myvariant_ids(_myvariant(spark, d)).select("row_id", F.col("chrom").cast("long").alias("chrom"), "left", "right", "alt", "style", "error")
 
 
-@query(TEXTS + " select row_id, id from t where row_id % 5 in (0, 1, 2)")
+@query(TEXTS + " select row_id, case when row_id % 5 < 4 then id end as id from t")
 def h6_format_myvariant_ids(spark, d):
-    got = hgvs.parse_myvariant_ids(_myvariant(spark, d)).where("error is null and row_id % 5 in (0, 1, 2)")
-    plain = got.select("row_id", "chrom", F.col("left").alias("p_left"), F.col("right").alias("p_right"), F.coalesce("given", F.lit("")).alias("p_ref"), F.col("alt").alias("p_alt"), "style")
+    """What could not be read has no id."""
+    got = hgvs.parse_myvariant_ids(_myvariant(spark, d))
+    dup = F.col("style").startswith("duplication")
+    plain = got.select("row_id", "chrom", F.col("left").alias("p_left"), F.col("right").alias("p_right"), F.when(dup, F.lit("")).otherwise(F.coalesce("given", F.lit(""))).alias("p_ref"),
+                       F.when(dup, F.coalesce("given", F.lit(""))).otherwise(F.col("alt")).alias("p_alt"), "style")
     return hgvs.format_myvariant_ids(plain).select("row_id", "id")
 
 
@@ -147,10 +161,10 @@ def h12_build_vr_json(spark, d):
     return output.vr_allele(rows)
 
 
-@query(D.with_ctes(["norm"], RIGHT + " select row_id, n_left, n_right from h where n_left < n_right"))
+@query(D.with_ctes(["norm"], RIGHT + f" select row_id, case when not ({UNPLACED}) then n_left end as n_left, case when not ({UNPLACED}) then n_right end as n_right from h"))
 def q1_alleles_by_hgvs(spark, d):
     """Expressions read back to the normal form they were written from."""
-    texts = hgvs.format_hgvs_genomic(normal(spark, d).where("error is null and n_left < n_right"))
+    texts = _hgvs(spark, d)
     seqs = D.ref_seq(spark, d)
     refs = seqs.select(F.col("ref_id").cast("string").alias("ref_name"), "ref_id", F.length("seq").cast("long").alias("length"), F.lit(0).cast("long").alias("cds_left"), F.length("seq").cast("long").alias("cds_right"))
     from varloom.operators.intervals import lookup_sequence, ref_chunks
