@@ -73,3 +73,91 @@ def test_allele_digests(spark):
         place = json.dumps({"interval": {"end": b, "start": a, "type": "SimpleInterval"}, "sequence_id": "ref.7", "type": "SequenceLocation"}, separators=(",", ":"))
         want = json.dumps({"location": short(place), "state": {"sequence": text, "type": "SequenceState"}, "type": "Allele"}, separators=(",", ":"))
         assert r.json == want and r.digest == "ga4gh:VA." + short(want)
+
+
+def _protein(text):
+    codes = S.codon_table()
+    out = "".join(codes[text[i:i + 3]] for i in range(0, len(text) - 2, 3))
+    return out[:out.index("*") + 1] if "*" in out else out
+
+
+def _spliced(text, mods):
+    for left, right, alt in sorted(mods, reverse=True):
+        text = text[:left] + alt + text[right:]
+    return text
+
+
+def test_combinations_match_brute_force(spark):
+    """Single variants and pairs that give a protein; a pair that holds a match of one is left out."""
+    from varloom.operators import protein
+
+    rng = random.Random(5)
+    changes, variants, want = [], [], set()
+    for t in range(40):
+        cds = "ATG" + "".join(rng.choice("ACG") for _ in range(30)) + "TAA"
+        own = []
+        for v in range(6):
+            a = rng.randint(3, 32)
+            own.append((t * 10 + v, a, a + rng.randint(0, 1), rng.choice(["", "A", "C", "G"])))
+        first, second = sorted(rng.sample(own, 2), key=lambda x: x[1])
+        target = _protein(_spliced(cds, [first[1:]] + ([second[1:]] if second[1] > first[2] else [])) + "ACGT")
+        changes.append((t, t, 10, 11, cds, "ACGT", target))
+        variants += [(t, *v) for v in own]
+        ones = {(v[0],) for v in own if _protein(_spliced(cds, [v[1:]]) + "ACGT") == target}
+        pairs = {(a[0], b[0]) for a in own for b in own if b[1] > a[2] and _protein(_spliced(cds, [a[1:], b[1:]]) + "ACGT") == target}
+        want |= {(t, c) for c in ones | {p for p in pairs if not any((x,) in ones for x in p)}}
+    got = protein.match_transcript_variants(
+        spark.createDataFrame(changes, "change_id long, transcript long, left long, right long, cds string, tail string, protein string"),
+        spark.createDataFrame(variants, "transcript long, var_id long, left long, right long, alt string")).collect()
+    assert {(r.change_id, tuple(r.combination)) for r in got} == want and len(got) == len(want)
+    assert any(len(c) == 2 for _, c in want) and any(len(c) == 1 for _, c in want)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_descriptions_are_minimal(spark):
+    """A description's edits are as many as the distance of both texts, and it leads from one to the other."""
+    import re
+
+    from varloom.operators import protein
+
+    rng = random.Random(6)
+    pairs = []
+    for i in range(200):
+        a = "".join(rng.choice("ACD") for _ in range(rng.randint(1, 25)))
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "A", "C", "DA"])
+        pairs.append((i, a, "".join(b)))
+    got = {r.pair_id: r.cigar for r in protein.minimal_protein_edit(spark.createDataFrame(pairs, "pair_id long, a string, b string")).collect()}
+    for i, a, b in pairs:
+        if not b:
+            assert got[i] == f"{len(a)}D"
+            continue
+        if _distance(a, b) > protein.MAX_COST:
+            assert not got[i]
+            continue
+        at, to, edits = 0, 0, 0
+        for n, op in re.findall("([0-9]+)([=XDI])", got[i]):
+            n = int(n)
+            x, y = a[at:at + n * (op != "I")], b[to:to + n * (op != "D")]
+            assert op in "DI" or (len(x) == len(y) == n and all((p == q) == (op == "=") for p, q in zip(x, y)))
+            at, to, edits = at + n * (op != "I"), to + n * (op != "D"), edits + n * (op != "=")
+        assert (at, to, edits) == (len(a), len(b), _distance(a, b))
+
+
+def test_repeats_go_on_to_the_end_of_the_run(spark):
+    from varloom.operators import normalize
+
+    chunks = intervals.ref_chunks(spark.createDataFrame([(1, "GG" + "AC" * 700 + "AGTTT")], "ref_id long, seq string"))
+    rows = spark.createDataFrame([(1, 1, 2, "AC", 3), (2, 1, 2, "AC", 700), (3, 1, 1404, "T", 9), (4, 1, 0, "C", 2)], "row_id long, ref_id long, left long, unit string, n long")
+    got = {r.row_id: (r.copies, r.right, r.kind) for r in normalize.expand_repeats(rows, chunks).collect()}
+    assert got == {1: (700, 1402, "deletion"), 2: (700, 1402, "identity"), 3: (3, 1407, "insertion"), 4: (0, 0, "insertion")}

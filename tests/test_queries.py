@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 from conftest import SF
 
-SOME = ["c1_trim_alleles", "c3_classify", "c4_left_aligned", "p4_effect_labels", "r5_clip_alignment", "r14_select_best_alignment", "j2_map_from_main_genome", "j5_to_spliced",
+SOME = ["c1_trim_alleles", "c8_expand_repeats", "h2_resolve_hgvs", "h4_format_hgvs_protein", "p3_transcript_to_protein_change", "c3_classify", "c4_left_aligned", "p4_effect_labels", "r5_clip_alignment", "r14_select_best_alignment", "j2_map_from_main_genome", "j5_to_spliced",
         "w7_rebuild_identifier_index", "q6_alleles_by_gene_and_mutation", "q8_alleles_by_name", "x5_links_by_ids", "x6_render_link_templates", "h9_parse_short_ids", "s8_read_transcript_meta"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import sequences as S
 from varloom.operators import intervals, liftover, normalize, protein, references
+from varloom.session import saved
 
 from . import derived as D
 from .contract import query
@@ -198,7 +199,7 @@ def p4_effect_labels(spark, d):
 
 @query()
 def p5_match_transcript_variants(spark, d):
-    rows = protein.transcript_to_protein_change(_changes(spark, d))
+    rows = saved(protein.transcript_to_protein_change(_changes(spark, d)).select("row_id", "cds", "tail", "mods", "new"), "proteins")
     m = F.get("mods", F.lit(0))
     changes = rows.select(F.col("row_id").alias("change_id"), F.col("row_id").alias("transcript"), m["left"].alias("left"), m["right"].alias("right"), "cds", "tail",
                           F.col("new").alias("protein"))
