@@ -79,6 +79,40 @@ OP10 = f"""with p as (select page_id, coalesce(html, '') as h0 from pages), q as
  case when first is not distinct from page_id then null else first end as refers_to from r"""
 
 
+_CRC = """xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+   lambda a, b: list_reduce([xor(a, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+OP11 = rf"""with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, {_CRC} as h from documents),
+ e as (select rid, doc_id, w, len(w) as n, coalesce(h % 10 = 0 and len(w) > 0, false) as cut, case when len(w) > 0 then (h // 10) % len(w) end as a, h // 10 as g from d),
+ f as materialized (select rid, doc_id, n, case when cut then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w from e),
+ t as materialized (select rid, n, unnest(range(n)) as i, unnest(w) as w from f),
+ p as (select x.rid, x.i, y.i - x.i as q from t x join t y on x.rid = y.rid and x.w = y.w and y.i > x.i where 4 * (y.i - x.i) <= x.n),
+ s as (select rid, q, i - row_number() over (partition by rid, q order by i) as part, i from p),
+ c as materialized (select rid, q, min(i) as s, count(*) + q as n from s group by rid, q, part having count(*) + q >= greatest(6, 4 * q)),
+ r as materialized (select * from c where not exists (select 1 from c b where b.rid = c.rid and b.q < c.q and b.s <= c.s and b.s + b.n >= c.s + c.n)),
+ best as (select * from r qualify row_number() over (partition by rid order by (n::hugeint * 1000000000000) // q desc, s, q) = 1),
+ line as (select rid, count(*) as n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as runs from r group by rid),
+ gone as (select distinct rid, unnest(range(s + q, s + n)) as i from r),
+ kept as (select t.rid, string_agg(w, ' ' order by t.i) as w from t anti join gone using (rid, i) group by t.rid)
+ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.n::bigint as length, best.q::bigint as period, (1000 * best.n // best.q)::bigint as exponent_milli,
+  sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept.w, '')) as collapsed_sha256
+ from f left join line using (rid) left join best using (rid) left join kept using (rid)"""
+
+OP13 = r"""with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+ w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+ t as (select lang, sum(len(w))::bigint as n from w group by lang),
+ g as (select lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda m: list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: {'m': m, 'x': array_to_string(w[i:i + m - 1], ' ')})))) as g from w),
+ f as materialized (select lang, g.x as phrase, g.m as m, count(*) as f from g group by all having count(*) >= 30),
+ c as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m > 1),
+ k as (select lang, phrase, m, a, w, unnest(range(1, m)) as k from c),
+ s as (select k.lang, k.phrase, k.a, k.k, l.f as l, r.f as r, (2000000::hugeint * k.a) // (l.f + r.f) as score from k
+  join f l on l.lang = k.lang and l.phrase = array_to_string(w[1:k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(w[k + 1:], ' ')),
+ b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ i as (select lang, phrase, max(a) as longer from (select lang, a, unnest(flatten(list_transform(range(2, m), lambda j: list_transform(range(1, m - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))))) as phrase from c where m > 2) group by all),
+ o as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, encode(b.phrase)) as rank from b left join i on b.lang = i.lang and b.phrase = i.phrase where longer is null or 100 * longer < 80 * a)
+ select o.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from o join t on t.lang = o.lang where rank <= 2000"""
+
+
 def sql() -> dict[str, str]:
     return {"op3_bit_sliced_topk": OP3, "op5_pca_tiles": OP5, "op6_jaccard_tsearch": OP6, "op8_license_rules": op8(),
-            "op9_linked_secrets": op9(), "op10_warc_zstd": OP10}
+            "op9_linked_secrets": op9(), "op10_warc_zstd": OP10, "op11_lyndon_runs": OP11,
+            "op13_hat_trie_collocations": OP13}

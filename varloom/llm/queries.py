@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, licenses, oracle, packing, quality, secretscan, topk, vecdedup, warc
+from . import bpe, collocations, jaccard, langid, licenses, mixing, oracle, packing, quality, runs, secretscan, topk, vecdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents"))
+
+
+def op13_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_bm25_packing, op3_bit_sliced_topk, op4_byte_bpe, op5_pca_tiles, op6_jaccard_tsearch,
-        op7_quality_cnn, op8_license_rules, op9_linked_secrets, op10_warc_zstd, pipeline)}
+        op7_quality_cnn, op8_license_rules, op9_linked_secrets, op10_warc_zstd, op11_lyndon_runs,
+        op12_pivotal_mixing, op13_hat_trie_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
