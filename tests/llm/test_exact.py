@@ -83,7 +83,6 @@ def check_pack(spark, docs):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.pack(docs, path).collect()
     want = Counter()
     for r in docs.select("text").collect():
@@ -119,6 +118,16 @@ def test_packing_covers_every_id(spark):
     assert sum(made.values()) == sum(r.length for r in got if r.doc_id < 20)
 
 
+def test_packing_knows_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), packing.encoder(path)
+    for text in ("a <|endoftext|> b", "x<|startoftext|>Y<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext|><|endoftext|>", "é<|endoftext|>é's", "<|endof text|>"):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert 49407 in np.frombuffer(e.encode("a<|endoftext|>"), "<u4")
+
+
 def test_packing_in_many_shards(spark, monkeypatch):
     """Several shards, one of them salted: every id once, copies in one shard or a salt of it, little padding."""
     monkeypatch.setattr(packing, "SHARD_IDS", 8 * 4096)
@@ -456,6 +465,20 @@ def test_warc_record_ids_are_unique(spark, tmp_path):
     assert by["2"]["X-Refers-To-Page-Id"] == "1" and "WARC-Refers-To" not in by["2"]
 
 
+def test_topk_gives_each_query_row_its_own(spark):
+    rows = [(0, [1.0, 0.0])] * 2 + [(50, [0.0, 1.0]), (50, [1.0, 0.0])] + [(i, [float(i), 1.0 / i]) for i in range(1, 9)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    assert len(got) == 20
+    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = Counter()
+    for i, v in q:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != i)[:5]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+    assert Counter(map(tuple, got)) == want
+    assert sorted(r.vec_id for r in got if r.query_id == 0) == [4, 4, 5, 5, 6, 6, 7, 7, 8, 8]
+
+
 def test_topk_of_large_components_and_repeated_rows(spark):
     rows = [(0, [1e5, 1.0]), (1, [1e5, 1.0]), (2, [2e5, 1.0]), (3, [3e5, 0.0]), (3, [3e5, 0.0]), (4, [-1e5, 5.0, 7.0]), (50, [-1e6, 3.0]), (60, [1e-3, 1e12])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

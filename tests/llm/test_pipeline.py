@@ -53,5 +53,5 @@ def test_linked_secrets_do_not_reach_packing(spark, tmp_path):
 
 def test_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"} and set(queries.oracle_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"} and set(queries.oracle_sql()) <= names
     assert 4 <= len(pipeline.STAGES) <= 5

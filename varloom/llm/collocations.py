@@ -2,14 +2,14 @@
 
 Texts are cut into pieces and words once and kept as word numbers, a slice of texts of one language a row.
 Phrases are counted from them: a task keeps, for each language, a shallow trie over word numbers whose leaves
-are hash containers of (rest of the phrase -> count); a container that grows past BURST is burst into children
-by its next word. When a task holds more than HELD entries, its largest subtrees are written out as runs sorted
+are hash containers of (rest of the phrase -> count); a container that grows past its limit is burst into children
+by its next word. When a task holds more entries than it may, its largest subtrees are written out as runs sorted
 by phrase until half are gone. The runs, kept in the shared folder, are dealt by ranges of (language, phrase), so
 that a partition holds whole prefixes and a prefix that many phrases share is split over partitions, and merged there.
 
 Only phrases that can be frequent enter the tries: a phrase is at most as frequent as each word and each pair
-of neighbours in it. Words are counted exactly first, pairs in 2**SIEVE hashed counters (a shared counter lets
-more pairs through, never fewer); tasks get both as bitmaps of 2**SIEVE bits, 2 MB each whatever the corpus.
+of neighbours in it. Words are counted exactly first, pairs in 2**sieve hashed counters (a shared counter lets
+more pairs through, never fewer); tasks get both as bitmaps of 2**sieve bits, 2 MB each whatever the corpus.
 
 Defined results: null text is empty; null lang is `und`; words hold any characters but space and tab, pieces
 end at . , ; : ! ? and line ends; repeated rows all count; a language without frequent phrases gives no rows.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices, has_columns, saved
 
-SLICE, PART, BURST, HELD, SIEVE = 1 << 22, 1 << 18, 1 << 14, 1 << 20, 24
+
+
+class Limits(NamedTuple):
+    """Sizes that bound memory and change no result."""
+
+    slice: int = 1 << 22  # bytes of texts in a row of word numbers
+    part: int = 1 << 18  # words that enter a trie between two looks at its size
+    burst: int = 1 << 14  # entries of a hash container
+    held: int = 1 << 20  # entries of a task's tries
+    sieve: int = 24  # binary digits of a hashed counter's place
+
+
 #: What ends a piece besides the full stop, all turned into full stops.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 SALTS = 64
@@ -42,7 +54,7 @@ class _Ids(dict):
         return number
 
 
-def word_numbers(docs: DataFrame) -> DataFrame:
+def word_numbers(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(lang, words, counts, ids): for each slice of texts of a language its words, how often each occurs, and the texts as
     word numbers from 1; 0 ends a piece."""
     docs = has_columns(docs, "lang", "text").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
@@ -51,7 +63,7 @@ def word_numbers(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
-                for texts in byte_slices(batch.column(1).filter(pc.equal(batch.column(0), lang)), SLICE):
+                for texts in byte_slices(batch.column(1).filter(pc.equal(batch.column(0), lang)), limits.slice):
                     known = _Ids({b".": 0})
                     rows = []
                     for t in texts:
@@ -77,11 +89,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).astype(np.uint64)
 
 
-def _bitmap(places: DataFrame) -> np.ndarray:
-    """Bits set at the column `place`, below 2**SIEVE: collected as 2**(SIEVE - 6) masks at most."""
+def _bitmap(places: DataFrame, sieve: int) -> np.ndarray:
+    """Bits set at the column `place`, below 2**sieve: collected as 2**(sieve - 6) masks at most."""
     masks = places.groupBy(F.shiftright("place", 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
-    bits = np.zeros(1 << (SIEVE - 6), np.int64)
+    bits = np.zeros(1 << (sieve - 6), np.int64)
     bits[masks["at"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64)
     return bits.view(np.uint64)
 
@@ -96,14 +108,14 @@ def _hashes(lang: str, words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _pairs(lang: str, words: list[str], ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(lang: str, words: list[str], ids: np.ndarray, bits: np.ndarray, sieve: int) -> tuple[np.ndarray, np.ndarray]:
     """Per place: is it and the next word a pair of words that may be frequent, and the pair's counter."""
     h = np.concatenate((np.zeros(1, np.uint64), _hashes(lang, words)))
-    may = _holds(bits, h & np.uint64((1 << SIEVE) - 1))
+    may = _holds(bits, h & np.uint64((1 << sieve) - 1))
     may[0] = False
     on = may[ids]
     on = on[:-1] & on[1:]
-    place = _mixed(h[ids[:-1]] * np.uint64(0xD6E8FEB86659FD93) + h[ids[1:]]) >> np.uint64(64 - SIEVE)
+    place = _mixed(h[ids[:-1]] * np.uint64(0xD6E8FEB86659FD93) + h[ids[1:]]) >> np.uint64(64 - sieve)
     return on, place
 
 
@@ -112,7 +124,7 @@ class HatTrie:
 
     BITS = 20
 
-    def __init__(self, depth: int, burst: int = BURST):
+    def __init__(self, depth: int, burst: int = Limits().burst):
         self.depth, self.burst, self.root, self.size, self.held = depth, burst, {}, {}, 0
 
     def add(self, first: int, rest: int) -> None:
@@ -186,7 +198,7 @@ def _paths(ids: np.ndarray, on: np.ndarray, longest: int) -> tuple[list[int], li
 
 
 def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: np.ndarray, longest: int,
-           held: int = HELD, burst: int = BURST) -> Iterator[pa.RecordBatch]:
+           limits: Limits) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n): sorted runs of phrases of two words or more with the counts of a task."""
     tries: dict[str, tuple[HatTrie, _Ids, list[str]]] = {}
 
@@ -201,19 +213,19 @@ def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: n
     for batch in chunks:
         for r in range(batch.num_rows):
             lang, words, ids = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(3)[r].values.to_numpy()
-            on, place = _pairs(lang, words, ids, word_bits)
+            on, place = _pairs(lang, words, ids, word_bits, limits.sieve)
             on[on] = _holds(pair_bits, place[on])
-            for at in range(0, len(on), PART):
-                used = np.flatnonzero(on[at:at + PART]) + at
+            for at in range(0, len(on), limits.part):
+                used = np.flatnonzero(on[at:at + limits.part]) + at
                 if not len(used):
                     continue
-                to = min(len(ids), at + PART + longest)
+                to = min(len(ids), at + limits.part + longest)
                 used = np.unique(ids[at:to])
                 used = used[used > 0].tolist()
                 if lang in tries and len(tries[lang][2]) + len(used) > 1 << HatTrie.BITS:  # out of numbers: a new trie
                     yield from spill(lang, sorted(tries[lang][0].root))
                     del tries[lang]
-                trie, known, names = tries.setdefault(lang, (HatTrie(longest, burst), _Ids({"": 0}), [""]))
+                trie, known, names = tries.setdefault(lang, (HatTrie(longest, limits.burst), _Ids({"": 0}), [""]))
                 number = np.zeros(len(words) + 1, np.int64)
                 for u in used:
                     number[u] = known[words[u - 1]]
@@ -221,50 +233,50 @@ def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: n
                         names.append(words[u - 1])
                 own = on[at:to].copy()
                 first, rest = _paths(number[ids[at:to]], own, longest)
-                n = int(own[:PART].sum())  # places of the next part only lengthen these
+                n = int(own[:limits.part].sum())  # places of the next part only lengthen these
                 for f, x in zip(first[:n], rest[:n]):
                     trie.add(f, x)
-                over = sum(t[0].held for t in tries.values()) - held
+                over = sum(t[0].held for t in tries.values()) - limits.held
                 for big in sorted(tries, key=lambda x: -tries[x][0].held) if over > 0 else ():
                     # The largest subtrees of the largest tries first, until half is free.
                     sizes, gone, firsts = tries[big][0].size, 0, []
                     for f in sorted(sizes, key=sizes.get, reverse=True):
-                        if gone >= over + held // 2:
+                        if gone >= over + limits.held // 2:
                             break
                         gone += sizes[f]
                         firsts.append(f)
                     yield from spill(big, firsts)
                     over -= gone
-                    if over <= -(held // 2):
+                    if over <= -(limits.held // 2):
                         break
     for lang in tries:
         yield from spill(lang, sorted(tries[lang][0].root))
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of phrases of up to `longest` words with `least` occurrences or more, (lang, n) of all words)."""
     if longest > 1 + 63 // HatTrie.BITS:
         raise ValueError(f"phrases of at most {1 + 63 // HatTrie.BITS} words")
     spark = docs.sparkSession
-    chunks = saved(word_numbers(docs), "collocation-words")
+    chunks = saved(word_numbers(docs, limits), "collocation-words")
     words = (chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
              .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f")))
     words = saved(words, "collocation-unigrams")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= least)
-    low = F.lit((1 << SIEVE) - 1)
-    word_bits = spark.sparkContext.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").bitwiseAND(low).alias("place"))))
+    low = F.lit((1 << limits.sieve) - 1)
+    word_bits = spark.sparkContext.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").bitwiseAND(low).alias("place")), limits.sieve))
 
     def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                on, place = _pairs(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(3)[r].values.to_numpy(), word_bits.value)
+                on, place = _pairs(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(3)[r].values.to_numpy(), word_bits.value, limits.sieve)
                 at, n = np.unique(place[on], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["place", "n"])
 
     pairs = chunks.mapInArrow(counters, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    pair_bits = spark.sparkContext.broadcast(_bitmap(pairs.where(F.col("n") >= least)))
-    runs = saved(chunks.mapInArrow(lambda b: _tries(b, word_bits.value, pair_bits.value, longest), "lang string, phrase string, n bigint"),
+    pair_bits = spark.sparkContext.broadcast(_bitmap(pairs.where(F.col("n") >= least), limits.sieve))
+    runs = saved(chunks.mapInArrow(lambda b: _tries(b, word_bits.value, pair_bits.value, longest, limits), "lang string, phrase string, n bigint"),
                  "collocation-runs")
     merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return words.unionByName(merged), totals
@@ -274,13 +286,14 @@ def _part(lo: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice("words", lo, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000,
+                 limits: Limits = Limits()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of 2 to `longest` words.
 
     A phrase's score is that of its weakest cut in two, floor(scale * a / (l + r)); phrases are left out that lie within a
     longer candidate with `cover` percent of their occurrences.
     """
-    counts, totals = phrase_counts(docs, least, longest)
+    counts, totals = phrase_counts(docs, least, longest, limits)
     counts = saved(counts, "collocation-counts")
     words = F.split("phrase", " ")
     phrases = counts.select("lang", "phrase", F.col("f").alias("a"), words.alias("words")).where(F.size("words") > 1)

@@ -29,10 +29,11 @@ TRAIN_ROWS = 4000
 #: A label set larger than this is taken for a mistake: prototypes are held by every task.
 MAX_LANGS = 4096
 UNDETERMINED = "und"
-#: Cosines of unrelated texts scatter by 1 / sqrt(DIM); below twice that a text is in none of the languages.
-FLOOR = 2 / math.sqrt(DIM)
-#: Texts of fewer characters have too few trigrams to tell, and stay if they have a letter.
-SHORT = 32
+#: Cosines of unrelated texts scatter by this, whatever their length.
+SCATTER = 1 / math.sqrt(DIM)
+#: What the best cosine of a text in a known language exceeds, in scatters: it rises with its trigrams, from
+#: -LOW for none (any scatter will do) to RISE - LOW for many; HALF trigrams bring it to RISE / sqrt(2) - LOW.
+RISE, LOW, HALF = 5.5, 2.25, 64
 
 
 @lru_cache(1)
@@ -53,11 +54,16 @@ def _letters() -> tuple[np.ndarray, ...]:
 
 def hypervector(text: str | None) -> np.ndarray | None:
     """The bundled trigram vectors of the whole text; None without a letter."""
+    return bundle(text)[0]
+
+
+def bundle(text: str | None) -> tuple[np.ndarray | None, int]:
+    """The hypervector of the whole text and the number of its trigrams."""
     if not text:
-        return None
+        return None, 0
     s = _symbols()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
     if not s.any():
-        return None
+        return None, 0
     s = np.concatenate(([0], s, [0])).astype(np.uint32)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
     grams, counts = np.unique(s[:-2] << 16 | s[1:-1] << 8 | s[2:], return_counts=True)
@@ -68,7 +74,12 @@ def hypervector(text: str | None) -> np.ndarray | None:
         v = a[g >> 16] * b[g >> 8 & 255] * c[g & 255]
         out += counts[i:i + 4096].astype(np.float32) @ v.astype(np.float32)
     n = np.sqrt(out @ out)
-    return out / n if n else None
+    return (out / n if n else None), len(s) - 2
+
+
+def least_cosine(grams: int) -> float:
+    """The least best cosine of a text of so many trigrams that counts as one in a known language."""
+    return SCATTER * (RISE * math.sqrt(grams / (grams + HALF)) - LOW)
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
@@ -104,23 +115,22 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
 
 
 def predict(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
-    """struct<lang_pred string, score double>: the best prototype and its cosine, 0 to 1."""
+    """struct<lang_pred string, score double, known boolean>: the best prototype, its cosine, 0 to 1, and whether
+    the cosine is enough for a text of so many trigrams."""
     langs, proto = model
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
+        rows = []
         for t in texts:
-            v = hypervector(t) if langs else None
+            v, grams = bundle(t) if langs else (None, 0)
             if v is None:
-                names.append(UNDETERMINED)
-                scores.append(0.0)
+                rows.append((UNDETERMINED, 0.0, False))
             else:
                 cos = proto @ v
                 k = int(cos.argmax())
-                names.append(langs[k])
-                scores.append(float(min(1.0, max(0.0, cos[k]))))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+                rows.append((langs[k], float(min(1.0, max(0.0, cos[k]))), bool(cos[k] >= least_cosine(grams))))
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "known"])
 
     return judge(text)
 
@@ -131,10 +141,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], out: str = "l
 
 
 def in_known_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """The rows of docs with letters whose best prototype is at FLOOR or above, or whose text is SHORT;
-    their columns stay as they are."""
-    found = predict(F.col("text"), model)
-    return docs.where((found["lang_pred"] != UNDETERMINED) & ((found["score"] >= FLOOR) | (F.length("text") < SHORT)))
+    """The rows of docs whose best prototype has the cosine that least_cosine() asks for; their columns stay as they are."""
+    return docs.where(predict(F.col("text"), model)["known"])
 
 
 def held_out_languages(docs: DataFrame, folds: int = 5) -> DataFrame:

@@ -13,11 +13,11 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-OP3 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)::bigint) as q from embeddings
+OP3 = """with v as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)::bigint) as q from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
- p as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+ p as (select a.row, a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
   from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
- r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+ r as (select *, row_number() over (partition by row order by score desc, vec_id)::int as rank from p)
  select query_id, rank, vec_id, score from r where rank <= 5"""
 
 OP5 = f"""with recursive v as (select vec_id as id, label, list_transform(embedding, lambda x: x::double) as x from embeddings

@@ -64,8 +64,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # A word that holds one of these as it stands gets its id there.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,6 +84,8 @@ class Encoder:
     def _words(self, words: pa.Array) -> pa.ListArray:
         """Ids of distinct words."""
         plain = pc.match_substring_regex(words, _PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _CUT, r" \1 "))
         coded = cut.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()

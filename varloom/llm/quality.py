@@ -93,12 +93,27 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 16
     return p
 
 
+def fitting(rows: list[tuple[int, int, int]], size: int) -> list[tuple[int, int]]:
+    """(class, place) of the texts (class, place, bytes) that fit into `size` bytes a class, by place; the shortest where none fits."""
+    out = []
+    for q in sorted({r[0] for r in rows}):
+        own, used = sorted((place, n) for c, place, n in rows if c == q), 0
+        kept = []
+        for place, n in own:
+            if used + n <= size:
+                used += n
+                kept.append((q, place))
+        out += kept or [(q, min(own, key=lambda x: x[1])[0])]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> dict:
     """Learns labels.quality (1 or 0) from whole documents joined by doc_id.
 
     The sample is at most per_class documents of each class, those with the smallest hash of their
-    id, as long as they have at most `size` bytes together; rows with both labels count for both. The
-    bounded sample is fitted in one task, and only the weights come to the driver.
+    id, and of them, in this order, each that still fits into `size` bytes a class; where none fits, the
+    shortest one. Rows with both labels count for both. The bounded sample is fitted in one task; only
+    the lengths of at most 2 * per_class texts and the weights come to the driver.
     """
     docs = has_columns(docs, "doc_id", "text")
     labels = has_columns(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull()).join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -111,8 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, size:
         F.col("doc_id").cast("string").alias("key"))
     # One task ranks a bounded number of rows a class.
     by = Window.partitionBy("quality").orderBy("h", "key", "raw")
-    sample = sample.withColumns({"used": F.sum(F.octet_length("raw")).over(by), "place": F.row_number().over(by)}).where(
-        (F.col("used") <= size) & (F.col("place") <= per_class))
+    sample = sample.withColumn("place", F.row_number().over(by)).where(F.col("place") <= per_class)
+    lengths = sample.select("quality", "place", F.octet_length("raw").alias("n")).collect()
+    chosen = docs.sparkSession.createDataFrame(fitting([tuple(r) for r in lengths], size), "quality int, place int")
+    sample = sample.join(F.broadcast(chosen), ["quality", "place"], "left_semi")
 
     def learn(batches):
         parts = list(batches)

@@ -15,8 +15,9 @@ pair are merged per query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null
 id, take no part; shorter vectors count as padded with zeros; a quantised component of 2**62 or more, or
-a reported score beyond a long, raises; rows with the query's own id are no candidates for it; other repeated rows all count, ties
-beyond the id are equal rows. An empty table gives no rows. Other columns are ignored.
+a reported score beyond a long, raises; rows with the query's own id are no candidates for it; repeated candidates all count, ties
+beyond the id are equal rows. Each query row gets its own k rows: equal query rows get equal ones, unlike vectors under one query id are
+ranked apart. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def _places(x: np.ndarray) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, qm: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, vec_id, score) of the k best rows of a block for each query."""
+    """(query_id, vec_id, score, query's place) of the k best rows of a block for each query."""
     order = np.argsort(ids, kind="stable")
     ids, m = ids[order], m[order]  # rows by id: the first set bits of a tie are the smallest ids
     index, _, digits = slices(m)
@@ -139,14 +140,14 @@ def search_block(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, qm: np.ndarra
     # Where no sum can overflow, scores come from numpy.
     small = float((np.abs(m).max(0, initial=0).astype(float) * np.abs(qm).max(0, initial=0)).sum()) < 1 << 62
     out = []
-    for qid, q in zip(qids.tolist(), qm):
+    for place, (qid, q) in enumerate(zip(qids.tolist(), qm)):
         alive = valid.copy()
         a, b = np.searchsorted(ids, [qid, qid + 1])
         for i in range(a, b):
             alive[i >> 6] &= ~np.uint64(1 << (i & 63))
         sure, tied, rest = select(query_sum(index, digits, q, valid), alive, k)
         for i in np.concatenate([_places(sure), _places(tied)[:rest]]).tolist():
-            out.append((qid, int(ids[i]), int(m[i] @ q) if small else sum(a * b for a, b in zip(m[i].tolist(), q.tolist()))))
+            out.append((qid, int(ids[i]), int(m[i] @ q) if small else sum(a * b for a, b in zip(m[i].tolist(), q.tolist())), place))
             if not -(1 << 63) <= out[-1][2] < 1 << 63:
                 raise OverflowError("a score is beyond a long")
     return out
@@ -159,23 +160,27 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     `queries` is a condition on the column `id`.
     """
     rows = quantised(vectors, id_col, vec_col, scale)
-    n, nq = rows.agg(F.count("*"), F.count(F.when(queries, 1))).first()
+    # Equal query rows are asked once; a vector's digest keeps unlike ones under one id apart.
+    asks = rows.where(queries).groupBy("id", "q").agg(F.count("*").alias("times")).withColumn(
+        "key", F.sha2(F.concat_ws(",", F.col("q").cast("array<string>")), 256))
+    n, nq = rows.count(), asks.count()
     blocks, qblocks = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(nq / BLOCK_QUERIES))
     number = lambda parts: F.pmod(F.xxhash64(F.col("id") + parts), F.lit(parts))
     each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     left = rows.select(number(blocks).alias("block"), each(qblocks).alias("qblock"), "id", "q")
-    right = rows.where(queries).select(each(blocks).alias("block"), number(qblocks).alias("qblock"), "id", "q")
-    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    right = asks.select(each(blocks).alias("block"), number(qblocks).alias("qblock"), "id", "q", "key", "times")
+    found = pa.schema([("query_id", pa.int64()), ("key", pa.string()), ("times", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def work(mine: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if mine.num_rows and asked.num_rows:
             dims = max(int(pc.max(pc.list_value_length(t.column("q"))).as_py()) for t in (mine, asked))
             out = search_block(mine.column("id").to_numpy(), _matrix(mine, dims), asked.column("id").to_numpy(), _matrix(asked, dims), k)
-        return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], schema=found)
+        numbers = [pa.array([r[c] for r in out], pa.int64()) for c in range(4)]
+        return pa.table([numbers[0], *(asked.column(c).combine_chunks().take(numbers[3]) for c in ("key", "times")), *numbers[1:3]], schema=found)
 
     best = left.groupBy("block", "qblock").cogroup(right.groupBy("block", "qblock")).applyInArrow(
-        work, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        work, "query_id long, key string, times long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score"))
