@@ -1,7 +1,7 @@
 """Training-corpus pipeline: five stages over `documents`, each written as Parquet and read again.
 
 1. language_id: documents in none of the learned languages go: those without letters or text, and
-   those whose best cosine with a language's prototype is below langid.FLOOR.
+   those whose best cosine with a language's prototype is below what their number of trigrams asks for.
 2. quality: documents that the byte-level network scores below 0.5 go.
 3. near_duplicates: of each group of near copies (five-word shingles, similarity 0.75 or more) one
    document stays, the one with the smallest id.
@@ -11,7 +11,7 @@
 Stages 1 to 4 return the columns of documents. Defined results: of rows that repeat doc_id and text,
 stage 3 keeps one; a row without doc_id counts there as having the largest id, equal texts the same
 one; rows that share a doc_id with different texts stay if one of them does. SQL can't express the stages (they learn models and tokenize), so
-ORACLE_SQL is None and tests hold the pipeline against brute force.
+ORACLE_SQL is None; tests hold each stage's decisions against a brute-force version.
 """
 
 from __future__ import annotations
