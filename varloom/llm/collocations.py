@@ -39,13 +39,15 @@ class Limits(NamedTuple):
     slice: int = 1 << 22  # bytes of texts in a row of word numbers
     part: int = 1 << 18  # words that enter a trie between two looks at its size
     burst: int = 1 << 14  # entries of a hash container
-    held: int = 1 << 20  # entries of a task's tries
+    held: int = 1 << 18  # entries and words of a task's tries
     sieve: int = 24  # binary digits of a hashed counter's place
 
 
 #: What ends a piece besides the full stop, all turned into full stops.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 SALTS = 64
+#: Phrases of a sorted run, about.
+RUN = 1 << 15
 
 
 class _Ids(dict):
@@ -204,11 +206,17 @@ def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: n
 
     def spill(lang: str, firsts: list[int]) -> Iterator[pa.RecordBatch]:
         trie, _, names = tries[lang]
-        for at in range(0, len(firsts), 4096):
-            run = [(" ".join(map(names.__getitem__, path)), n) for f in firsts[at:at + 4096] for path, n in trie.take(f)]
-            run.sort(key=itemgetter(0))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run), pa.string()), pa.array([p for p, _ in run], pa.string()),
-                                              pa.array([n for _, n in run], pa.int64())], ["lang", "phrase", "n"])
+        run: list[tuple[str, int]] = []
+        for k, f in enumerate(firsts):
+            run += [(" ".join(map(names.__getitem__, path)), n) for path, n in trie.take(f)]
+            if len(run) >= RUN or k == len(firsts) - 1:
+                run.sort(key=itemgetter(0))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run), pa.string()), pa.array([p for p, _ in run], pa.string()),
+                                                  pa.array([n for _, n in run], pa.int64())], ["lang", "phrase", "n"])
+                run = []
+
+    def weight(lang: str) -> int:
+        return tries[lang][0].held + len(tries[lang][2])
 
     for batch in chunks:
         for r in range(batch.num_rows):
@@ -236,17 +244,21 @@ def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: n
                 n = int(own[:limits.part].sum())  # places of the next part only lengthen these
                 for f, x in zip(first[:n], rest[:n]):
                     trie.add(f, x)
-                over = sum(t[0].held for t in tries.values()) - limits.held
-                for big in sorted(tries, key=lambda x: -tries[x][0].held) if over > 0 else ():
-                    # The largest subtrees of the largest tries first, until half is free.
-                    sizes, gone, firsts = tries[big][0].size, 0, []
-                    for f in sorted(sizes, key=sizes.get, reverse=True):
-                        if gone >= over + limits.held // 2:
-                            break
-                        gone += sizes[f]
-                        firsts.append(f)
-                    yield from spill(big, firsts)
-                    over -= gone
+                over = sum(map(weight, tries)) - limits.held
+                for big in sorted(tries, key=weight, reverse=True) if over > 0 else ():
+                    if len(tries[big][2]) > tries[big][0].held // 2:  # names weigh too much: a new trie
+                        over -= weight(big)
+                        yield from spill(big, sorted(tries[big][0].root))
+                        del tries[big]
+                    else:  # the largest subtrees first, until half is free
+                        sizes, gone, firsts = tries[big][0].size, 0, []
+                        for f in sorted(sizes, key=sizes.get, reverse=True):
+                            if gone >= over + limits.held // 2:
+                                break
+                            gone += sizes[f]
+                            firsts.append(f)
+                        yield from spill(big, firsts)
+                        over -= gone
                     if over <= -(limits.held // 2):
                         break
     for lang in tries:
