@@ -78,13 +78,19 @@ def ref_chunks(ref_seq: DataFrame, size: int = CHUNK, margin: int = MARGIN) -> D
 
 def lookup_sequence(regions: DataFrame, chunks: DataFrame, key: str, left: str = "left", right: str = "right",
                     size: int = CHUNK) -> DataFrame:
-    """(key, seq) of [left, right) on ref_id for every distinct key; regions may span any number of chunks."""
+    """(key, seq) of [left, right) on ref_id for every distinct key; regions may span any number of chunks.
+
+    Both sides are dealt by the chunk, to as many partitions as shuffles have (asks are small, the letters they stand for
+    are not), and joined there by a hash of the chunks: the table, whose files unpack to many times their size, is never broadcast.
+    """
     lo, hi = F.floor(F.col(left) / size), F.floor(F.greatest(F.col(left), F.col(right) - 1) / size)
-    ask = regions.select(key, "ref_id", F.col(left).alias("__l"), F.col(right).alias("__r"),
-                         F.explode(F.sequence(lo, hi)).alias("chunk_no")).dropDuplicates([key, "chunk_no"])
-    met = ask.join(chunks.select("ref_id", "chunk_no", "ctx_left", "ctx"), ["ref_id", "chunk_no"])
+    ask = regions.select(key, "ref_id", F.col(left).alias("__l"), F.col(right).alias("__r"), F.explode(F.sequence(lo, hi)).alias("chunk_no"))
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = chunks.select("ref_id", "chunk_no", "ctx_left", "ctx").hint("shuffle_hash")
+    met = ask.repartition(parts, "ref_id", "chunk_no").join(text, ["ref_id", "chunk_no"])
     a = F.greatest(F.col("__l"), F.col("chunk_no") * size)
     b = F.least(F.col("__r"), (F.col("chunk_no") + 1) * size)
     part = F.substring("ctx", (a - F.col("ctx_left") + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+    # A key that comes twice asks for one text: its parts are told apart by their chunk.
+    return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_set(
         F.struct("chunk_no", part.alias("p")))), lambda x: x["p"]), "").alias("seq"))

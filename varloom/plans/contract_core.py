@@ -303,10 +303,10 @@ def r8_build_reverse_index(spark, d):
 
 @query(D.with_ctes(["raw"], """select row_id, md5(substr(seq, "left" + 1, 5000)) as seq from raw"""))
 def r9_get_sequence(spark, d):
-    seqs = D.ref_seq(spark, d)
-    rows = D.raw_variants(spark, d).join(seqs.select("ref_id", F.length("seq").cast("long").alias("n")), "ref_id")
+    chunks = D.chunks(spark, d)
+    rows = D.raw_variants(spark, d).join(chunks.where("chunk_no = 0").select("ref_id", F.col("ref_len").alias("n")), "ref_id")
     ask = rows.select("row_id", "ref_id", "left", F.least(F.col("left") + 5000, F.col("n")).alias("right"))
-    return intervals.lookup_sequence(ask, D.chunks(spark, d), "row_id").select("row_id", F.md5("seq").alias("seq"))
+    return intervals.lookup_sequence(ask, chunks, "row_id").select("row_id", F.md5("seq").alias("seq"))
 
 
 @query(D.with_ctes(["exons", "ref_seq"], """select transcript, md5(string_agg(substr(seq, u_left::int + 1, (u_right - u_left)::int), '' order by n)) as seq
