@@ -106,7 +106,7 @@ def test_register_rules(spark):
     d = "row_id long, variant_key string, ref_id long, n_left long, n_right long, category int, length_change long, inserted string, original string, given_id long"
     row = lambda i, k, left, given=None: (i, k, 1, left, left + 1, 0, 0, "A", "C", given)
     ids = lambda *x: spark.createDataFrame(list(x) or [], "row_id long, id_type string, id long, attrs string")
-    none = spark.createDataFrame([], registry.Registry.TABLES["variants"]), spark.createDataFrame([], registry.Registry.TABLES["identifiers"])
+    none = spark.createDataFrame([], registry.TABLES["variants"]), spark.createDataFrame([], registry.TABLES["identifiers"])
     b = spark.createDataFrame([row(1, "b", 20), row(2, "a", 10), row(3, "b", 20), row(4, "c", 5, 7)], d)
     v, k, a = registry.register(b, ids((1, "dbSNP", 5, "x"), (3, "dbSNP", 5, "y"), (3, "dbSNP", 6, None)), *none)
     assert {r.row_id: r.ca_id for r in a.collect()} == {1: 9, 2: 8, 3: 9, 4: 7}
@@ -117,17 +117,6 @@ def test_register_rules(spark):
     assert got == {1: (None, "IdentifierMismatch"), 2: (None, "IdentifierTaken"), 3: (10, None)} and v2.count() == 4
 
 
-def test_registry_snapshots(spark, tmp_path):
-    reg = registry.Registry(spark, str(tmp_path / "reg"))
-    assert reg.version() == 0 and reg.read("variants").count() == 0
-    d = "row_id long, variant_key string, ref_id long, n_left long, n_right long, category int, length_change long, inserted string, original string, given_id long"
-    b = spark.createDataFrame([(1, "a", 1, 1, 2, 0, 0, "A", "C", None)], d)
-    i = spark.createDataFrame([(1, "dbSNP", 5, None)], "row_id long, id_type string, id long, attrs string")
-    for _ in range(2):  # again: nothing new
-        assert reg.register(b, i).first().ca_id == 1
-    assert reg.version() == 2 and reg.read("variants").count() == 1 and reg.read("identifiers").count() == 1
-
-
 def test_masks():
     fields = ["a.x", "a.y", "externalSources.n", "b"]
     assert output.parse_mask("default -a.y", fields) == ["a.x", "b"]

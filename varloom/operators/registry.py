@@ -1,18 +1,21 @@
-"""The registry as versioned Parquet tables: upsert, lookups, deletions, index rebuild.
+"""The registry's tables: upsert, lookups, deletions, index rebuild.
 
 Tables: variants(variant_key, ca_id, ref_id, n_left, n_right, category, length_change, inserted,
-original) and identifiers(variant_key, id_type, id, attrs). Writes make a new snapshot; a pointer
-file is switched last, so a batch is all or nothing.
+original) and identifiers(variant_key, id_type, id, attrs). The functions take and give DataFrames;
+`standing` keeps the tables on disk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .normalize import NORMAL, definition_order
 
 DEFINITION = ["ref_id", *NORMAL]
+TABLES = {"variants": "variant_key string, ca_id long, ref_id long, n_left long, n_right long, category int, "
+                      "length_change long, inserted string, original string",
+          "identifiers": "variant_key string, id_type string, id long, attrs string"}
 
 
 def assign_ids(new: DataFrame, start: int, order: list[Column]) -> DataFrame:
@@ -26,13 +29,14 @@ def assign_ids(new: DataFrame, start: int, order: list[Column]) -> DataFrame:
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = saved(ranged.withColumn("__p", F.spark_partition_id()), "new-variants")
     counts = sorted((r["__p"], r["n"]) for r in parts.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    offset, at = [], start
+    offsets, at = [], start
     for p, n in counts:
-        offset += [F.lit(p), F.lit(at).cast("long")]
+        offsets.append((p, at))
         at += n
+    # A row a partition: their number is that of the shuffle partitions.
+    first = new.sparkSession.createDataFrame(offsets, "__p int, __first long")
     w = Window.partitionBy("__p").orderBy(*order)
-    base = F.create_map(*offset)[F.col("__p")] if offset else F.lit(start).cast("long")
-    return parts.withColumn("ca_id", base + F.row_number().over(w)).drop("__p")
+    return parts.join(F.broadcast(first), "__p").withColumn("ca_id", F.col("__first") + F.row_number().over(w)).drop("__p", "__first")
 
 
 def merge_batch(batch: DataFrame) -> DataFrame:
@@ -42,17 +46,14 @@ def merge_batch(batch: DataFrame) -> DataFrame:
         F.min("row_id").alias("row_id"))
 
 
-def register(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Upserts batch(row_id, variant_key, definition, given_id) with ids(row_id, id_type, id, attrs).
+def upsert(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: DataFrame, holders: DataFrame, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that batch(row_id, variant_key, definition, given_id) with ids(row_id, id_type, id, attrs) adds to both tables, and an answer a row.
 
-    Gives the new variants table, the new identifiers table, and one answer a row (row_id, ca_id,
-    error). Known definitions keep their id; new ones take the given id or the next ones in
-    definition order; a given id that disagrees with the stored one, or that another definition
-    holds, makes an error row and writes nothing. Attributes of the first writer stay.
+    variants and known_ids need to hold the batch's definitions only, holders(ca_id, variant_key) the given ids; new ids follow `top`.
     """
     one = merge_batch(batch)
     stored = variants.select("variant_key", F.col("ca_id").alias("old_id"))
-    taken = variants.select(F.col("ca_id").alias("given_id"), F.col("variant_key").alias("holder"))
+    taken = holders.select(F.col("ca_id").alias("given_id"), F.col("variant_key").alias("holder"))
     met = one.join(stored, "variant_key", "left").join(taken, "given_id", "left")
     clash = F.when(F.col("old_id").isNotNull() & F.col("given_id").isNotNull() & (F.col("old_id") != F.col("given_id")), "IdentifierMismatch") \
         .when(F.col("old_id").isNull() & F.col("holder").isNotNull(), "IdentifierTaken")
@@ -63,21 +64,33 @@ def register(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: D
     own = fresh.where(F.col("given_id").isNotNull()).withColumn("n", rank)
     given = own.where("n = 1").drop("n").withColumn("ca_id", F.col("given_id"))
     lost = own.where("n > 1").select("variant_key")
-    top = variants.agg(F.max("ca_id").alias("m")).first()["m"] or 0
     top = max(top, given.agg(F.max("given_id")).first()[0] or 0)
     auto = assign_ids(fresh.where(F.col("given_id").isNull()), top, definition_order())
     new = given.select("variant_key", "ca_id", *DEFINITION).unionByName(auto.select("variant_key", "ca_id", *DEFINITION))
-    table = variants.select("variant_key", "ca_id", *DEFINITION).unionByName(new)
     bad = met.where(F.col("clash").isNotNull()).select("variant_key", "clash").unionByName(
         lost.withColumn("clash", F.lit("IdentifierTaken")))
-    rows = batch.join(bad, "variant_key", "left").join(table.select("variant_key", "ca_id"), "variant_key", "left")
+    all_ids = variants.select("variant_key", "ca_id").unionByName(new.select("variant_key", "ca_id"))
+    rows = batch.join(bad, "variant_key", "left").join(all_ids, "variant_key", "left")
     wrong = F.coalesce("clash", F.when(F.col("given_id").isNotNull() & (F.col("given_id") != F.col("ca_id")), "IdentifierMismatch"))
     rows = rows.withColumn("error", wrong)
     answer = rows.select("row_id", F.when(F.col("error").isNull(), F.col("ca_id")).alias("ca_id"), "error")
     added = rows.where(F.col("error").isNull()).join(ids, "row_id").select("variant_key", "id_type", "id", "attrs", "row_id")
     first = added.groupBy("variant_key", "id_type", "id").agg(F.min_by("attrs", "row_id").alias("attrs"))
     extra = first.join(known_ids, ["variant_key", "id_type", "id"], "left_anti")
-    return table, known_ids.unionByName(extra.select(known_ids.columns)), answer
+    return new, extra.select("variant_key", "id_type", "id", "attrs"), answer
+
+
+def register(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Upserts batch(row_id, variant_key, definition, given_id) with ids(row_id, id_type, id, attrs).
+
+    Gives the new variants table, the new identifiers table, and one answer a row (row_id, ca_id,
+    error). Known definitions keep their id; new ones take the given id or the next ones in
+    definition order; a given id that disagrees with the stored one, or that another definition
+    holds, makes an error row and writes nothing. Attributes of the first writer stay.
+    """
+    top = variants.agg(F.max("ca_id").alias("m")).first()["m"] or 0
+    new, extra, answer = upsert(batch, ids, variants, known_ids, variants.select("ca_id", "variant_key"), top)
+    return variants.select("variant_key", "ca_id", *DEFINITION).unionByName(new), known_ids.unionByName(extra.select(known_ids.columns)), answer
 
 
 def fetch_by_definition(rows: DataFrame, variants: DataFrame) -> DataFrame:
@@ -128,65 +141,3 @@ def has_identifier_of_type(variants: DataFrame, known: DataFrame, types: list[st
 
 def has_identifier(variants: DataFrame, index: DataFrame, id_type: str, value: int) -> DataFrame:
     return variants.join(index.where((F.col("id_type") == id_type) & (F.col("id") == value)), "variant_key", "left_semi")
-
-
-class Registry:
-    """Snapshots of the registry's tables below a path."""
-
-    TABLES = {"variants": "variant_key string, ca_id long, ref_id long, n_left long, n_right long, category int, "
-                          "length_change long, inserted string, original string",
-              "identifiers": "variant_key string, id_type string, id long, attrs string",
-              "links": "ca_id long, src_id long, params array<string>"}
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def version(self) -> int:
-        fs, p = self._pointer()
-        return int(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else 0
-
-    def read(self, name: str) -> DataFrame:
-        v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/v={v}/{name}")
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Writes the next snapshot; tables that are not given stay as they are."""
-        v = self.version() + 1
-        for name, schema in self.TABLES.items():
-            df = tables.get(name)
-            df = self.read(name) if df is None else df
-            from pyspark.sql.types import StructType
-
-            cols = [F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema)]
-            key = {"variants": ["ref_id", "n_left"], "identifiers": ["id_type", "id"], "links": ["src_id", "ca_id"]}[name]
-            (df.select(*cols).repartitionByRange(*key).sortWithinPartitions(*key)
-             .write.mode("overwrite").parquet(f"{self.path}/v={v}/{name}"))
-        self._switch(v)
-        return v
-
-    def _switch(self, v: int) -> None:
-        """Points readers to a version: a new file takes the pointer's place in one rename."""
-        fs, p = self._pointer()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_next-{v}")
-        out = fs.create(new, True)
-        out.writeBytes(f"{v}\n")
-        out.close()
-        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, p, options)
-
-    def register(self, batch: DataFrame, ids: DataFrame) -> DataFrame:
-        table, known, answer = register(batch, ids, self.read("variants"), self.read("identifiers"))
-        from varloom.session import saved
-
-        answer = saved(answer, "answer")
-        self.commit(variants=table, identifiers=known)
-        return answer

@@ -432,12 +432,12 @@ def _turned_sql(text: str) -> str:
     return f"case when strand = '-' then {RC.format(text)} else {{}} end"
 
 
-LONG = """, longer as (select ref_id as trg_ref, 0 as trg_left, length(seq) // 2 as trg_right, ref_id % 25 as src_ref, 70000 as src_left, 70000 + length(seq) // 2 as src_right,
+LONG = """, forms as materialized (select row_id, ref_id, n_left, n_right, category, length_change, inserted, original from norm), longer as materialized (select ref_id as trg_ref, 0 as trg_left, length(seq) // 2 as trg_right, ref_id % 25 as src_ref, 70000 as src_left, 70000 + length(seq) // 2 as src_right,
    case when ref_id % 2 = 0 then '-' else '+' end as strand from ref_seq where ref_id % 7 <> 3
  union all select ref_id, length(seq) // 2, length(seq), ref_id % 25, 10, 10 + length(seq) - length(seq) // 2, '+' from ref_seq),
  m as (select row_id, count(*) as k, min(src_ref) as main_ref, min(case when strand = '+' then src_left + n_left - trg_left else src_right - (n_right - trg_left) end) as l, min(strand) as strand
-   from norm join longer on trg_ref = ref_id where n_left >= trg_left and n_right <= trg_right group by row_id),
- g as (select n.*, k, main_ref, l, strand, case when category = 3 then {rot3} when category = 2 then {rot2} else original end as text from norm n left join m on n.row_id = m.row_id)
+   from forms join longer on trg_ref = ref_id where n_left >= trg_left and n_right <= trg_right group by row_id),
+ g as (select n.*, k, main_ref, l, strand, case when category = 3 then {rot3} when category = 2 then {rot2} else original end as text from forms n left join m on n.row_id = m.row_id)
 """.format(rot3=D.rot_left_sql("original", "n_right - n_left - length_change"), rot2=D.rot_left_sql("original", "n_right - n_left"))
 
 

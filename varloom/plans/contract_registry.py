@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varloom.operators import links, lookups, normalize, output, reconcile, registry
+from varloom.operators import links, lookups, normalize, output, reconcile, registry, standing
 from varloom.session import saved, scratch_path, stored
 from varloom.streaming.register_stream import event_batch, register_stream
 
@@ -27,7 +27,7 @@ def ids(spark, d):
 
 
 def empty(spark):
-    return (spark.createDataFrame([], registry.Registry.TABLES["variants"]), spark.createDataFrame([], registry.Registry.TABLES["identifiers"]))
+    return (spark.createDataFrame([], registry.TABLES["variants"]), spark.createDataFrame([], registry.TABLES["identifiers"]))
 
 
 def register_batch(spark, d):
@@ -45,7 +45,7 @@ def registered(spark, d):
             made.extend(register_batch(spark, d))
         return made[k]
 
-    return stored(spark, ("variants", d), lambda: make(0)), stored(spark, ("identifiers", d), lambda: make(1))
+    return stored(spark, "variants", d, lambda: make(0)), stored(spark, "identifiers", d, lambda: make(1))
 
 
 REG = """, u as (select ref_id, n_left, n_right, category, length_change, inserted, min(row_id) as row_id from norm group by all),
@@ -470,14 +470,17 @@ def x8_is_authorized(spark, d):
 
 # Stream and texts of whole files
 
-@query("select row_number() over (order by user_id) as ca_id, user_id as n_left, count(*) as n_ids from events where user_id is not null group by user_id")
+@query("""select user_id as n_left, count(*) as n_ids, 1::bigint as n_definitions, true as ids_have_no_gaps from events where user_id is not null group by user_id""")
 def n1_register_stream(spark, d):
-    """Events as a file stream of micro-batches into a registry; ids are compared after one batch over all."""
+    """Events as a file stream of several micro-batches, users in several of them, into standing tables; one more run changes nothing."""
     root = scratch_path(spark, "stream")
-    reg_ = registry.Registry(spark, f"{root}/registry")
     src = D.table(spark, d, "events")
-    src.write.parquet(f"{root}/in")
-    q = register_stream(spark.readStream.schema(src.schema).parquet(f"{root}/in"), reg_, event_batch, f"{root}/check")
-    q.awaitTermination()
-    n = reg_.read("identifiers").groupBy("variant_key").agg(F.count("*").alias("n_ids"))
-    return reg_.read("variants").join(n, "variant_key").select("ca_id", "n_left", "n_ids")
+    src.repartition(6, "event_id").write.parquet(f"{root}/in")
+    for _ in range(2):
+        stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        register_stream(stream, f"{root}/registry", event_batch, f"{root}/check").awaitTermination()
+    variants, known = (standing.read(spark, f"{root}/registry", name) for name in ("variants", "identifiers"))
+    n = known.groupBy("variant_key").agg(F.count("*").alias("n_ids"))
+    whole = variants.agg(F.max("ca_id") == F.count("*")).first()[0]
+    one = variants.groupBy("variant_key").agg(F.max("n_left").alias("n_left"), F.count("*").alias("n_definitions"))
+    return one.join(n, "variant_key").select("n_left", "n_ids", "n_definitions", F.lit(whole).alias("ids_have_no_gaps"))

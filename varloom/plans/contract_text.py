@@ -203,6 +203,17 @@ def s1_read_fasta(spark, d):
     return files.read_fasta(spark, path).select("name", F.md5("seq").alias("seq"))
 
 
+@query(D.with_ctes(["ref_seq"], """, c as (select 'ref' || ref_id as ref_id, seq, length(seq) as ref_len, unnest(range(greatest((length(seq) + 4095) // 4096, 1))) as chunk_no from ref_seq where seq <> '')
+ select ref_id, chunk_no, greatest(chunk_no * 4096 - 64, 0)::bigint as ctx_left, md5(substr(seq, greatest(chunk_no * 4096 - 64, 0)::int + 1, (least((chunk_no + 1) * 4096 + 64, ref_len) - greatest(chunk_no * 4096 - 64, 0))::int)) as ctx, ref_len from c"""))
+def s1_fasta_chunks(spark, d):
+    """The chunk table of those files, from splits, without a record in one row."""
+    path = scratch_path(spark, "fasta")
+    rows = D.ref_seq(spark, d).where("seq <> ''")
+    rows.select(F.concat(F.lit(">ref"), F.col("ref_id").cast("string"), F.lit(" some words\n# a comment\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))).write.text(path)
+    got = files.fasta_chunks(spark, path)
+    return got.select("ref_id", "chunk_no", "ctx_left", F.md5("ctx").alias("ctx"), "ref_len")
+
+
 @query("""select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 as line, 'chr' || l_suppkey % 5 as chrom, l_partkey - 1 as "left", l_partkey + 1 as "right", a.alt, case l_linenumber % 2 when 0 then 'NC_' || l_suppkey % 5 end as ids
  from lineitem, (select unnest(['G', 'AC']) as alt, unnest([0, 1]) as k) a""")
 def s10_read_vcf(spark, d):

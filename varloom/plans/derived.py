@@ -33,12 +33,12 @@ def ref_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those sequences as a chunk table: derived once a session, as a standing table would be."""
-    return stored(spark, ("chunks", sf_dir), lambda: ref_chunks(ref_seq(spark, sf_dir)))
+    return stored(spark, "chunks", sf_dir, lambda: ref_chunks(ref_seq(spark, sf_dir)))
 
 
 def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, ref_id, left, right, ref, alt): plain changes on those sequences; derived once a session."""
-    return stored(spark, ("plain", sf_dir), lambda: _raw_variants(spark, sf_dir))
+    return stored(spark, "plain", sf_dir, lambda: _raw_variants(spark, sf_dir))
 
 
 def _raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

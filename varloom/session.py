@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,11 +33,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def stored(spark: SparkSession, key: tuple, make) -> DataFrame:
-    """The table that make() gives, written once a session under its key and read again after that."""
-    at = (spark.sparkContext.applicationId, *key)
+def stamp(spark: SparkSession, folder: str) -> tuple:
+    """Number, sizes and modification times of the files below a folder: another stamp, other data."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime", "length")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "modificationTime", "length").bitwiseAND((1 << 40) - 1))).first())
+
+
+def stored(spark: SparkSession, name: str, folder: str, make) -> DataFrame:
+    """The table that make() derives from a folder's files, written once a session and again once the files have changed."""
+    at = (spark.sparkContext.applicationId, name, folder, *stamp(spark, folder))
     if at not in _STORED:
-        path = scratch_path(spark, "-".join(map(str, key[:1])))
+        path = scratch_path(spark, name)
         make().write.parquet(path)
         _STORED[at] = path
     return spark.read.parquet(_STORED[at])

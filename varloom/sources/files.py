@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varloom.operators.intervals import CHUNK, MARGIN
+from varloom.session import saved
+
 #: Columns a bulk file may declare, and which of them are lists. Fixed values.
 BULK_COLUMNS = ("hgvs", "id", "dbSNP.rs", "ClinVar.alleleId", "ClinVar.variationId", "ClinVar.preferredName", "ClinVar.RCV",
                 "MyVariantInfo_hg19.id", "MyVariantInfo_hg38.id", "ExAC.id", "gnomAD.id", "COSMIC.id")
@@ -30,6 +33,44 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(body, r"\n#[^\n]*", "\n"), r"\s+", "")).alias("seq"))
 
 
+def fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+    """(ref_id, chunk_no, ctx_left, ctx, ref_len) as intervals.ref_chunks gives them, straight from the lines; ref_id is the record's name.
+
+    Files are read in splits. Within a split a window carries the header on and adds up letters; across splits one row a split
+    and record does. Each line's letters go to the chunks that they, or a chunk's margin, lie in, so no record is ever one row; the
+    longest row is a line. Comments, blanks and lines before the first header go; names are those of one record each.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = rows.withColumn("line", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.trim(F.regexp_replace("value", r"\s+", "")) != ""))
+    header = F.when(F.col("value").startswith(">"), F.struct("block", "line", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("name")))
+    text = F.when(~F.col("value").startswith(">"), F.upper(F.regexp_replace("value", r"\s+", ""))).otherwise("")
+    rows = rows.select("file", "block", "line", header.alias("header"), text.alias("text"))
+    in_split = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("record", F.last("header", True).over(in_split))
+    splits = rows.groupBy("file", "block").agg(F.max("header").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("file", "block", F.last("last", True).over(before).alias("carried"))
+    rows = rows.join(carried, ["file", "block"]).withColumn("record", F.coalesce("record", "carried")).where(F.col("record").isNotNull())
+    rows = saved(rows.select("file", "block", "line", "record", "text"), "fasta-lines")
+    sums = rows.groupBy("file", "record", "block").agg(F.sum(F.length("text")).alias("n"))
+    over = Window.partitionBy("file", "record").orderBy("block")
+    sums = sums.select("file", "record", "block", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    lengths = rows.groupBy("file", "record").agg(F.sum(F.length("text")).alias("ref_len"))
+    own = Window.partitionBy("file", "record", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("text")).over(own), F.lit(0))).join(sums, ["file", "record", "block"]).withColumn("at", F.col("at") + F.col("start"))
+    end = F.col("at") + F.length("text")
+    first, last = F.floor(F.greatest(F.col("at") - margin, F.lit(0)) / size), F.floor((end - 1 + margin) / size)
+    parts = rows.where("text <> ''").select("file", "record", "at", "text", F.explode(F.sequence(first, last)).alias("chunk_no"))
+    a = F.greatest(F.col("at"), F.col("chunk_no") * size - margin)
+    b = F.least(F.col("at") + F.length("text"), (F.col("chunk_no") + 1) * size + margin)
+    parts = parts.where(a < b).select("file", "record", "chunk_no", F.struct(a.alias("at"), F.substring("text", (a - F.col("at") + 1).cast("int"), (b - a).cast("int")).alias("t")).alias("p"))
+    texts = parts.groupBy("file", "record", "chunk_no").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    got = lengths.join(texts, ["file", "record"], "left").where(F.col("chunk_no").isNull() | (F.col("chunk_no") * size < F.col("ref_len")))
+    zero = F.lit(0).cast("long")
+    return got.select(F.col("record.name").alias("ref_id"), F.coalesce("chunk_no", zero).alias("chunk_no"), F.coalesce(F.col("p")[0]["at"], zero).alias("ctx_left"),
+                      F.coalesce(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit("")).alias("ctx"), "ref_len")
+
+
 def read_align(spark: SparkSession, path: str) -> DataFrame:
     """(name, idx, unaligned, ref, strand, offset, cigar, seqs, trg_start): '>' lines name what follows.
 

@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.operators.registry import Registry
+from varloom.operators import standing
+from varloom.session import saved
 
 
-def register_stream(stream: DataFrame, registry: Registry, to_batch, checkpoint: str):
-    """Starts a query that registers each micro-batch; to_batch makes (batch, ids) of its rows.
+def register_stream(stream: DataFrame, path: str, to_batch, checkpoint: str):
+    """Starts a query that registers each micro-batch in the standing tables below `path`; to_batch makes (batch, ids) of its rows.
 
-    Known definitions and identifiers are left as they are, so a batch that runs again changes
-    nothing: the stream is idempotent by definition. The caller stops the query.
+    A micro-batch is registered under its own number, so one that runs again writes the same partitions with the same rows.
+    The caller stops the query.
     """
 
     def merge(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
-        try:
-            batch, ids = to_batch(rows)
-            registry.register(batch, ids)
-        finally:
-            rows.unpersist()
+        batch, ids = to_batch(saved(rows, "micro-batch"))
+        standing.register(path, batch, ids, batch_id + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
