@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import contract_alignments, contract_core, contract_effects, contract_registry, contract_text  # noqa: F401
+    from . import contract_alignments, contract_core, contract_effects, contract_lookups, contract_registry, contract_text  # noqa: F401
