@@ -258,7 +258,7 @@ def test_collocations_equal_brute_force(spark):
     assert len(want) > 100
     assert sorted(map(tuple, collocations.collocations(docs, least=6).collect())) == want
     # Small slices, parts and tries, shared counters: bursts and spills change nothing.
-    small = collocations.Limits(500, 64, 4, 40, 6)
+    small = collocations.Limits(500, 64, 4, 40, 8, 6)
     assert sorted(map(tuple, collocations.collocations(docs, least=6, limits=small).collect())) == want
     few = collocations.collocations(docs, least=6, top=5).collect()
     assert sorted(map(tuple, few)) == brute_phrases(rows, 6, top=5)

@@ -7,9 +7,11 @@ by its next word. When a task holds more entries than it may, its largest subtre
 by phrase until half are gone. The runs, kept in the shared folder, are dealt by ranges of (language, phrase), so
 that a partition holds whole prefixes and a prefix that many phrases share is split over partitions, and merged there.
 
-Only phrases that can be frequent enter the tries: a phrase is at most as frequent as each word and each pair
-of neighbours in it. Words are counted exactly first, pairs in 2**sieve hashed counters (a shared counter lets
-more pairs through, never fewer); tasks get both as bitmaps of 2**sieve bits, 2 MB each whatever the corpus.
+Only phrases that can be frequent enter the tries: a phrase is at most as frequent as each shorter phrase in it.
+Words are counted exactly first; then, length by length, phrases all of whose parts may be frequent are counted in
+2**sieve hashed counters (a shared counter lets more phrases through, never fewer), and a phrase goes on where its counter
+is high enough. Tasks get each length's counters as a bitmap of 2**sieve bits, 8 MB whatever the corpus. A task sends its counts as
+arrays by range of counters, and each range is added up in an array of its own.
 
 Defined results: null text is empty; null lang is `und`; words hold any characters but space and tab, pieces
 end at . , ; : ! ? and line ends; repeated rows all count; a language without frequent phrases gives no rows.
@@ -40,7 +42,8 @@ class Limits(NamedTuple):
     part: int = 1 << 18  # words that enter a trie between two looks at its size
     burst: int = 1 << 14  # entries of a hash container
     held: int = 1 << 18  # entries and words of a task's tries
-    sieve: int = 24  # binary digits of a hashed counter's place
+    sieve: int = 26  # binary digits of a hashed counter's place
+    range: int = 20  # binary digits of a place within its range of counters, 6 at least
 
 
 #: What ends a piece besides the full stop, all turned into full stops.
@@ -91,15 +94,41 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).astype(np.uint64)
 
 
-def _bitmap(places: DataFrame, sieve: int) -> np.ndarray:
-    """Bits set at the column `place`, below 2**sieve: collected as 2**(sieve - 6) masks at most."""
-    masks = places.groupBy(F.shiftright("place", 6).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
+def _bitmap(masks: DataFrame, sieve: int) -> np.ndarray:
+    """The bits of (first, mask array<bigint>) rows: 2**(sieve - 6) masks of 64 bits at most."""
     bits = np.zeros(1 << (sieve - 6), np.int64)
-    bits[masks["at"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64)
+    for r in masks.toLocalIterator():
+        own = np.array(r["mask"], np.int64)
+        bits[r["first"]:r["first"] + len(own)] |= own
     return bits.view(np.uint64)
 
 
+def _counted(sent: DataFrame, least: int, limits: Limits) -> DataFrame:
+    """(first, mask) bits of the counters that reach `least`, from (part, place array, n array); one range of counters is held at a time."""
+    size = min(limits.sieve, limits.range)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = None, None
+
+        def bits() -> pa.RecordBatch:
+            mask = np.packbits(counts >= least, bitorder="little")
+            mask = np.concatenate((mask, np.zeros(-len(mask) % 8, np.uint8))).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([(part << size) >> 6]), lists_of(mask)], ["first", "mask"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = batch.column(0)[r].as_py()
+                if own != part:
+                    if part is not None:
+                        yield bits()
+                    part, counts = own, np.zeros(1 << size, np.int64)
+                counts[batch.column(1)[r].values.to_numpy()] += batch.column(2)[r].values.to_numpy()
+        if part is not None:
+            yield bits()
+
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(add, "first bigint, mask array<bigint>")
+
+
 def _holds(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
@@ -110,14 +139,22 @@ def _hashes(lang: str, words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _pairs(lang: str, words: list[str], ids: np.ndarray, bits: np.ndarray, sieve: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per place: is it and the next word a pair of words that may be frequent, and the pair's counter."""
+def _going(lang: str, words: list[str], ids: np.ndarray, sieves: list[np.ndarray], sieve: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per length from 1 on, where phrases of that length start that pass the sieves; the last sieve's are those of
+    length len(sieves). Also the counters of the phrases one word longer whose two parts pass."""
     h = np.concatenate((np.zeros(1, np.uint64), _hashes(lang, words)))
-    may = _holds(bits, h & np.uint64((1 << sieve) - 1))
+    may = _holds(sieves[0], h & np.uint64((1 << sieve) - 1))
     may[0] = False
-    on = may[ids]
-    on = on[:-1] & on[1:]
-    place = _mixed(h[ids[:-1]] * np.uint64(0xD6E8FEB86659FD93) + h[ids[1:]]) >> np.uint64(64 - sieve)
+    on = [may[ids]]
+    key = h[ids]
+    place = key
+    for k in range(1, len(sieves) + 1):
+        key = _mixed(key[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[ids[k:]])
+        place = key >> np.uint64(64 - sieve)
+        both = on[-1][:-1] & on[-1][1:]
+        if k < len(sieves):
+            both[both] = _holds(sieves[k], place[both])
+        on.append(both)
     return on, place
 
 
@@ -188,19 +225,18 @@ class HatTrie:
         return list(counts.items())
 
 
-def _paths(ids: np.ndarray, on: np.ndarray, longest: int) -> tuple[list[int], list[int]]:
-    """(first word, packed further words) from each place where a frequent pair starts, as far as pairs go on."""
-    starts = np.flatnonzero(on)
-    on, ids = np.concatenate((on, np.zeros(longest, bool))), np.concatenate((ids, np.zeros(longest, np.int64)))
+def _paths(ids: np.ndarray, on: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """(first word, packed further words): from each place the longest phrase that may be frequent, of two words at least."""
+    starts = np.flatnonzero(on[1])
     rest, going = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
-    for k in range(longest - 1):
-        going &= on[starts + k]
-        rest |= np.where(going, ids[starts + k + 1], 0) << (HatTrie.BITS * k)
+    for k in range(1, len(on)):
+        inside = starts < len(on[k])
+        going &= inside & on[k][np.where(inside, starts, 0)] if len(on[k]) else False
+        rest |= np.where(going, ids[np.minimum(starts + k, len(ids) - 1)], 0) << (HatTrie.BITS * (k - 1))
     return ids[starts].tolist(), rest.tolist()
 
 
-def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: np.ndarray, longest: int,
-           limits: Limits) -> Iterator[pa.RecordBatch]:
+def _tries(chunks: Iterator[pa.RecordBatch], sieves: list[np.ndarray], longest: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n): sorted runs of phrases of two words or more with the counts of a task."""
     tries: dict[str, tuple[HatTrie, _Ids, list[str]]] = {}
 
@@ -221,11 +257,10 @@ def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: n
     for batch in chunks:
         for r in range(batch.num_rows):
             lang, words, ids = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(3)[r].values.to_numpy()
-            on, place = _pairs(lang, words, ids, word_bits, limits.sieve)
-            on[on] = _holds(pair_bits, place[on])
-            for at in range(0, len(on), limits.part):
-                used = np.flatnonzero(on[at:at + limits.part]) + at
-                if not len(used):
+            on = _going(lang, words, ids, sieves, limits.sieve)[0][:longest]
+            for at in range(0, len(ids) - 1, limits.part):
+                own = [x[at:at + limits.part] for x in on]
+                if not own[1].any():
                     continue
                 to = min(len(ids), at + limits.part + longest)
                 used = np.unique(ids[at:to])
@@ -239,10 +274,7 @@ def _tries(chunks: Iterator[pa.RecordBatch], word_bits: np.ndarray, pair_bits: n
                     number[u] = known[words[u - 1]]
                     if number[u] == len(names):
                         names.append(words[u - 1])
-                own = on[at:to].copy()
-                first, rest = _paths(number[ids[at:to]], own, longest)
-                n = int(own[:limits.part].sum())  # places of the next part only lengthen these
-                for f, x in zip(first[:n], rest[:n]):
+                for f, x in zip(*_paths(number[ids[at:to]], own)):
                     trie.add(f, x)
                 over = sum(map(weight, tries)) - limits.held
                 for big in sorted(tries, key=weight, reverse=True) if over > 0 else ():
@@ -277,18 +309,28 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, limits: Li
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     words = words.where(F.col("f") >= least)
     low = F.lit((1 << limits.sieve) - 1)
-    word_bits = spark.sparkContext.broadcast(_bitmap(words.select(F.xxhash64("lang", "phrase").bitwiseAND(low).alias("place")), limits.sieve))
-
-    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                on, place = _pairs(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(3)[r].values.to_numpy(), word_bits.value, limits.sieve)
-                at, n = np.unique(place[on], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["place", "n"])
+    size = min(limits.sieve, limits.range)
+    place = F.xxhash64("lang", "phrase").bitwiseAND(low)
+    first = words.select(F.shiftright(place, 6).alias("first"), F.expr("shiftleft(1L, cast(xxhash64(lang, phrase) & 63 as int))").alias("bit")).groupBy("first").agg(F.array(F.bit_or("bit")).alias("mask"))
+    sieves = [spark.sparkContext.broadcast(_bitmap(first, limits.sieve))]
+    for _ in range(longest - 1):
+        so_far = list(sieves)
+
+        def counters(batches: Iterator[pa.RecordBatch], held=so_far) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    on, place = _going(batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(3)[r].values.to_numpy(), [b.value for b in held], limits.sieve)
+                    at, n = np.unique(place[on[-1]], return_counts=True)
+                    parts, begin = np.unique(at >> np.uint64(size), return_index=True)
+                    ends = np.append(begin, len(at)).astype(np.int32)
+                    # A counter needs to tell `least` from less only.
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(parts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array((at & np.uint64((1 << size) - 1)).astype(np.int32))),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.minimum(n, least).astype(np.int32)))], ["part", "place", "n"])
 
-    pairs = chunks.mapInArrow(counters, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    pair_bits = spark.sparkContext.broadcast(_bitmap(pairs.where(F.col("n") >= least), limits.sieve))
-    runs = saved(chunks.mapInArrow(lambda b: _tries(b, word_bits.value, pair_bits.value, longest, limits), "lang string, phrase string, n bigint"),
+        sent = chunks.mapInArrow(counters, "part bigint, place array<int>, n array<int>")
+        sieves.append(spark.sparkContext.broadcast(_bitmap(_counted(sent, least, limits), limits.sieve)))
+    runs = saved(chunks.mapInArrow(lambda b: _tries(b, [x.value for x in sieves], longest, limits), "lang string, phrase string, n bigint"),
                  "collocation-runs")
     merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return words.unionByName(merged), totals
