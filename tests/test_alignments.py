@@ -188,3 +188,13 @@ def test_lookup_of_repeated_keys(spark):
     asks = spark.createDataFrame([(1, 1, 4090, 4100), (1, 1, 4090, 4100), (2, 1, 0, 12000)], "k long, ref_id long, left long, right long")
     got = {r.k: r.seq for r in intervals.lookup_sequence(asks, intervals.ref_chunks(main), "k").collect()}
     assert got == {1: ("ACGT" * 3000)[4090:4100], 2: "ACGT" * 3000}
+
+
+def test_transcripts_that_break_the_rules(spark, tmp_path):
+    from varloom.sources import files
+
+    (tmp_path / "t.align").write_text(
+        "# good\n>good\n\tr1\t+\t11\t39=\n\tr1\t+\t62\t27=\n>back\n\tr3\t-\t120\t10=\n\tr3\t-\t72\t30=\nAAA\tr3\t-\t52\t8=\n"
+        ">two refs\n\tr1\t+\t1\t4=\n\tr2\t+\t9\t4=\n>strands\n\tr1\t+\t1\t4=\n\tr1\t-\t9\t4=\n>order\n\tr1\t+\t50\t4=\n\tr1\t+\t9\t4=\n>order-\n\tr1\t-\t9\t4=\n\tr1\t-\t50\t4=\n")
+    got = {r.name: r.problem for r in files.bad_transcripts(files.read_align(spark, str(tmp_path / "t.align"))).collect()}
+    assert got == {"back": "unaligned inside", "two": "references", "strands": "strands", "order": "order", "order-": "order"}

@@ -17,7 +17,7 @@ from varloom.functions import sequences as S
 def cigar_to_blocks(aligns: DataFrame) -> DataFrame:
     """aligns(align_id, cigar, seqs array<string>, src_ref, src_start, strand, trg_ref, trg_start) -> blocks.
 
-    M counts as equal; lengths of zero go. src_start is the source's smallest coordinate on '+',
+    M counts as equal (alignments.verified_blocks splits it by the texts); lengths of zero go. src_start is the source's smallest coordinate on '+',
     its largest on '-'.
     """
     runs = F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDX=]"), F.lit(1))
@@ -41,15 +41,6 @@ def cigar_to_blocks(aligns: DataFrame) -> DataFrame:
         "strand", F.when(F.col("op").isin("X", "I"), F.get("seqs", F.col("k"))).alias("ins"))
 
 
-def split_matches(pairs: DataFrame) -> DataFrame:
-    """(align_id, idx, op, n) runs of '=' and 'X' from (align_id, a, b): texts of one length."""
-    rows = pairs.select("align_id", F.posexplode(F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: x == y)).alias("i", "same"))
-    w = Window.partitionBy("align_id").orderBy("i")
-    rows = rows.withColumn("new", F.coalesce((F.lag("same").over(w) != F.col("same")).cast("int"), F.lit(1)))
-    rows = rows.withColumn("idx", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return rows.groupBy("align_id", "idx").agg(F.when(F.first("same"), "=").otherwise("X").alias("op"), F.count("*").alias("n"))
-
-
 def blocks_to_cigar(blocks: DataFrame) -> DataFrame:
     """(align_id, cigar): '=', 'X', and D before I in one gap."""
     n = F.greatest(F.col("trg_right") - F.col("trg_left"), F.col("src_right") - F.col("src_left"))
