@@ -45,3 +45,47 @@ def test_lines_of_every_kind(spark, tmp_path):
     more = [lines[0], ["", "", "", f"CA{first}"], ["r1:g.4T>A", "", "", f"CA{first}"]]
     again, table, _, _ = run(spark, tmp_path, more, new, ids)
     assert again == [got[0], got[0], ["ERROR", "IdentifierMismatch"]] and table.count() == new.count()
+
+
+VCF = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO", "1\t1\t.\tA\tC\t.\t.\ta", "chr01\t1\tx;CA1\tA\tC\t.\t.\tb", "1\t7\tq\tGCA\tG\t.\t.\tc", "1\t9\t.\tACA\tA\t.\t.\td",
+       "1\t2\t.\tC\t.\t.\t.\te", "1\t2\t.\tC\tA,G\t.\t.\tf", "1\t2\t.\tc\tA\t.\t.\tg", "23\t2\t.\tC\tA\t.\t.\th", "1\t2\t.\tG\tA\t.\t.\ti", "X\t2\t.\tC\tA\t.\t.\tj", "1\t2\t.\tC", "",
+       "M\t1\t.\tA\tC\t.\t.\tm", "2\t1\t.\tC\tA\t.\t.\tn", "2\t25\t.\tA\tG\t.\t.\to", "1\t900000\t.\tA\tC\t.\t.\tp", "1\t0\t.\tA\tC\t.\t.\tq", "1\t1\t.\tA\tC\t.\t.\ta"]
+
+
+def annotated(spark, tmp_path, assembly, spec, register, variants=None, known=None, lines=VCF):
+    path = tmp_path / f"v{len(list(tmp_path.iterdir()))}.vcf"
+    path.write_text("".join(x + "\n" for x in lines))
+    chunks = intervals.ref_chunks(spark.createDataFrame([(1, R), (50, R[::-1].translate(str.maketrans("ACGT", "TGCA")))], "ref_id long, seq string"))
+    blocks = spark.createDataFrame([(50, 0, 20, 1, len(R) - 20, len(R), "-", "=")], "trg_ref long, trg_left long, trg_right long, src_ref long, src_left long, src_right long, strand string, op string")
+    assemblies = spark.createDataFrame([("GRCh37", 1, 1), ("GRCh37", 2, 50), ("GRCh38", 25, 1)], "build string, chrom int, ref_id long")
+    variants = variants or spark.createDataFrame([], registry.TABLES["variants"])
+    known = known or spark.createDataFrame([], registry.TABLES["identifiers"])
+    table, out = bulk.annotate_vcf(files.read_lines(spark, str(path)), assembly, spec, assemblies, chunks, blocks, variants, known, register)
+    out = out.orderBy("line").collect()
+    assert len(out) == len(lines)
+    same = [i for i, (x, r) in enumerate(zip(lines, out)) if x == r.text]
+    return table, [r.text.split("\t")[2] if i not in same else None for i, r in enumerate(out)], [r.error for r in out]
+
+
+def test_annotate_vcf(spark, tmp_path):
+    table, ids, errors = annotated(spark, tmp_path, "GRCh37", "CA", True)
+    # A>C at 1 and the deletion of CA, in two forms, a reference letter, and A>C on the turned reference.
+    a, b, e, n = ids[2], ids[5], ids[6], ids[15]
+    assert len({a, b, e, n}) == 4 and None not in (a, b, e, n) and table.count() == 4
+    assert ids == [None, None, a, f"x;CA1,{a}" if a != "CA1" else None, f"q,{b}", b, e, *[None] * 7, a, n, None, None, None, a]
+    assert [x for x in errors if x] == ["VcfParsingError"] * 3 + ["IncorrectReferenceAllele"] + ["VcfParsingError"] * 2 + ["NoAlignment", "UnknownReferenceSequence", "UnknownReferenceSequence"]
+    # Nothing is registered without the flag; hg19 has no mitochondrial genome.
+    keys = {f"CA{r.ca_id}": r.variant_key for r in table.collect()}
+    known = spark.createDataFrame([(keys[a], "dbSNP", 12, None), (keys[a], "dbSNP", 3, None), (keys[a], "COSMIC", 9, "noncoding,active"), (keys[a], "ClinVarVariant", 5, "RCV000000007,RCV000000002"),
+                                   (keys[b], "gnomAD", None, "1-7-GCA-G"), (keys[e], "ClinVarAllele", 4, "name")], registry.TABLES["identifiers"])
+    same, ids, errors = annotated(spark, tmp_path, "hg19", "dbSNP.rs+COSMIC.id+ClinVar.RCV+gnomAD.id", False, table.where(F.col("ca_id") != int(e[2:])), known)
+    text = "rs3,rs12,COSN9,RCV000000002,RCV000000007"
+    assert ids == [None, None, text, f"x;CA1,{text}", "q,1-7-GCA-G", "1-7-GCA-G", *[None] * 13, text] and same.count() == 3
+    assert errors[14] == "VcfParsingError"
+    assert annotated(spark, tmp_path, "hg19", "CA", False, lines=VCF[:2])[2] == [None, None]
+    for bad in (("hg17", "CA"), ("hg19", "CA+rs")):
+        try:
+            annotated(spark, tmp_path, *bad, False)
+            raise AssertionError
+        except ValueError:
+            pass

@@ -41,10 +41,16 @@ def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "plain", sf_dir, lambda: _raw_variants(spark, sf_dir))
 
 
-def _raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chromosome_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kinds of changes, all of them on the texts 1 to 22, which stand for chromosomes."""
+    return _raw_variants(spark, sf_dir, F.col("l_partkey") % 22 + 1)
+
+
+def _raw_variants(spark: SparkSession, sf_dir: str, pick=None) -> DataFrame:
     seqs = ref_seq(spark, sf_dir).withColumn("n", F.length("seq")).where(F.col("n") >= 32)
-    docs = table(spark, sf_dir, "documents").count()
-    rows = table(spark, sf_dir, "lineitem").withColumn("ref_id", F.col("l_partkey") % docs).repartition("ref_id").join(seqs, "ref_id")
+    if pick is None:
+        pick = F.col("l_partkey") % table(spark, sf_dir, "documents").count()
+    rows = table(spark, sf_dir, "lineitem").withColumn("ref_id", pick).repartition("ref_id").join(seqs, "ref_id")
     pos = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % (F.col("n") - 12)
     k = F.col("l_linenumber") % 4
     return rows.select(
@@ -136,15 +142,20 @@ def rot_left_sql(s: str, k: str) -> str:
     return f"(substr({s}, {m} + 1) || substr({s}, 1, {m}))"
 
 
-CTES = {
-    "ref_seq": f"""select doc_id as ref_id,
-  translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') as seq from documents""",
-    "raw": """select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 as row_id, ref_id, seq,
+def raw_sql(pick: str) -> str:
+    """SQL of raw_variants, the text of a line chosen by `pick`."""
+    return f"""select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 as row_id, ref_id, seq,
   (l_orderkey * 7 + l_linenumber) % (length(seq) - 12) as "left",
   (l_orderkey * 7 + l_linenumber) % (length(seq) - 12) + l_linenumber % 4 as "right",
   substr(seq, (l_orderkey * 7 + l_linenumber) % (length(seq) - 12) + 1, l_linenumber % 4) as ref,
   substr(seq, l_orderkey % (length(seq) - 12) + 1, l_suppkey % 4) as alt
-  from lineitem join ref_seq on ref_id = l_partkey % (select count(*) from documents) where length(seq) >= 32""",
+  from lineitem join ref_seq on ref_id = {pick} where length(seq) >= 32"""
+
+
+CTES = {
+    "ref_seq": f"""select doc_id as ref_id,
+  translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') as seq from documents""",
+    "raw": raw_sql("l_partkey % (select count(*) from documents)"),
     "trim0": f"""select *, case when ref = alt then 0 else {lcp_sql('reverse(ref)', 'reverse(alt)')} end as suffix from raw""",
     "trim1": f"""select *, case when ref = alt then 0 else
   {lcp_sql('substr(ref, 1, length(ref) - suffix)', 'substr(alt, 1, length(alt) - suffix)')} end as prefix from trim0""",
@@ -189,8 +200,8 @@ NEEDS = {"raw": ["ref_seq"], "trim0": ["raw"], "trim1": ["trim0"], "trim": ["tri
          "norm": ["cat"], "perfect": ["blocks"], "exons": ["exon_lengths"]}
 
 
-def with_ctes(names: list[str], query: str) -> str:
-    """The query after WITH for the named tables and those they need."""
+def with_ctes(names: list[str], query: str, **other: str) -> str:
+    """The query after WITH for the named tables and those they need; `other` gives texts of its own to some of them."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -202,4 +213,4 @@ def with_ctes(names: list[str], query: str) -> str:
     for n in names:
         visit(n)
     # A query that begins with a comma adds tables of its own.
-    return "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in order) + "\n" + query
+    return "with " + ",\n".join(f"{n} as ({(CTES | other)[n]})" for n in order) + "\n" + query

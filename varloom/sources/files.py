@@ -19,7 +19,7 @@ def _from(values: Column, at: int) -> Column:
     return F.slice(values, F.lit(at), F.size(values))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): a line's number grows within each file."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
@@ -165,7 +165,7 @@ def read_variant_tsv(spark: SparkSession, path: str, spec: str) -> DataFrame:
     """(line, value, columns..., error): declared columns by their names, dots as underscores."""
     cols = parse_bulk_spec(spec)
     f = F.split("value", "\t", -1)
-    rows = _lines(spark, path).where("value <> ''")
+    rows = read_lines(spark, path).where("value <> ''")
     wrong = F.when(F.size(f) != len(cols), "IncorrectNumberOfColumns")
     return rows.select("line", "value", *[F.when(wrong.isNull(), F.nullif(F.get(f, F.lit(i)), F.lit(""))).alias(c.replace(".", "_"))
                                           for i, c in enumerate(cols) if c], wrong.alias("error"))
@@ -176,7 +176,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
     The header's contigs name accessions; it is a few lines and comes from the same files.
     """
-    rows = _lines(spark, path)
+    rows = read_lines(spark, path)
     head = rows.where(F.col("value").startswith("##"))
     contig = head.where(F.col("value").startswith("##contig=")).select(
         F.regexp_extract("value", r"[<,]ID=([^,>]+)", 1).alias("chrom"), F.nullif(F.regexp_extract("value", r"[<,]assembly=([^,>]+)", 1), F.lit("")).alias("accession"))
@@ -197,12 +197,45 @@ def explode_vcf(rows: DataFrame) -> DataFrame:
 
 def read_vcf_simple(spark: SparkSession, path: str, assembly: str) -> DataFrame:
     """(line, text, chrom, assembly, left, right, ref, alt, ids, error): one alternative of ACGT only, other rows are errors."""
-    rows = explode_vcf(_lines(spark, path))
+    rows = explode_vcf(read_lines(spark, path))
     n = F.size(F.split(F.get(F.split("text", "\t"), F.lit(4)), ","))
     bad = F.when(n > 1, "MultiAllelic").when(~F.col("ref").rlike("^[ACGT]+$") | ~F.col("alt").rlike("^[ACGT]+$"), "IncorrectSequence")
     return rows.where("alt_no = 0").withColumn("assembly", F.lit(assembly)).withColumn("error", bad).drop("alt_no")
 
 
+def parse_vcf_lines(lines: DataFrame) -> DataFrame:
+    """(line, chrom, left, right, ref, alt, error) of the body lines of (line, text), strictly: one alternative, in capitals.
+
+    chrom is a number (X 23, Y 24, M 25), with or without `chr`; '.' as alternative stands for the reference. What can't be read has error
+    VcfParsingError: missing columns, other chromosomes or letters, several alternatives. Header lines (`#`), empty and null ones give no row.
+    """
+    f = F.split("text", "\t", -1)
+    body = lines.where(~F.col("text").startswith("#") & (F.col("text") != "")).select("line", f.alias("f"))
+    field = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
+    name = F.regexp_extract(field(0), "^(?:chr)?([0-9]{1,2}|X|Y|M|MT)$", 1)
+    chrom = F.when(name == "X", 23).when(name == "Y", 24).when(name.isin("M", "MT"), 25).otherwise(F.when(name.try_cast("int").between(1, 22), name.try_cast("int")))
+    alt = F.when(field(4) == ".", field(3)).otherwise(field(4))
+    pos = F.when(field(1).rlike("^[0-9]{1,10}$"), field(1).try_cast("long"))
+    ok = chrom.isNotNull() & pos.isNotNull() & (field(2) != "") & field(3).rlike("^[ACGT]+$") & alt.rlike("^[ACGT]+$")
+    keep = lambda x: F.when(ok, x)
+    return body.select("line", keep(chrom).alias("chrom"), keep(pos - 1).alias("left"), keep(pos - 1 + F.length(field(3))).alias("right"), keep(field(3)).alias("ref"),
+                       keep(alt).alias("alt"), F.when(~ok, "VcfParsingError").alias("error"))
+
+
+def with_new_vcf_ids(lines: DataFrame, new: DataFrame) -> DataFrame:
+    """(line, text, error) of lines(line, text): ids of new(line, new array<string>, error) appended to the ID column, a dot replaced.
+
+    Ids that stand there, apart by commas or semicolons, are left as they are and not repeated. Lines without new ids do not change.
+    """
+    got = lines.join(new, "line", "left")
+    f = F.split("text", "\t", -1)
+    old = F.get(f, F.lit(2))
+    more = F.array_except("new", F.split(old, "[,;]"))
+    joined = F.concat_ws(",", F.when(old != ".", old), F.when(F.size(more) > 0, F.array_join(more, ",")))
+    text = F.array_join(F.concat(F.slice(f, 1, 2), F.array(joined), _from(f, 4)), "\t")
+    return got.select("line", F.when(F.size("new") > 0, text).otherwise(F.col("text")).alias("text"), "error")
+
+
 def merged_ids(old: Column, new: Column) -> Column:
     """A VCF ID field with new ids behind the kept ones, each once; '.' when there is none."""
     kept = F.filter(F.split(old, "[,;]"), lambda x: (x != ".") & (x != ""))
