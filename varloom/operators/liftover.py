@@ -101,6 +101,18 @@ def normal_to_main(forms: DataFrame, blocks: DataFrame) -> DataFrame:
         ("length_change", F.col("length_change")), ("inserted", text["inserted"]), ("original", text["original"]))], error.alias("error"))
 
 
+def normal_from_main(forms: DataFrame, blocks: DataFrame, builds: DataFrame, build: str) -> DataFrame:
+    """Normal forms(item_id, ref_id, normal form) of the main reference on the one reference of a build where one perfect block holds them.
+
+    builds(ref_id, build). The form is turned on '-'. Errors as in normal_to_main: NoAlignment, AmbiguousAlignment.
+    """
+    own = perfect(blocks).join(builds.where(F.col("build") == build).select(F.col("ref_id").alias("trg_ref")).distinct(), "trg_ref", "left_semi")
+    back = own.select(F.col("src_ref").alias("trg_ref"), F.col("src_left").alias("trg_left"), F.col("src_right").alias("trg_right"), F.col("trg_ref").alias("src_ref"),
+                      F.col("trg_left").alias("src_left"), F.col("trg_right").alias("src_right"), "strand")
+    return normal_to_main(forms, back).select("item_id", F.col("main_ref").alias("ref_id"), F.col("main_left").alias("n_left"), F.col("main_right").alias("n_right"),
+                                              "category", "length_change", "inserted", "original", "error")
+
+
 def lift_to_build(items: DataFrame, blocks: DataFrame, builds: DataFrame, build: str) -> DataFrame:
     """map_from_main restricted to the references of one build; unique, else an error."""
     want = builds.where(F.col("build") == build).select(F.col("ref_id").alias("trg_ref"))

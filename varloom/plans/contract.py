@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import contract_alignments, contract_bulk, contract_core, contract_effects, contract_lookups, contract_registry, contract_text  # noqa: F401
+    from . import contract_alignments, contract_bulk, contract_core, contract_effects, contract_lookups, contract_registry, contract_sites, contract_text  # noqa: F401
