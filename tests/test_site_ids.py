@@ -77,3 +77,49 @@ def test_chrom_pos_ids_and_builds(spark):
     assert [got[i] for i in range(len(rows))] == want
     empty = site_ids.chrom_pos_ids(back.withColumn("chrom", F.lit(1)).limit(0), chunks)
     assert empty.count() == 0
+
+
+def test_expressions_of_transcripts(spark):
+    """Every letter's name against a walk over exons and introns; several changes, places outside, unknown references."""
+    from varloom.operators import hgvs
+
+    exons = [(0, 9), (14, 30), (33, 50), (51, 70)]  # introns of 5, 3 and 1 letters
+    spliced = 0
+    names, table = {}, []
+    for i, (a, b) in enumerate(exons):
+        table.append((1, i, a, b, spliced, spliced + b - a))
+        for u in range(a, b):
+            spliced += 1
+            names[u + 1] = (spliced, "")
+        if i + 1 < len(exons):
+            gap = exons[i + 1][0] - b
+            for j in range(1, gap + 1):  # the j-th letter behind the exon stands gap - j + 1 before the next one
+                names[b + j] = (spliced + 1, f"-{gap - j + 1}") if gap - j <= j else (spliced, f"+{j}")
+    table += [(2, i, a, b, s, t) for _, i, a, b, s, t in table]
+
+    def name(p, left, right):
+        at, off = names[p]
+        if left is None:
+            return f"{at}{off}"
+        return (f"-{left - at + 1}" if at <= left else f"{at - left}" if at <= right else f"*{at - right}") + off
+
+    cols = "row_id long, ref_id long, n_left long, n_right long, category int, length_change long, inserted string, original string"
+    rows, want = [], {}
+    for ref, cds in ((1, (6, 40)), (2, (None, None))):
+        head = f"t{ref}:{'c' if ref == 1 else 'n'}."
+        for p in range(1, 71):
+            i = len(rows)
+            rows.append((i, ref, p - 1, p, 0, 0, "G", "A"))
+            want[i] = head + name(p, *cds) + "A>G"
+            rows.append((i + 1, ref, p, p, 0, 0, "TT", ""))
+            want[i + 1] = head + f"{name(p, *cds)}_{name(p + 1, *cds)}insTT" if p < 70 else None
+            rows.append((i + 2, ref, p - 1, min(p + 2, 70), 0, 0, "", "A" * (min(p + 2, 70) - p + 1)))
+            want[i + 2] = head + (f"{name(p, *cds)}_{name(p + 2, *cds)}del" if p < 69 else f"{name(p, *cds)}_{name(70, *cds)}del" if p < 70 else f"{name(70, *cds)}del")
+    more = [(1000, 1, 0, 0, 0, 0, "T", ""), (1001, 7, 3, 4, 0, 0, "G", "A"), (1002, 1, 20, 21, 0, 0, "G", "A"), (1002, 1, 3, 4, 0, 0, "G", "C")]
+    want |= {1000: None, 1001: None, 1002: f"t1:c.[{name(4, 6, 40)}C>G;{name(21, 6, 40)}A>G]"}
+    transcripts = spark.createDataFrame([(1, "t1", 6, 40), (2, "t2", None, None)], "ref_id long, ref_name string, cds_left long, cds_right long")
+    exon_table = spark.createDataFrame(table, "transcript long, n int, u_left long, u_right long, s_left long, s_right long")
+    got = hgvs.format_hgvs_spliced(spark.createDataFrame(rows + more, cols), exon_table, transcripts).collect()
+    assert {r.row_id: r.hgvs for r in got} == want
+    assert {r.row_id: r.error for r in got if r.error} == {1000: "OutOfReference", 1001: "UnknownReferenceName"} | {i: "OutOfReference" for i, w in want.items() if w is None and i < 1000}
+    assert hgvs.format_hgvs_spliced(spark.createDataFrame([], cols), exon_table, transcripts).count() == 0

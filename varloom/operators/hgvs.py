@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import sequences as S
+from varloom.session import saved
 
+from .liftover import to_spliced
 from .normalize import DUPLICATION, right_aligned
 
 POSITION = r"([-*]?[0-9]+)([+-][0-9]+)?"
@@ -111,6 +113,44 @@ def format_hgvs_genomic(df: DataFrame, kind: Column | str = "g") -> DataFrame:
     return one.select("row_id", "ref_id", F.concat(F.col("ref_id").cast("string"), F.lit(":"), "kind", F.lit("."), text).alias("hgvs"))
 
 
+def format_hgvs_spliced(df: DataFrame, exons: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(row_id, ref_id, hgvs, error): normal forms in the unspliced space of transcripts, as c. or n. expressions with intron offsets.
+
+    df(row_id, ref_id, normal form), distinct changes of a row in one text; exons(transcript, n, u_left, u_right, s_left, s_right);
+    transcripts(ref_id, ref_name, cds_left, cds_right) in spliced places, null ends for n. A letter of an intron is named from the nearer exon,
+    from the later one when it stands in the middle. -n lies before the coding region, *n behind it. Errors: UnknownReferenceName, and
+    OutOfReference where a letter to be named lies outside the transcript.
+    """
+    rows = right_aligned(df)
+    k, l, r = F.col("length_change"), F.col("p_left"), F.col("p_right")
+    nr, na = F.length("p_ref"), F.length("p_alt")
+    dup = (F.col("category") == DUPLICATION) & (F.col("n_right") - F.col("n_left") >= k)
+    first = F.when(dup, F.col("n_right") - k + 1).when(nr == 0, l).otherwise(l + 1)
+    last = F.when(dup, F.col("n_right")).when(nr == 0, r + 1).otherwise(r)
+    tail = F.when(dup, "dup").when((nr == 1) & (na == 1), F.concat("p_ref", F.when(F.col("p_ref") == F.col("p_alt"), "=").otherwise(F.concat(F.lit(">"), "p_alt")))) \
+        .when(nr == 0, F.concat(F.lit("ins"), "p_alt")).otherwise(F.concat(F.lit("del"), F.when(na > 0, F.concat(F.lit("ins"), "p_alt")).otherwise(F.lit(""))))
+    change = F.struct("n_left", "n_right", tail.alias("tail"))
+    ends = F.array(F.struct(F.lit(0).alias("side"), first.alias("u")), F.struct(F.lit(1).alias("side"), last.alias("u")))
+    points = rows.select("row_id", "ref_id", change.alias("change"), F.explode(ends).alias("e")).select("row_id", "ref_id", "change", "e.*").distinct()
+    points = saved(points.withColumn("point_id", F.struct("row_id", "ref_id", "change", "side")), "points")
+    named = to_spliced(points.select("point_id", F.col("ref_id").alias("transcript"), "u", F.lit(True).alias("is_end")), exons)
+    got = points.join(named, "point_id", "left").join(transcripts.select("ref_id", "ref_name", "cds_left", "cds_right"), "ref_id", "left")
+    at, a, b = F.col("pos") + F.col("neg").cast("int"), F.col("cds_left"), F.col("cds_right")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    coding = a.isNotNull() & b.isNotNull()
+    number = F.when(~coding, at.cast("string")).when(at <= a, text("-", a - at + 1)).when(at <= b, (at - a).cast("string")).otherwise(text("*", at - b))
+    number = F.concat(number, F.when(F.col("neg"), text("-", F.col("off") + 1)).when(F.col("off") > 0, text("+", F.col("off"))).otherwise(F.lit("")))
+    one = got.groupBy("row_id", "ref_id", "change").agg(F.max("ref_name").alias("ref_name"), F.max(F.when(coding, "c").otherwise("n")).alias("kind"), F.min("u").alias("u0"), F.max("u").alias("u1"),
+                                                       F.max(F.when(F.col("side") == 0, number)).alias("x"), F.max(F.when(F.col("side") == 1, number)).alias("y"))
+    whole = F.concat(F.when(F.col("u0") == F.col("u1"), F.col("x")).otherwise(F.concat_ws("_", "x", "y")), "change.tail")
+    one = one.withColumn("text", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), whole))
+    each = one.groupBy("row_id", "ref_id").agg(F.max("ref_name").alias("ref_name"), F.max("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("change", "text"))).alias("c"))
+    error = F.when(F.col("ref_name").isNull(), "UnknownReferenceName").when(F.exists("c", lambda x: x["text"].isNull()), "OutOfReference")
+    joined = F.array_join(F.transform("c", lambda x: x["text"]), ";")
+    hgvs = F.concat("ref_name", F.lit(":"), "kind", F.lit("."), F.when(F.size("c") == 1, joined).otherwise(F.concat(F.lit("["), joined, F.lit("]"))))
+    return each.select("row_id", "ref_id", F.when(error.isNull(), hgvs).alias("hgvs"), error.alias("error"))
+
+
 def format_hgvs_protein(df: DataFrame) -> DataFrame:
     """Adds `hgvs` for plain protein changes (p_left, p_right, p_ref, p_alt, before, after, length).
 
