@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .normalize import NORMAL, definition_order
+from .normalize import NORMAL, definition_order, variant_key
 
 DEFINITION = ["ref_id", *NORMAL]
+KEY = [c for c in DEFINITION if c != "original"]
 TABLES = {"variants": "variant_key string, ca_id long, ref_id long, n_left long, n_right long, category int, "
                       "length_change long, inserted string, original string",
           "identifiers": "variant_key string, id_type string, id long, attrs string"}
@@ -21,22 +22,39 @@ TABLES = {"variants": "variant_key string, ca_id long, ref_id long, n_left long,
 def assign_ids(new: DataFrame, start: int, order: list[Column]) -> DataFrame:
     """ca_id from start + 1 on in the given order, without a window over one partition.
 
-    Rows are range-partitioned and sorted; the counts of the partitions (one number each) are summed
-    up on the driver, and each partition numbers its own rows.
+    Rows are range-partitioned, sorted and written with their place in their partition; the counts of the
+    partitions (one number each) are summed up on the driver and added to the places.
     """
+    return _numbered(new.repartitionByRange(*order), start, order)
+
+
+def _numbered(ranged: DataFrame, start: int, order: list[Column]) -> DataFrame:
     from varloom.session import saved
 
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = saved(ranged.withColumn("__p", F.spark_partition_id()), "new-variants")
-    counts = sorted((r["__p"], r["n"]) for r in parts.groupBy("__p").agg(F.count("*").alias("n")).collect())
+    # The upper bits of the id are the partition, the lower 33 the row's place in it.
+    parts = saved(ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "new-variants")
+    p = F.shiftright("__at", 33)
+    counts = sorted((r["__p"], r["n"]) for r in parts.groupBy(p.alias("__p")).agg(F.count("*").alias("n")).collect())
     offsets, at = [], start
-    for p, n in counts:
-        offsets.append((p, at))
+    for q, n in counts:
+        offsets.append((q, at))
         at += n
     # A row a partition: their number is that of the shuffle partitions.
-    first = new.sparkSession.createDataFrame(offsets, "__p int, __first long")
-    w = Window.partitionBy("__p").orderBy(*order)
-    return parts.join(F.broadcast(first), "__p").withColumn("ca_id", F.col("__first") + F.row_number().over(w)).drop("__p", "__first")
+    first = parts.sparkSession.createDataFrame(offsets, "__p long, __first long")
+    place = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return parts.withColumn("__p", p).join(F.broadcast(first), "__p").withColumn("ca_id", F.col("__first") + place).drop("__p", "__first", "__at")
+
+
+def register_first(batch: DataFrame) -> DataFrame:
+    """The variants table of the first batch(row_id, definition), in which no row brings an id; as register gives it.
+
+    Equal definitions meet where they are numbered: ranges of reference and place hold all rows of a definition, so that rows
+    are dealt once, and the table is written once, without its keys; those are made of the definition when they are asked for.
+    """
+    ranged = batch.select("row_id", *DEFINITION).repartitionByRange("ref_id", "n_left")
+    # The original letters are the reference's own, the same in all rows of a definition.
+    one = ranged.groupBy(*KEY).agg(F.min_by("original", "row_id").alias("original"))
+    return _numbered(one, 0, definition_order()).select(variant_key().alias("variant_key"), "ca_id", *DEFINITION)
 
 
 def merge_batch(batch: DataFrame) -> DataFrame:
@@ -74,10 +92,14 @@ def upsert(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: Dat
     wrong = F.coalesce("clash", F.when(F.col("given_id").isNotNull() & (F.col("given_id") != F.col("ca_id")), "IdentifierMismatch"))
     rows = rows.withColumn("error", wrong)
     answer = rows.select("row_id", F.when(F.col("error").isNull(), F.col("ca_id")).alias("ca_id"), "error")
-    added = rows.where(F.col("error").isNull()).join(ids, "row_id").select("variant_key", "id_type", "id", "attrs", "row_id")
+    return new, new_identifiers(rows.where(F.col("error").isNull()).select("row_id", "variant_key"), ids, known_ids), answer
+
+
+def new_identifiers(rows: DataFrame, ids: DataFrame, known_ids: DataFrame) -> DataFrame:
+    """The identifiers that ids(row_id, id_type, id, attrs) add to the variants of rows(row_id, variant_key): the first writer's attributes."""
+    added = rows.join(ids, "row_id").select("variant_key", "id_type", "id", "attrs", "row_id")
     first = added.groupBy("variant_key", "id_type", "id").agg(F.min_by("attrs", "row_id").alias("attrs"))
-    extra = first.join(known_ids, ["variant_key", "id_type", "id"], "left_anti")
-    return new, extra.select("variant_key", "id_type", "id", "attrs"), answer
+    return first.join(known_ids, ["variant_key", "id_type", "id"], "left_anti").select("variant_key", "id_type", "id", "attrs")
 
 
 def register(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
