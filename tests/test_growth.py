@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from varloom import session
 from varloom.functions import sequences as S
 from varloom.operators import hgvs, intervals, lookups, normalize, registry
-from varloom.plans import contract_registry
+from varloom.plans import contract_registry, derived
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,8 @@ def test_expressions_are_matched_once(spark):
     assert plan.count("regexp_extract(") <= 6
     assert [(r["op"], r["pos1"], r["off1"], r["given"], r["alt"], r["n"]) for r in rows.orderBy("row_id").collect()] == [
         ("delins", "5", 0, "AC", "T", None), ("snv", "-5", 3, "A", "G", None), ("frameshift", "5", 0, "R", "G", None), ("repeat", "4", 0, None, "ACG", 12), (None, None, None, None, None, None)]
+
+
+def test_lines_of_22_texts_are_not_dealt_by_text(spark):
+    plan = derived.chromosome_variants(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(ref_id" not in plan
