@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from varloom import session
 from varloom.functions import sequences as S
-from varloom.operators import hgvs, intervals, lookups, normalize, registry
+from varloom.operators import consequences, hgvs, intervals, lookups, normalize, registry
 from varloom.plans import contract_registry, derived
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,55 @@ def test_expressions_are_matched_once(spark):
 def test_lines_of_22_texts_are_not_dealt_by_text(spark):
     plan = derived.chromosome_variants(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(ref_id" not in plan
+
+
+def test_codons_of_any_letters(spark):
+    """What a cast to a number would bear is no base."""
+    codes, letters = S.codon_table(), "ACGT0123+-. \n\tNé日"
+    rows = [a + b + c for a in letters for b in letters for c in letters] + ["", "ACGTA", "ACG012TTT"]
+    got = spark.createDataFrame([(r,) for r in rows], "s string").select("s", S.translate_codons(F.col("s"), tail=False).alias("p")).collect()
+    assert {r.s: r.p for r in got} == {s: "".join(codes.get(s[i:i + 3], "X") for i in range(0, len(s) - 2, 3)) for s in rows}
+
+
+def test_changes_meet_the_exons_near_them(spark):
+    """Against all pairs; exons and changes lie over the borders of bins."""
+    import random
+
+    rng = random.Random(8)
+    exons, mods, at = [], [], 0
+    for e in range(60):
+        to = at + rng.choice((20, 45, 300, 700))
+        exons.append((1, at, to, 1000 * e))
+        at = to + rng.choice((1, 15, 240))
+    for v in range(900):
+        left = rng.randint(0, at + 100)
+        mods.append((v, 1, left, left + rng.choice((0, 1, 2, 60, 600)), "A"))
+    mods.append((900, 2, 5, 6, "A"))
+    got = consequences.to_exonic(spark.createDataFrame(mods + mods[:5], "var_id long, transcript long, left long, right long, alt string"), spark.createDataFrame(exons, "transcript long, u_left long, u_right long, s_left long"))
+    want = {}
+    for v, t, left, right, _ in mods:
+        hit = [e for e in exons if e[0] == t and left < e[2] and right > e[1]]
+        own = [e[3] + left - e[1] for e in hit if left >= e[1] and right <= e[2]]
+        want[v] = ("exon", own[0]) if own else ("crossing" if hit else "intron", None)
+    rows = got.collect()
+    assert len(rows) == len(mods) and {r.var_id: (r.place, r.s_left if r.place == "exon" else None) for r in rows} == want and len(set(want.values())) > 100
+    assert "b_" in got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].splitlines()[0]
+
+
+def test_transcripts_are_read_once(spark, monkeypatch):
+    """However many variants a transcript has, its three frames are written once and its residues are taken from there."""
+    made, path = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: made.append(name) or path(spark, name))
+    tx = spark.createDataFrame([(1, "p1", "CC" + "ATGTTTCAGGGA" * 20 + "TAA" + "ACGTT" * 4, 2, 242, 0)], "transcript long, protein string, seq string, cds_left long, cds_right long, frame_offset int")
+    mods = spark.createDataFrame([(v, 1, 6 + v, 7 + v, "") for v in range(200)], "var_id long, transcript long, left long, right long, alt string")
+    exons = spark.createDataFrame([(1, 0, 265, 0)], "transcript long, u_left long, u_right long, s_left long")
+    rows = consequences.transcript_consequences(mods, exons, tx).collect()
+    assert made.count("reading-frames") == 1
+    seq = tx.first().seq
+    read = lambda s: "".join(S.codon_table()[s[i:i + 3]] for i in range(0, len(s) - 2, 3))
+    protein = read(seq[2:242])
+    for r in rows:
+        if r.changes:
+            (c,), cut = r.changes, seq[2:6 + r.var_id] + seq[7 + r.var_id:]
+            assert protein[:c.left] + c.alt + protein[c.right:] == read(cut).split("*")[0] and protein[c.left:c.right] == c.ref.split("*")[0][:c.right - c.left]
+    assert sum(map(bool, (r.changes for r in rows))) > 150
