@@ -144,3 +144,19 @@ def test_transcripts_are_read_once(spark, monkeypatch):
             (c,), cut = r.changes, seq[2:6 + r.var_id] + seq[7 + r.var_id:]
             assert protein[:c.left] + c.alt + protein[c.right:] == read(cut).split("*")[0] and protein[c.left:c.right] == c.ref.split("*")[0][:c.right - c.left]
     assert sum(map(bool, (r.changes for r in rows))) > 150
+
+
+def test_identifiers_are_dealt_as_lists(spark):
+    """A line's identifiers go as one row by line and as one by variant; the table is that of the general way."""
+    rows = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 250).cast("string").alias("variant_key"))
+    ids = spark.range(2000).select((F.col("id") % 700).alias("row_id"), F.element_at(F.array(F.lit("dbSNP"), F.lit("ClinVarAllele"), F.lit("ClinVarVariant")), (F.col("id") % 3 + 1).cast("int")).alias("id_type"),
+                                   (F.col("id") % 11).alias("id"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("attrs"))
+    # One row of each identifier of a line: of two, either may be the first.
+    ids = ids.dropDuplicates(["row_id", "id_type", "id"])
+    lists = ids.groupBy("row_id").agg(F.collect_list(F.struct("id_type", "id", "attrs")).alias("ids"))
+    got, want = registry.first_identifiers(rows, lists), registry.new_identifiers(rows, ids, contract_registry.empty(spark)[1])
+    assert got.count() == want.count() > 250 and got.exceptAll(want).count() == 0
+    assert {tuple(r) for r in derived.identifier_lists(spark, SF).select("row_id", F.explode("ids").alias("i")).select("row_id", "i.id_type", "i.id").collect()} == {
+        (r.row_id, r.id_type, r.id) for r in derived.identifiers(spark, SF).collect()}
+    plan = registry.first_identifiers(rows, derived.identifier_lists(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(variant_key" in plan and "id_type" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)

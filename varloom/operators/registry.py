@@ -102,6 +102,17 @@ def new_identifiers(rows: DataFrame, ids: DataFrame, known_ids: DataFrame) -> Da
     return first.join(known_ids, ["variant_key", "id_type", "id"], "left_anti").select("variant_key", "id_type", "id", "attrs")
 
 
+def first_identifiers(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The identifiers table of the first batch, as new_identifiers gives it where nothing stands.
+
+    rows(row_id, variant_key); lists(row_id, ids array<struct<id_type,id,attrs>>) has a row's identifiers together, so that they are
+    dealt as one row by line and as one by variant: ranges of keys hold a variant's lists, which are taken apart and compared there.
+    """
+    dealt = rows.join(lists, "row_id").select("variant_key", "row_id", "ids").repartition("variant_key")
+    each = dealt.select("variant_key", "row_id", F.explode("ids").alias("i")).select("variant_key", "row_id", "i.*")
+    return each.groupBy("variant_key", "id_type", "id").agg(F.min_by("attrs", "row_id").alias("attrs"))
+
+
 def register(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Upserts batch(row_id, variant_key, definition, given_id) with ids(row_id, id_type, id, attrs).
 
