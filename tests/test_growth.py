@@ -160,3 +160,16 @@ def test_identifiers_are_dealt_as_lists(spark):
         (r.row_id, r.id_type, r.id) for r in derived.identifiers(spark, SF).collect()}
     plan = registry.first_identifiers(rows, derived.identifier_lists(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(variant_key" in plan and "id_type" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_equal_texts_are_not_cut(spark, monkeypatch):
+    """Only unlike texts of several pieces are cut; the pieces are those that cutting everything leaves."""
+    from varloom.operators import alignments
+
+    rows = [(1, "=", "ACGT" * 10, "ACGT" * 10), (2, "X", "A", "A"), (3, "M", "A" * 300, "A" * 299 + "C"), (4, "M", "A" * 256, "C" + "A" * 255), (5, "=", "A" * 900, "A" * 900)]
+    df = spark.createDataFrame(rows, "align_id long, op string, a string, b string").withColumn("at", F.lit(0).cast("long"))
+    want = alignments._cut(df, ["align_id", "op"]).where((F.col("a") != F.col("b")) | (F.col("op") == "X")).collect()
+    cut, seen = alignments._cut, []
+    monkeypatch.setattr(alignments, "_cut", lambda rows, keep: seen.append([r.align_id for r in rows.collect()]) or cut(rows, keep))
+    got = alignments._unlike_pieces(df, ["align_id", "op"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and seen == [[3]]

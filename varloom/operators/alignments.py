@@ -29,6 +29,14 @@ def _cut(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows
 
 
+def _unlike_pieces(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The pieces that differ, and those of 'X'; equal texts go before they are cut, and texts of one piece are that piece."""
+    unlike = (F.col("a") != F.col("b")) | (F.col("op") == "X")
+    one = F.length("a") <= PIECES[-1]
+    rows = rows.where(unlike)
+    return rows.where(one).select(*keep, "at", "a", "b").unionByName(_cut(rows.where(~one), keep).where(unlike))
+
+
 def _differing_runs(a: Column, b: Column) -> Column:
     """array<struct<l,r>>: the runs of places where two short texts of one length differ."""
     kind = "array<struct<l:int,r:int>>"
@@ -60,7 +68,8 @@ def verified_blocks(aligns: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = lambda skip: F.aggregate("steps", F.lit(0).cast("long"), lambda a, e: a + F.when(e["op"] == skip, 0).otherwise(e["n"]))
     error = F.when(~F.col("cigar").rlike("^([0-9]+[MIDX=])*$"), "UnsupportedCigar") \
         .when((total("I") != F.length("src_seq")) | (total("D") != F.length("trg_seq")), "WrongLength")
-    df = df.withColumn("error", error)
+    # Written with their faults, so that those who give the rows are not run again for each use.
+    df = saved(df.withColumn("error", error), "alignments")
     early = df.where(F.col("error").isNotNull()).select("align_id", "error")
     fine = df.where(F.col("error").isNull())
     place = F.struct("idx", "op", "n", "t", "s")
@@ -75,7 +84,7 @@ def verified_blocks(aligns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("e.op") != "D", F.substring("trg", (F.col("e.t") + 1).cast("int"), F.col("e.n").cast("int"))).alias("b"))
     rows = saved(rows, "alignment-steps")
     even = rows.where(F.col("op").isin("M", "=", "X")).select("align_id", "idx", "op", "n", F.lit(0).cast("long").alias("at"), "a", "b")
-    pieces = _cut(even, ["align_id", "idx", "op", "n"]).where((F.col("a") != F.col("b")) | (F.col("op") == "X"))
+    pieces = _unlike_pieces(even, ["align_id", "idx", "op", "n"])
     found = pieces.select("align_id", "idx", "op", "n", F.explode(F.transform(_differing_runs(F.col("a"), F.col("b")), lambda r: F.struct(
         (F.col("at") + r["l"]).alias("l"), (F.col("at") + r["r"]).alias("r")))).alias("x")).select("align_id", "idx", "op", "n", "x.*")
     found = saved(found, "alignment-changes")

@@ -31,7 +31,7 @@ ALIGNED = f""", a as (select {KEY} as align_id, l_suppkey % 7 as k, l_linestatus
 def r1_verified_alignments(spark, d):
     docs = D.table(spark, d, "documents").count()
     n = F.length("seq")
-    rows = D.table(spark, d, "lineitem").withColumn("ref_id", F.col("l_partkey") % docs).join(D.ref_seq(spark, d).where(n > 60), "ref_id")
+    rows = D.table(spark, d, "lineitem").withColumn("ref_id", F.col("l_partkey") % docs).repartition("ref_id").join(D.ref_seq(spark, d).where(n > 60), "ref_id")
     k, a = F.col("l_suppkey") % 7, F.substring("seq", (F.col("l_orderkey") * 7 % (n - 60) + 1).cast("int"), F.lit(60))
     rows = rows.select(D.row_key().alias("align_id"), k.alias("k"), a.alias("a"), F.col("l_orderkey").alias("trg_ref"), "ref_id", (100 + F.col("l_partkey")).alias("src_start"),
                        F.when(F.col("l_linestatus") == "O", "-").otherwise("+").alias("strand"))
