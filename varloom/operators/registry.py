@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.session import saved
+
 from .normalize import NORMAL, definition_order, variant_key
 
 DEFINITION = ["ref_id", *NORMAL]
@@ -29,8 +31,6 @@ def assign_ids(new: DataFrame, start: int, order: list[Column]) -> DataFrame:
 
 
 def _numbered(ranged: DataFrame, start: int, order: list[Column]) -> DataFrame:
-    from varloom.session import saved
-
     # The upper bits of the id are the partition, the lower 33 the row's place in it.
     parts = saved(ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "new-variants")
     p = F.shiftright("__at", 33)
@@ -75,7 +75,8 @@ def upsert(batch: DataFrame, ids: DataFrame, variants: DataFrame, known_ids: Dat
     met = one.join(stored, "variant_key", "left").join(taken, "given_id", "left")
     clash = F.when(F.col("old_id").isNotNull() & F.col("given_id").isNotNull() & (F.col("old_id") != F.col("given_id")), "IdentifierMismatch") \
         .when(F.col("old_id").isNull() & F.col("holder").isNotNull(), "IdentifierTaken")
-    met = met.withColumn("clash", clash)
+    # Written once: the given ids, the new ones and the faults all come from here.
+    met = saved(met.withColumn("clash", clash), "met-definitions")
     # Two new definitions that bring one id: the first in definition order has it.
     fresh = met.where(F.col("old_id").isNull() & F.col("clash").isNull())
     rank = F.row_number().over(Window.partitionBy("given_id").orderBy(*definition_order()))
