@@ -70,7 +70,7 @@ def targets(items: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, we
         if now == (num, den) or not now[1]:
             break
         num, den = now
-    by_weight = (F.col("weight") * F.lit(num)).cast("double") / F.lit(max(1, den) * share[1]).cast("double")
+    by_weight = (F.col("weight").cast("long") * F.lit(num)).cast("double") / F.lit(max(1, den) * share[1]).cast("double")
     return ranked.select("source", "source_size", F.when(full, (most * F.col("source_size")).cast("double")).otherwise(by_weight).alias("target"))
 
 
