@@ -51,6 +51,8 @@ ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 SALTS = 64
 #: Phrases of a sorted run, about.
 RUN = 1 << 15
+#: Slices of texts in a file, which a task holds at once when it writes and reads them.
+SLICES = 4
 
 
 class _Ids(dict):
@@ -302,7 +304,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, limits: Li
     if longest > 1 + 63 // HatTrie.BITS:
         raise ValueError(f"phrases of at most {1 + 63 // HatTrie.BITS} words")
     spark = docs.sparkSession
-    chunks = saved(word_numbers(docs, limits), "collocation-words")
+    chunks = saved(word_numbers(docs, limits), "collocation-words", SLICES)
     words = (chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
              .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f")))
     words = saved(words, "collocation-unigrams")

@@ -28,10 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back; cuts the lineage."""
+def saved(df: DataFrame, name: str, per_file: int = 0) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back; cuts the lineage. `per_file` bounds the rows of a file: rows of
+    megabytes are written and read by row groups, which hold a hundred rows at least where a file has them."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
