@@ -366,7 +366,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     inner = phrases.where(size > 2).select("lang", F.col("a").alias("longer"), "words", F.explode(F.sequence(F.lit(2), size - 1)).alias("m")).select(
         "lang", "longer", "words", "m", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)).alias("at")).select(
         "lang", _part(F.col("at"), F.col("m")).alias("phrase"), "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    kept = scored.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
+    # Never broadcast, as below.
+    kept = scored.join(inner.hint("merge"), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
     order = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
     first = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("place") <= top)
@@ -375,7 +376,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
 
 
 def _looked_up(cuts: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """cuts joined with parts by (lang, key); a row goes to one of SALTS copies of single words' counts."""
+    """cuts joined with parts by (lang, key); a row goes to one of SALTS copies of single words' counts. The copies are never
+    broadcast: Spark sizes them by the files of the counts, without compression and copying."""
     salt, one = F.pmod(F.xxhash64("phrase", "k"), F.lit(SALTS)), F.instr(F.col(key), " ") == 0
     copies = parts.withColumn("salt", F.explode(F.when(one, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return cuts.withColumn("salt", F.when(one, salt).otherwise(0).cast("int")).join(copies, ["lang", key, "salt"]).drop("salt")
+    return cuts.withColumn("salt", F.when(one, salt).otherwise(0).cast("int")).join(copies.hint("merge"), ["lang", key, "salt"]).drop("salt")
