@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from varloom.functions import sequences as S
 from varloom.session import saved
 
-from .intervals import bins, lookup_sequence
+from .intervals import bin_size, bins, lookup_sequence, overlap_join
 
 PIECES = (1 << 20, 1 << 14, 1 << 8)
 
@@ -145,12 +145,14 @@ def search_index(index: DataFrame, parts: DataFrame, regions: DataFrame, ref: st
 
     A region asks only the ranges whose first block starts in time and whose greatest end so far passes it;
     the others' files are not read (the numbers of the ranges asked come to the driver, as many as shuffles have partitions at most).
+    Within a range they meet in bins of the size of both, not each region with each block of its reference.
     """
     asked = regions.join(parts.withColumnRenamed(ref, "ref_"), (F.col(ref) == F.col("ref_")) & (F.col("first_left") <= F.col("to")) & (F.col("last_end") > F.col("from")))
     asked = saved(asked.drop("ref_", "first_left", "last_end"), "index-asks")
     wanted = [r["part"] for r in asked.select("part").distinct().collect()]
     rows = index.where(F.col("part").isin(wanted)).select(*[F.col(c).alias(f"b_{c}") if c in regions.columns and c != ref else F.col(c) for c in index.columns])
-    return rows.join(asked, ["part", ref]).where((F.col(left) <= F.col("to")) & (F.col(right) > F.col("from")) & (F.col("max_end") > F.col("from"))).drop("part", "max_end")
+    size = max(bin_size(asked, least=64), bin_size(rows, left, right, least=64))
+    return overlap_join(rows, asked, ["part", ref], (left, right), size=size).drop("part", "max_end")
 
 
 def _meeting(a: DataFrame, b: DataFrame, size: int = 4096) -> DataFrame:
