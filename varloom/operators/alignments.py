@@ -13,8 +13,11 @@ from varloom.functions import sequences as S
 from varloom.session import saved
 
 from .intervals import bin_size, bins, lookup_sequence, overlap_join
+from .references import cigar_steps
 
 PIECES = (1 << 20, 1 << 14, 1 << 8)
+#: Letters of an alignment that is verified within its row.
+SHORT = 1 << 10
 
 
 def _cut(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -59,28 +62,83 @@ def verified_blocks(aligns: DataFrame) -> tuple[DataFrame, DataFrame]:
     names each alignment that has no blocks: UnsupportedCigar (other letters, or a count without a letter), WrongLength (texts shorter or
     longer than the cigar), WrongMatch ('=' over unlike letters), WrongChange ('X' over equal ones), in that order.
 
-    Whole pieces of equal letters are compared at once; only pieces that differ are looked at letter by letter.
+    Whole pieces of equal letters are compared at once; only pieces that differ are looked at letter by letter. Alignments of up to SHORT
+    letters are verified within their rows, and only their blocks are written; longer ones are cut in pieces, which many tasks compare.
     """
-    runs = F.regexp_extract_all("cigar", F.lit("([0-9]+)[MIDX=]"), F.lit(1))
-    ops = F.regexp_extract_all("cigar", F.lit("[0-9]+([MIDX=])"), F.lit(1))
-    steps = F.filter(F.zip_with(runs, ops, lambda n, o: F.struct(n.cast("long").alias("n"), o.alias("op"))), lambda e: e["n"] > 0)
-    df = aligns.withColumn("steps", steps)
+    df = aligns.withColumn("steps", cigar_steps(F.col("cigar")))
     total = lambda skip: F.aggregate("steps", F.lit(0).cast("long"), lambda a, e: a + F.when(e["op"] == skip, 0).otherwise(e["n"]))
     error = F.when(~F.col("cigar").rlike("^([0-9]+[MIDX=])*$"), "UnsupportedCigar") \
         .when((total("I") != F.length("src_seq")) | (total("D") != F.length("trg_seq")), "WrongLength")
-    # Written with their faults, so that those who give the rows are not run again for each use.
-    df = saved(df.withColumn("error", error), "alignments")
-    early = df.where(F.col("error").isNotNull()).select("align_id", "error")
-    fine = df.where(F.col("error").isNull())
-    place = F.struct("idx", "op", "n", "t", "s")
-    state = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("s"), F.array().cast("array<struct<op:string,n:bigint,t:bigint,s:bigint>>").alias("out"))
-    moved = lambda a, e: F.struct(
-        (a["t"] + F.when(e["op"] == "D", 0).otherwise(e["n"])).alias("t"), (a["s"] + F.when(e["op"] == "I", 0).otherwise(e["n"])).alias("s"),
-        F.array_append(a["out"], F.struct(e["op"].alias("op"), e["n"].alias("n"), a["t"].alias("t"), a["s"].alias("s"))).alias("out"))
+    base = ["align_id", "src_ref", "src_start", "strand", "trg_ref", "trg_start"]
     turned = F.when(F.col("strand") == "-", S.reverse_complement(F.col("src_seq"))).otherwise(F.col("src_seq"))
+    df = df.withColumn("error", error).withColumn("short", F.greatest(F.length("src_seq"), F.length("trg_seq")) <= SHORT)
+    df = df.select(*base, "steps", "error", "short", F.when(F.col("error").isNull(), turned).alias("src"), F.when(F.col("error").isNull(), F.col("trg_seq")).alias("trg"))
+    df = _verified_within(df)
+    # Written once: blocks, errors and long alignments all come from here.
+    long = F.col("error").isNull() & ~F.col("short")
+    keep = lambda c: F.when(long, F.col(c)).alias(c)
+    df = saved(df.select(*base, "error", "short", "blocks", keep("steps"), keep("src"), keep("trg")), "alignments")
+    own = df.where(F.col("error").isNull() & F.col("short")).select("align_id", "trg_ref", "src_ref", "strand", F.posexplode("blocks").alias("idx", "b")).select("*", "b.*").select(BLOCK)
+    errors = df.where(F.col("error").isNotNull()).select("align_id", "error")
+    if not df.where(long).take(1):
+        return own, errors
+    blocks, late = _verified_in_pieces(df.where(long))
+    return own.unionByName(blocks), errors.unionByName(late)
+
+
+BLOCK = ["align_id", "idx", "op", "trg_ref", "trg_left", "trg_right", "src_ref", "src_left", "src_right", "strand", "ins"]
+
+
+def _verified_within(df: DataFrame) -> DataFrame:
+    """df(.., steps, error, short, src, trg) with blocks array<struct<op,trg_left,trg_right,src_left,src_right,ins>> of short alignments, and their errors."""
+    zero, run = F.lit(0).cast("long"), "array<struct<l:bigint,r:bigint>>"
+    cut = lambda text, at, n: F.substring(text, (at + 1).cast("int"), n.cast("int"))
+    fine = F.col("error").isNull() & F.col("short")
+
+    def step(e: Column) -> Column:
+        a, b = cut("src", e["s"], e["n"]), cut("trg", e["t"], e["n"])
+        runs = F.when(e["op"].isin("M", "=", "X") & (a != b), _differing_runs(a, b).cast(run)).otherwise(F.array().cast(run))
+        return F.struct(e["op"].alias("op"), e["n"].alias("n"), e["t"].alias("t"), e["s"].alias("s"), runs.alias("runs"))
+
+    df = df.withColumn("checked", F.when(fine, F.transform("steps", step)))
+    unlike = lambda e: F.aggregate(e["runs"], zero, lambda a, r: a + r["r"] - r["l"])
+    fault = F.when(F.exists("checked", lambda e: (e["op"] == "=") & (F.size(e["runs"]) > 0)), "WrongMatch") \
+        .when(F.exists("checked", lambda e: (e["op"] == "X") & (unlike(e) < e["n"])), "WrongChange")
+    df = df.withColumn("error", F.coalesce("error", fault))
+    plus = F.col("strand") == "+"
+
+    def part(e: Column, op: Column, l: Column, r: Column) -> Column:
+        trg = F.col("trg_start") + e["t"] + F.when(op == "D", 0).otherwise(l)
+        src, sn = e["s"] + F.when(op == "I", 0).otherwise(l), F.when(op == "I", 0).otherwise(r - l)
+        left = F.when(plus, F.col("src_start") + src).otherwise(F.col("src_start") - src - sn)
+        return F.struct(op.alias("op"), trg.alias("trg_left"), (trg + F.when(op == "D", 0).otherwise(r - l)).alias("trg_right"), left.alias("src_left"), (left + sn).alias("src_right"),
+                        F.when(op.isin("X", "I"), cut("trg", e["t"] + l, r - l)).alias("ins"))
+
+    def split(e: Column) -> Column:
+        """M's equal and changed letters in turn: each run of change ends a run of equal letters, the step's end another."""
+        ends = F.concat(e["runs"], F.array(F.struct(e["n"].alias("l"), e["n"].alias("r"))))
+        both = F.transform(ends, lambda x, i: F.array(part(e, F.lit("="), F.when(i == 0, zero).otherwise(F.get(ends, i - 1)["r"]), x["l"]), part(e, F.lit("X"), x["l"], x["r"])))
+        return F.filter(F.flatten(both), lambda p: p["trg_left"] < p["trg_right"])
+
+    parts = F.flatten(F.transform("checked", lambda e: F.when(e["op"] == "M", split(e)).otherwise(F.array(part(e, e["op"], zero, e["n"])))))
+    df = df.withColumn("parts", F.when(F.col("error").isNull(), parts)).drop("checked")
+    # Neighbours of one kind touch by their order.
+    kind = "array<struct<op:string,trg_left:bigint,trg_right:bigint,src_left:bigint,src_right:bigint,ins:string>>"
+
+    def grown(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        whole = F.struct(p["op"].alias("op"), last["trg_left"].alias("trg_left"), p["trg_right"].alias("trg_right"), F.least(last["src_left"], p["src_left"]).alias("src_left"),
+                         F.greatest(last["src_right"], p["src_right"]).alias("src_right"), F.concat(last["ins"], p["ins"]).alias("ins"))
+        return F.when((F.size(acc) > 0) & (last["op"] == p["op"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(whole))).otherwise(F.array_append(acc, p))
+
+    return df.withColumn("blocks", F.aggregate("parts", F.array().cast(kind), grown)).drop("parts")
+
+
+def _verified_in_pieces(fine: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, errors) of alignments (align_id, src_ref, src_start, strand, trg_ref, trg_start, steps, src, trg) of any length."""
     base = ["align_id", "src_ref", "src_start", "strand", "trg_ref", "trg_start"]
-    rows = fine.select(*base, turned.alias("src"), F.col("trg_seq").alias("trg"), F.posexplode(F.aggregate("steps", state, moved, lambda a: a["out"])).alias("idx", "e")).select(
-        *base, "idx", "e.*", F.when(F.col("e.op") != "I", F.substring("src", (F.col("e.s") + 1).cast("int"), F.col("e.n").cast("int"))).alias("a"),
+    rows = fine.select(*base, "src", "trg", F.posexplode("steps").alias("idx", "e")).select(
+        *base, "idx", "e.op", "e.n", "e.t", "e.s", F.when(F.col("e.op") != "I", F.substring("src", (F.col("e.s") + 1).cast("int"), F.col("e.n").cast("int"))).alias("a"),
         F.when(F.col("e.op") != "D", F.substring("trg", (F.col("e.t") + 1).cast("int"), F.col("e.n").cast("int"))).alias("b"))
     rows = saved(rows, "alignment-steps")
     even = rows.where(F.col("op").isin("M", "=", "X")).select("align_id", "idx", "op", "n", F.lit(0).cast("long").alias("at"), "a", "b")
@@ -92,7 +150,7 @@ def verified_blocks(aligns: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = rows.where(F.col("op").isin("=", "X")).select("align_id", "idx", "op", "n").join(unlike.drop("op", "n"), ["align_id", "idx"], "left")
     wrong = checked.select("align_id", F.when((F.col("op") == "=") & (F.col("k") > 0), 1).when((F.col("op") == "X") & (F.coalesce("k", F.lit(0)) < F.col("n")), 2).alias("e"))
     wrong = wrong.groupBy("align_id").agg(F.min("e").alias("e")).where(F.col("e").isNotNull())
-    errors = early.unionByName(wrong.select("align_id", F.when(F.col("e") == 1, "WrongMatch").otherwise("WrongChange").alias("error")))
+    errors = wrong.select("align_id", F.when(F.col("e") == 1, "WrongMatch").otherwise("WrongChange").alias("error"))
     # Each run of change ends a run of equal letters, the step's end another.
     ends = found.where(F.col("op") == "M").select("align_id", "idx", "l", "r").unionByName(
         rows.where(F.col("op") == "M").select("align_id", "idx", F.col("n").alias("l"), F.col("n").alias("r")))
@@ -118,8 +176,7 @@ def verified_blocks(aligns: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "ins"))), lambda x: x["ins"]), "")
     merged = blocks.groupBy("align_id", F.col("run").cast("int").alias("idx"), "op", "trg_ref", "src_ref", "strand").agg(
         F.min("trg_left").alias("trg_left"), F.max("trg_right").alias("trg_right"), F.min("src_left").alias("src_left"), F.max("src_right").alias("src_right"), text.alias("t"))
-    columns = ("align_id", "idx", "op", "trg_ref", "trg_left", "trg_right", "src_ref", "src_left", "src_right", "strand")
-    return merged.select(*columns, F.when(F.col("op").isin("X", "I"), F.col("t")).alias("ins")), errors
+    return merged.select(*BLOCK[:-1], F.when(F.col("op").isin("X", "I"), F.col("t")).alias("ins")), errors
 
 
 def sorted_index(blocks: DataFrame, path: str, ref: str = "src_ref", left: str = "src_left", right: str = "src_right") -> tuple[DataFrame, DataFrame]:
