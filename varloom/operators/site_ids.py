@@ -13,30 +13,29 @@ from .intervals import lookup_sequence
 from .normalize import NORMAL, left_aligned, normalize, right_aligned
 
 
-def parse_myvariant(ids: DataFrame, assemblies: DataFrame, chunks: DataFrame) -> DataFrame:
+def parse_myvariant(ids: DataFrame, assemblies: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
     """(row_id, ref_id, normal form, style, shift, extend, error) of ids(row_id, id) on the references of assemblies(chrom, ref_id).
 
     style, shift and extend are all that the text has beside its variant: shift is the way from the text's place to the
     right-aligned form, extend the number of letters that it names behind the change. The letters of a duplication come from the reference.
-    Errors: the text's own, UnknownReferenceName, and those of normalize; null ids are UnknownFormatOfMyVariantInfoIdentifier.
+    `few` as in normalize. Errors: the text's own, UnknownReferenceName, and those of normalize; null ids are UnknownFormatOfMyVariantInfoIdentifier.
     """
-    got = hgvs.parse_myvariant_ids(ids.withColumn("id", F.coalesce("id", F.lit(""))))
+    got = hgvs.myvariant_parts(ids.withColumn("id", F.coalesce("id", F.lit(""))))
     # 25 rows a build at most.
-    got = saved(got.join(F.broadcast(assemblies.select("chrom", "ref_id").dropDuplicates(["chrom"])), "chrom", "left"), "site-ids")
+    got = got.join(F.broadcast(assemblies.select("chrom", "ref_id").dropDuplicates(["chrom"])), "chrom", "left")
     error = F.coalesce("error", F.when(F.col("ref_id").isNull(), "UnknownReferenceName"))
-    size = F.regexp_extract("id", r"_([0-9]+)", 1).try_cast("long") - F.regexp_extract("id", r"g\.([0-9]+)", 1).try_cast("long") + 1
-    spans = ids.select("row_id", F.coalesce(size, F.lit(1)).alias("size"), F.regexp_extract("id", r"(?:dup|del)([0-9]+)$", 1).try_cast("long").alias("named"),
-                       F.length(F.regexp_extract("id", r"(?:dup|del)([ACGT]+)$", 1)).alias("letters"))
-    got = got.withColumn("error", error).join(spans, "row_id")
-    wrong = (F.col("named") != F.col("size")) | ((F.col("letters") > 0) & (F.col("letters") != F.col("size")))
-    got = got.withColumn("error", F.coalesce("error", F.when(wrong, "UnknownFormatOfMyVariantInfoIdentifier")))
+    wrong = (F.col("tail").try_cast("long") != F.col("size")) | (F.col("tail").rlike("^[ACGT]+$") & (F.length("tail") != F.col("size")))
+    got = saved(got.withColumn("error", F.coalesce(error, F.when(wrong, "UnknownFormatOfMyVariantInfoIdentifier"))).drop("tail"), "site-ids")
     dup = F.col("style").startswith("duplication")
-    copies = lookup_sequence(got.where(F.col("error").isNull() & dup).select("row_id", "ref_id", (F.col("left") - F.col("size")).alias("left"), "right"), chunks, "row_id")
-    rows = got.join(copies, "row_id", "left")
-    rows = rows.withColumn("error", F.coalesce("error", F.when(dup & F.col("given").isNotNull() & (F.col("given") != F.col("seq")), "IncorrectReferenceAllele")))
+    # Only duplications meet their letters.
+    twice = F.col("error").isNull() & dup
+    copies = lookup_sequence(got.where(twice).select("row_id", "ref_id", (F.col("left") - F.col("size")).alias("left"), "right"), chunks, "row_id")
+    twins = got.where(twice).join(copies, "row_id", "left")
+    twins = twins.withColumn("error", F.when(F.col("given").isNotNull() & (F.col("given") != F.col("seq")), "IncorrectReferenceAllele"))
+    rows = twins.unionByName(got.where(~F.coalesce(twice, F.lit(False))), allowMissingColumns=True)
     plain = rows.where(F.col("error").isNull()).select("row_id", "ref_id", "left", "right", F.when(dup, "").otherwise(F.coalesce("given", F.lit(""))).alias("ref"),
                                                        F.when(dup, F.col("seq")).otherwise(F.col("alt")).alias("alt"), "style", dup.alias("dup"))
-    forms = right_aligned(normalize(plain, chunks)).withColumnRenamed("left", "at").withColumnRenamed("right", "end")
+    forms = right_aligned(normalize(plain, chunks, few=few)).withColumnRenamed("left", "at").withColumnRenamed("right", "end")
     extend = F.when(F.col("dup"), 0).otherwise(F.col("end") - F.greatest("at", "n_left") - (F.col("p_right") - F.col("p_left")))
     good = forms.select("row_id", "ref_id", *NORMAL, "style", (F.col("p_left") - F.col("at")).alias("shift"), extend.alias("extend"), F.col("error.type").alias("error"))
     return good.unionByName(rows.where(F.col("error").isNotNull()).select("row_id", "ref_id", "error"), allowMissingColumns=True)
